@@ -3,9 +3,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from . import language_id
 from .exact_dedup import exact_dedup
 from .line_dedup import dedup_lines
 from .mixing import fair_queue
+from .packing import pack_documents
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark, sf_dir, name):
@@ -21,11 +29,22 @@ def op4_line_dedup(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_curve_packing(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op6_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held = language_id.held_out()
+    model = language_id.train(docs, ~held)
+    return language_id.identify(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op9_fair_mixing(spark, sf_dir):
     return fair_queue(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op3_content_sort_dedup, op4_line_dedup, op9_fair_mixing)}
+QUERIES = {f.__name__: f for f in (op3_content_sort_dedup, op4_line_dedup, op5_curve_packing, op6_language_id, op9_fair_mixing)}
 
 WORD = r"[^\x20\x09-\x0D]+"
 SQL = {
