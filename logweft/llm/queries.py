@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from . import language_id
 from .exact_dedup import exact_dedup
+from .html_extraction import extract_text
 from .line_dedup import dedup_lines
 from .mixing import fair_queue
 from .packing import pack_documents
@@ -44,7 +45,11 @@ def op9_fair_mixing(spark, sf_dir):
     return fair_queue(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op3_content_sort_dedup, op4_line_dedup, op5_curve_packing, op6_language_id, op9_fair_mixing)}
+def op10_url_differencing(spark, sf_dir):
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op3_content_sort_dedup, op4_line_dedup, op5_curve_packing, op6_language_id, op9_fair_mixing, op10_url_differencing)}
 
 WORD = r"[^\x20\x09-\x0D]+"
 SQL = {
