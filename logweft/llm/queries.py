@@ -9,6 +9,7 @@ from .html_extraction import extract_text
 from .line_dedup import dedup_lines
 from .mixing import fair_queue
 from .packing import pack_documents
+from .simhash_dedup import near_duplicates
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -41,6 +42,10 @@ def op6_language_id(spark, sf_dir):
     return language_id.identify(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op8_simhash_bktree(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_fair_mixing(spark, sf_dir):
     return fair_queue(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -49,7 +54,7 @@ def op10_url_differencing(spark, sf_dir):
     return extract_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op3_content_sort_dedup, op4_line_dedup, op5_curve_packing, op6_language_id, op9_fair_mixing, op10_url_differencing)}
+QUERIES = {f.__name__: f for f in (op3_content_sort_dedup, op4_line_dedup, op5_curve_packing, op6_language_id, op8_simhash_bktree, op9_fair_mixing, op10_url_differencing)}
 
 WORD = r"[^\x20\x09-\x0D]+"
 SQL = {
