@@ -10,6 +10,7 @@ from .line_dedup import dedup_lines
 from .mixing import fair_queue
 from .packing import pack_documents
 from .simhash_dedup import near_duplicates
+from .topk_search import top_k
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -42,6 +43,10 @@ def op6_language_id(spark, sf_dir):
     return language_id.identify(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op7_balltree_topk(spark, sf_dir):
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op8_simhash_bktree(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -54,10 +59,16 @@ def op10_url_differencing(spark, sf_dir):
     return extract_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op3_content_sort_dedup, op4_line_dedup, op5_curve_packing, op6_language_id, op8_simhash_bktree, op9_fair_mixing, op10_url_differencing)}
+QUERIES = {f.__name__: f for f in (op3_content_sort_dedup, op4_line_dedup, op5_curve_packing, op6_language_id, op7_balltree_topk, op8_simhash_bktree, op9_fair_mixing, op10_url_differencing)}
 
 WORD = r"[^\x20\x09-\x0D]+"
 SQL = {
+    "op7_balltree_topk": r"""
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score FROM v q, v c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+        r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM p)
+        SELECT * FROM r WHERE rank <= 20""",
     "op3_content_sort_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
         g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size, sha256(t) AS text_sha256 FROM n GROUP BY t)
