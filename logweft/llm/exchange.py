@@ -82,20 +82,22 @@ def blocks(docs: DataFrame, send: Callable[[int, int, np.ndarray, list[bytes]],
     """Messages of the blocks of docs.
 
     send(block, kind, ids, texts) yields (shard, payload).  Documents of
-    another kind are never in the same block.  Blocks are numbered by partition
-    and place, which a rerun of a lost task repeats.
+    another kind (0 to 3) are never in the same block.  A block's number holds
+    its partition, place and kind, so a rerun of a lost task and a second pass
+    over the same input repeat it.
     """
 
     def run(batches):
         from pyspark import TaskContext
 
-        base, n = TaskContext.get().partitionId() << 24, 0
+        base, n = TaskContext.get().partitionId() << 26, 0
         held: dict[int, list] = {}
 
         def close(k):
             nonlocal n
             ids, texts, _ = held.pop(k)
-            out = [(base + n, s, p) for s, p in send(base + n, k, np.array(ids, np.int64), texts)]
+            block = base + 4 * n + k
+            out = [(block, s, p) for s, p in send(block, k, np.array(ids, np.int64), texts)]
             n += 1
             for at in range(0, len(out), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[at : at + 64]), _MESSAGE.types)], schema=_MESSAGE)
@@ -134,6 +136,8 @@ def receive(texts: DataFrame, replies: DataFrame, take: Callable[[int, bytes, di
 
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         body = left.column("payload").to_pylist()
+        if len(body) != 1:
+            raise RuntimeError("answers without their block: the input's rows are not dealt alike on each read")
         got = dict(zip(right.column("shard").to_pylist(), right.column("payload").to_pylist()))
         return take(key[0].as_py(), body[0], got)
 

@@ -7,6 +7,7 @@ from . import language_id
 from .exact_dedup import exact_dedup
 from .html_extraction import extract_text
 from .line_dedup import dedup_lines
+from .lm_scoring import score_documents
 from .mixing import fair_queue
 from .packing import pack_documents
 from .simhash_dedup import near_duplicates
@@ -23,6 +24,10 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_deleted_interpolation(spark, sf_dir):
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_content_sort_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -59,7 +64,7 @@ def op10_url_differencing(spark, sf_dir):
     return extract_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op3_content_sort_dedup, op4_line_dedup, op5_curve_packing, op6_language_id, op7_balltree_topk, op8_simhash_bktree, op9_fair_mixing, op10_url_differencing)}
+QUERIES = {f.__name__: f for f in (op2_deleted_interpolation, op3_content_sort_dedup, op4_line_dedup, op5_curve_packing, op6_language_id, op7_balltree_topk, op8_simhash_bktree, op9_fair_mixing, op10_url_differencing)}
 
 WORD = r"[^\x20\x09-\x0D]+"
 SQL = {
