@@ -11,6 +11,7 @@ from .lm_scoring import score_documents
 from .mixing import fair_queue
 from .packing import pack_documents
 from .simhash_dedup import near_duplicates
+from .substring_dedup import remove_repeats
 from .topk_search import top_k
 
 
@@ -24,6 +25,10 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_fm_substring_dedup(spark, sf_dir):
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_deleted_interpolation(spark, sf_dir):
     return score_documents(table(spark, sf_dir, "documents"))
 
@@ -64,7 +69,7 @@ def op10_url_differencing(spark, sf_dir):
     return extract_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_deleted_interpolation, op3_content_sort_dedup, op4_line_dedup, op5_curve_packing, op6_language_id, op7_balltree_topk, op8_simhash_bktree, op9_fair_mixing, op10_url_differencing)}
+QUERIES = {f.__name__: f for f in (op1_fm_substring_dedup, op2_deleted_interpolation, op3_content_sort_dedup, op4_line_dedup, op5_curve_packing, op6_language_id, op7_balltree_topk, op8_simhash_bktree, op9_fair_mixing, op10_url_differencing)}
 
 WORD = r"[^\x20\x09-\x0D]+"
 SQL = {
