@@ -54,6 +54,22 @@ def layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return buf, np.concatenate([[0], np.cumsum(sizes)])
 
 
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans of a byte buffer, in order and without overlap."""
+    out = np.empty(len(start), np.uint64)
+    at = 0
+    while at < len(out):  # in pieces, so the power tables stay small
+        lo = start[at]
+        to = max(int(np.searchsorted(end, lo + (1 << 21), "right")), at + 1)
+        piece = buf[lo : end[to - 1]]
+        total = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum(_BYTE[piece] * _powers("up", _BASE, len(piece)), out=total[1:])
+        s, e = start[at:to] - lo, end[at:to] - lo
+        out[at:to] = mix((total[e] - total[s]) * _powers("down", _INV, len(piece))[s] + (e - s).astype(np.uint64))
+        at = to
+    return out
+
+
 class Words:
     """Words of a list of texts: start and end byte, 64-bit hash, and bounds of each text's words."""
 
@@ -69,21 +85,7 @@ class Words:
         self.start, self.end = edge[0::2], edge[1::2]
         #: words first[i]:first[i+1] belong to text i
         self.first = np.searchsorted(self.start, offsets)
-        self.hash = self._hashes() if hashed else None
-
-    def _hashes(self) -> np.ndarray:
-        out = np.empty(len(self.start), np.uint64)
-        at = 0
-        while at < len(out):  # in pieces, so the power tables stay small
-            lo = self.start[at]
-            to = max(int(np.searchsorted(self.end, lo + (1 << 21), "right")), at + 1)
-            piece = self.buf[lo : self.end[to - 1]]
-            total = np.zeros(len(piece) + 1, np.uint64)
-            np.cumsum(_BYTE[piece] * _powers("up", _BASE, len(piece)), out=total[1:])
-            s, e = self.start[at:to] - lo, self.end[at:to] - lo
-            out[at:to] = mix((total[e] - total[s]) * _powers("down", _INV, len(piece))[s] + (e - s).astype(np.uint64))
-            at = to
-        return out
+        self.hash = span_hashes(self.buf, self.start, self.end) if hashed else None
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
