@@ -197,9 +197,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
         types = ", ".join(f"`_{c}` {t}" for c, t in docs.select(*keep).dtypes) if keep else ""
         out = carried.mapInArrow(probe, "doc_id long, n_lines long, n_dropped long, kept binary" + (", " + types if types else ""))
         return out.select("doc_id", "n_lines", "n_dropped", "kept", *[F.col(f"_{c}").alias(c) for c in keep])
-    if keep:
-        raise ValueError("columns to keep are joined by the caller when the index is too large to broadcast")
-    return _exchanged(plain, index, shards, min_chars)
+    out = _exchanged(plain, index, shards, min_chars)
+    if not keep:
+        return out.drop("before")
+    # rows alike in identifier and text have like results, so one of each is joined back
+    out = out.withColumn("h", F.xxhash64("before")).dropDuplicates(["doc_id", "h"])
+    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("j"), *[F.col(c).alias(f"_{c}") for c in keep])
+    joined = rows.join(out, F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("j") == F.col("h")))
+    return joined.select("doc_id", "n_lines", "n_dropped", "kept", *[F.col(f"_{c}").alias(c) for c in keep])
 
 
 def _exchanged(plain: DataFrame, index: DataFrame, shards: int, min_chars: int) -> DataFrame:
@@ -234,9 +239,10 @@ def _exchanged(plain: DataFrame, index: DataFrame, shards: int, min_chars: int)
     def take(block, payload, got):
         ids, texts = unpack_texts(payload)
         bits = {s: np.unpackbits(np.frombuffer(p, np.uint8)).astype(bool) for s, p in got.items()}
-        return pa.Table.from_batches([_kept(ids, texts, _Answers(bits, shards, min_chars))])
+        got = pa.Table.from_batches([_kept(ids, texts, _Answers(bits, shards, min_chars))])
+        return got.append_column("before", pa.array([t.decode("utf-8", "surrogatepass") for t in texts], pa.string()))
 
-    return receive(sent.where("shard < 0"), replies, take, "doc_id long, n_lines long, n_dropped long, kept binary")
+    return receive(sent.where("shard < 0"), replies, take, "doc_id long, n_lines long, n_dropped long, kept binary, before string")
 
 
 def digest_of(kept: str = "kept"):
