@@ -31,6 +31,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _held(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs under names that no operator uses, and the names."""
+    names = {c: f"in_{k}" for k, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(c).alias(n) for c, n in names.items()]), names
+
+
 def _with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
     """docs in the given columns, n_chars the code points of the text."""
     if "n_chars" in columns:
@@ -40,21 +46,24 @@ def _with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = _lid.train(docs, ~_lid.held_out())
-    found = _lid.identify(docs, model)
-    return found.where(F.col("lang_pred") != _lid.UNKNOWN).select(*docs.columns)
+    held, names = _held(docs)
+    found = _lid.identify(held, model, text_col=names["text"])
+    return found.where(F.col("lang_pred") != _lid.UNKNOWN).select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    out = dedup_lines(docs, keep=tuple(rest))
-    return _with_text(out.withColumn("text", F.decode("kept", "UTF-8")), docs.columns)
+    held, names = _held(docs)
+    rest = {c: n for c, n in names.items() if c not in ("doc_id", "text")}
+    out = dedup_lines(held, id_col=names["doc_id"], text_col=names["text"], keep=tuple(rest.values()))
+    return _with_text(out.select("doc_id", F.decode("kept", "UTF-8").alias("text"), *[F.col(n).alias(c) for c, n in rest.items()]), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stay = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_semi")
-    one = kept.withColumn("n_", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("n_ = 1").drop("n_")
-    return one.select(*docs.columns).union(docs.where("doc_id IS NULL"))
+    held, names = _held(docs)
+    kept = held.join(stay, F.col(names["doc_id"]) == F.col("doc_id"), "left_semi")
+    one = kept.withColumn("place", F.row_number().over(Window.partitionBy(names["doc_id"]).orderBy(names["text"]))).where("place = 1").drop("place")
+    return one.union(held.where(F.col(names["doc_id"]).isNull())).select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
