@@ -1,0 +1 @@
+"""Log-template analytics on Spark: mining templates from log lines, and matching lines against them."""
