@@ -101,9 +101,10 @@ def partition_comparison(left: DataFrame, right: DataFrame) -> DataFrame:
     x = a.crossJoin(b).crossJoin(c)  # one row each
     same = (F.col("ka") == F.col("kb")) & (F.col("kb") == F.col("kc"))
     total = F.col("messages") * (F.col("messages") - 1) / 2
-    expected = F.col("a") * F.col("b") / F.when(total > 0, total)
-    below = (F.col("a") + F.col("b")) / 2 - expected
-    ari = F.when(F.col("messages") < 2, 1.0).when(below == 0, same.cast("double")).otherwise((F.col("c") - expected) / below)
+    # numerator and denominator times the number of pairs: whole numbers for whole counts
+    product = F.col("a") * F.col("b")
+    below = (F.col("a") + F.col("b")) * total / 2 - product
+    ari = F.when(F.col("messages") < 2, 1.0).when(below == 0, same.cast("double")).otherwise((F.col("c") * total - product) / below)
     return x.select("messages", same.alias("equivalent"), ari.alias("adjusted_rand_index"))
 
 

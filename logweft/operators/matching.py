@@ -174,13 +174,17 @@ def match(lines: DataFrame, templates: DataFrame, explode: bool = False) -> Data
     return lines.join(per_line, "row_id", "left").select(F.col("source_line").alias("line"), F.col("raw").alias("message"), F.coalesce(F.col("matches").cast(MATCH), empty).alias("matches"))
 
 
+def _option(name: str):
+    return lambda m: F.when(m["accepted"], F.struct(F.lit(name).alias("template"), m["ambiguous"].alias("capture_ambiguous"), m["captures"].alias("captures")))
+
+
 def match_rows(lines: DataFrame, templates: list, id_cols: tuple[str, ...] = ()) -> DataFrame:
     """lines (raw, ...) with `matches`, by columns alone: for streams, and a template list small enough to be a literal."""
     lines = lines.withColumn("toks", tokens(F.col("raw")))
     options = []
     for label, segs in templates:
         seg = F.array(*[F.struct(F.lit(p).alias("is_ph"), F.array(*map(F.lit, t)).cast("array<string>").alias("toks")) for p, t in segs]).cast("array<struct<is_ph:boolean,toks:array<string>>>")
-        options.append(let(template_match(seg, F.col("toks")), lambda m, label=label: F.when(m["accepted"], F.struct(F.lit(f"C{label}").alias("template"), m["ambiguous"].alias("capture_ambiguous"), m["captures"].alias("captures")))))
+        options.append(let(template_match(seg, F.col("toks")), _option(f"C{label}")))
     return lines.withColumn("matches", F.filter(F.array(*options), lambda m: m.isNotNull()).cast(MATCH)).drop("toks")
 
 
