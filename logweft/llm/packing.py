@@ -18,6 +18,7 @@ gives an empty result.
 from __future__ import annotations
 
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,11 +29,11 @@ from pyspark.sql import functions as F
 
 from .hilbert import hilbert_key
 from .session import checkpointed, partitions
-from .words import Words, column_bytes, column_ids, ids_column, span_hashes
+from .words import Words, column_bytes, column_ids, ids_column, release, sliced, span_hashes
 
 DIMENSIONS, DIMENSION_BITS = 4, 10
-CACHE_WORDS = 1 << 19
-BATCH_BYTES = 4 << 20
+CACHE_WORDS = 3 << 17
+BATCH_BYTES = 2 << 20
 #: pieces in one call of the tokenizer
 SLICE = 4096
 
@@ -189,9 +190,15 @@ def curve_keys(ids: np.ndarray, bounds: np.ndarray, seed: int = 11) -> np.ndarra
 _TOKENS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("ids", pa.binary())])
 
 
+@lru_cache(1)
+def _tokenizer(path: str) -> WordTokenizer:
+    """One tokenizer a worker process: tasks share its cache."""
+    return WordTokenizer(path)
+
+
 def _tokenise(path: str, end: int):
     def run(batches):
-        tokenizer = WordTokenizer(path)
+        tokenizer = _tokenizer(path)
         squeeze = zstandard.ZstdCompressor(level=1).compress
 
         def flush(ids, texts):
@@ -203,16 +210,9 @@ def _tokenise(path: str, end: int):
             body = [mark + squeeze(raw[x:y].tobytes()) for x, y in zip(b, b[1:])]
             return pa.RecordBatch.from_arrays([ids_column(ids), pa.array(key), pa.array(body, pa.binary())], schema=_TOKENS)
 
-        for batch in batches:
-            ids, texts = column_ids(batch.column(0)), column_bytes(batch.column(1))
-            at, held = 0, 0
-            for i, t in enumerate(texts):
-                held += len(t)
-                if held >= BATCH_BYTES:
-                    yield flush(ids[at : i + 1], texts[at : i + 1])
-                    at, held = i + 1, 0
-            if at < len(texts):
-                yield flush(ids[at:], texts[at:])
+        for batch in sliced(batches, 1, BATCH_BYTES):
+            if len(batch):
+                yield flush(column_ids(batch.column(0)), column_bytes(batch.column(1)))
 
     return run
 
@@ -269,6 +269,7 @@ def _pack(length: int, with_ids: bool):
                 filled, sequence, offset = filled ^ size, sequence + 1, 0
         if out:
             yield flush()
+        release()
 
     return run
 

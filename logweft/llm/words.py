@@ -111,6 +111,32 @@ def utf8(value) -> bytes:
     return b"" if value is None else value.encode("utf-8", "surrogatepass") if isinstance(value, str) else value
 
 
+def release() -> None:
+    """Gives freed memory of a Python worker, which lives on for other tasks, back to the machine."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def sliced(batches, column: int, size: int = 4 << 20):
+    """Arrow batches cut into pieces of about `size` bytes of a string column, so that whole batches are never copied into Python at once."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
+        piece = np.cumsum(lengths + 64) // size
+        cut = np.concatenate([[0], np.flatnonzero(piece[1:] != piece[:-1]) + 1, [len(lengths)]]) if len(lengths) else np.zeros(2, int)
+        for a, b in zip(cut.tolist(), cut[1:].tolist()):
+            yield batch.slice(a, b - a)
+    release()
+
+
 def column_bytes(column) -> list[bytes]:
     """An Arrow string column as bytes; null is empty."""
     import pyarrow as pa
