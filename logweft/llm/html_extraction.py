@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import partitions
-from .words import column_ids, ids_column
+from .words import column_ids, ids_column, sliced
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[/!?][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -199,7 +199,7 @@ def _nearness(a: list[str], b: list[str]) -> int:
 
 def _parse(batches):
     squeeze = zstandard.ZstdCompressor(level=3).compress
-    for batch in batches:
+    for batch in sliced(batches, 4):
         body = [squeeze(pickle.dumps(blocks(h or ""), protocol=5)) for h in batch.column(4).to_pylist()]
         yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(body, pa.binary())], names=["page_id", "url", "host", "path", "body"])
 

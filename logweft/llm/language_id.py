@@ -24,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .words import sliced
+
 BITS = 16
 ORDERS = (1, 2, 3)
 SMOOTHING = 0.5
 PER_LANGUAGE = 6000
 UNKNOWN = "und"
 #: code points handled at once
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _LETTER = re.compile(r"[^\W\d_]")
 _MAP = np.array([x + 32 if 65 <= x <= 90 else x if 97 <= x <= 122 else 32 for x in range(128)], np.uint32)
 
@@ -98,7 +100,7 @@ class Model:
 def _count(batches):
     counts: dict[str, np.ndarray] = {}
     rows: dict[str, int] = {}
-    for batch in batches:
+    for batch in sliced(batches, 1):
         by: dict[str, list[str]] = {}
         for lang, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             by.setdefault(lang, []).append(t)
@@ -142,7 +144,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     place = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, place):
             labels, scores = held.value.predict(batch.column(place).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(labels, pa.string()), pa.array(scores), *batch.columns], names=["lang_pred", "score", *batch.schema.names])
 

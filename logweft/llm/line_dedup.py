@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .exchange import MESSAGE, answers, blocks, by_shard, expand, pack_texts, receive, squeeze, unpack_texts
 from .mphf import LineIndex
 from .session import checkpointed, partitions
-from .words import NO_ID, column_bytes, column_ids, ids_column
+from .words import NO_ID, column_bytes, column_ids, ids_column, release, sliced
 
 STRIP = b" \t\n\x0b\x0c\r"
 _UPPER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
@@ -76,7 +76,7 @@ def _counted(min_chars: int):
 
     def run(batches):
         ks, cs, ds, held = [], [], [], 0
-        for batch in batches:
+        for batch in sliced(batches, 1):
             for d, t in zip(column_ids(batch.column(0)).tolist(), column_bytes(batch.column(1))):
                 _, k, c = line_hashes(t.split(b"\n"), min_chars)
                 if len(k):
@@ -84,11 +84,12 @@ def _counted(min_chars: int):
                     cs.append(c)
                     ds.append(np.full(len(k), d))
                     held += len(k)
-            if held > 1 << 20:
+            if held > 1 << 19:
                 yield reduce(np.concatenate(ks), np.concatenate(cs), np.concatenate(ds))
                 ks, cs, ds, held = [], [], [], 0
         if held:
             yield reduce(np.concatenate(ks), np.concatenate(cs), np.concatenate(ds))
+        release()
 
     return run
 
@@ -189,7 +190,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
 
         def probe(batches):
             p = _Probe(held.value, shards, min_chars)
-            for batch in batches:
+            for batch in sliced(batches, 1):
                 got = _kept(column_ids(batch.column(0)), column_bytes(batch.column(1)), p)
                 yield pa.RecordBatch.from_arrays([*got.columns, *batch.columns[2:]], names=[*got.schema.names, *batch.schema.names[2:]])
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .bktree import Trees, union_labels
 from .components import components
 from .session import checkpointed
-from .words import column_bytes
+from .words import column_bytes, sliced
 
 SEED = 42
 #: hashes turned into bits at once
@@ -59,7 +59,7 @@ def fingerprint(text: bytes, shingle: int) -> int:
 
 def _fingerprints(shingle: int):
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 1):
             out = np.array([fingerprint(t, shingle) for t in column_bytes(batch.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
 
