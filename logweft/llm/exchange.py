@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import column_bytes, column_ids
+from .words import column_bytes, column_ids, release, sliced
 
 MESSAGE = "block long, shard int, payload binary"
 _MESSAGE = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("payload", pa.binary())])
@@ -102,7 +102,7 @@ def blocks(docs: DataFrame, send: Callable[[int, int, np.ndarray, list[bytes]],
             for at in range(0, len(out), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[at : at + 64]), _MESSAGE.types)], schema=_MESSAGE)
 
-        for batch in batches:
+        for batch in sliced(batches, 1):
             ids, texts = column_ids(batch.column(0)), column_bytes(batch.column(1))
             kinds = np.zeros(len(ids), int) if kind is None else kind(ids)
             for i, t, k in zip(ids.tolist(), texts, kinds.tolist()):
@@ -114,6 +114,7 @@ def blocks(docs: DataFrame, send: Callable[[int, int, np.ndarray, list[bytes]],
                     yield from close(k)
         for k in list(held):
             yield from close(k)
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, MESSAGE)
 
@@ -126,6 +127,7 @@ def answers(messages: DataFrame, answer: Callable[[int, list[int], list[bytes]],
         table = table.take(pa.array(order))
         shard = key[0].as_py()
         out = list(answer(shard, table.column("block").to_pylist(), table.column("payload").to_pylist()))
+        release()
         return pa.Table.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([shard] * len(out), pa.int32()), pa.array([x[1] for x in out], pa.binary())], schema=_MESSAGE)
 
     return messages.groupBy("shard").applyInArrow(run, MESSAGE)
@@ -139,6 +141,8 @@ def receive(texts: DataFrame, replies: DataFrame, take: Callable[[int, bytes, di
         if len(body) != 1:
             raise RuntimeError("answers without their block: the input's rows are not dealt alike on each read")
         got = dict(zip(right.column("shard").to_pylist(), right.column("payload").to_pylist()))
-        return take(key[0].as_py(), body[0], got)
+        out = take(key[0].as_py(), body[0], got)
+        release()
+        return out
 
     return texts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, schema)

@@ -48,20 +48,25 @@ class FMIndex:
     def __init__(self, text: np.ndarray, depth: int):
         """text: symbols 1.. with 0 closing each segment; depth: longest match of interest."""
         self.n, self.depth = len(text), depth
-        text = text.astype(np.int64)
+        text = text.astype(np.int32)
         sigma = int(text.max(initial=0)) + 1
         #: ranks of suffixes by their first 1, 2, 4, ... symbols
         self.ranks = {1: text}
         size = 1
-        while size < depth:
+        while True:
             have = self.ranks[size]
-            later = np.zeros(self.n, np.int64)
-            later[: self.n - size] = have[size:] + 1
-            key = have * (int(have.max(initial=0)) + 2) + later
-            self.ranks[2 * size] = np.unique(key, return_inverse=True)[1]
+            key = have.astype(np.int64) * (int(have.max(initial=0)) + 2)
+            key[: self.n - size] += have[size:] + 1
+            order = np.argsort(key, kind="stable")
+            if 2 * size >= depth:
+                break
+            key = key[order]
+            rank = np.zeros(self.n, np.int32)
+            rank[order[1:]] = np.cumsum(key[1:] != key[:-1], dtype=np.int32)
             size *= 2
-        self.suffixes = np.argsort(self.ranks[size], kind="stable")
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])[:-1]
+            self.ranks[size] = rank
+        self.suffixes = order.astype(np.int32)
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])[:-1].astype(np.int64)
         self.wavelet = WaveletMatrix(text[self.suffixes - 1], sigma)
         self.sigma = sigma
         self._blocks: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -71,7 +76,7 @@ class FMIndex:
         if length not in self._blocks:
             new = np.zeros(self.n, bool)
             new[:1] = True
-            at, rest, size = self.suffixes, length, max(self.ranks)
+            at, rest, size = self.suffixes.astype(np.int64), length, max(self.ranks)
             while rest:
                 while size > rest:
                     size //= 2
@@ -80,7 +85,7 @@ class FMIndex:
                 at, rest = at + size, rest - size
             heads = np.flatnonzero(new)
             which = np.cumsum(new) - 1
-            self._blocks[length] = heads[which], np.append(heads[1:], self.n)[which]
+            self._blocks[length] = heads.astype(np.int32)[which], np.append(heads[1:], self.n).astype(np.int32)[which]
         return self._blocks[length]
 
     def step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

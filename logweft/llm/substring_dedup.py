@@ -41,6 +41,8 @@ from .words import NO_ID, Words, mix, window_hash
 
 GRAM = 5
 WORD_BYTES = 5
+#: bytes of text in a block: its words' arrays take some thirty times as much
+BLOCK_BYTES = 3 << 20
 _SECOND = 1 << 20
 _ODD = 0xD6E8FEB86659FD93
 _ODD_INVERSE = pow(_ODD, -1, 1 << 64)
@@ -73,7 +75,8 @@ class Segmented:
         run = run[inside]
         self.start = np.flatnonzero(new & inside)
         self.count = np.bincount(run, minlength=len(self.start))
-        self.key, self.owner = least[self.start], owner[self.start]
+        # minimizers crowd at the low end of the hash range; mixed again they fill all shards alike
+        self.key, self.owner = mix(least[self.start] ^ np.uint64(_ODD)), owner[self.start]
 
     def contents(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of the chosen segments: (hash of content, number of words)."""
@@ -281,8 +284,8 @@ def _delete(shards: int, window: int):
 
 def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept (remaining words joined by one space, UTF-8), removed_start and removed_length (word spans)."""
-    shards = max(8, 2 * partitions(docs.sparkSession))
-    dealt = {"id_col": id_col, "text_col": text_col}
+    shards = max(8, 4 * partitions(docs.sparkSession))
+    dealt = {"id_col": id_col, "text_col": text_col, "block_bytes": BLOCK_BYTES}
     texts = blocks(docs, _send_texts, **dealt)
     shared = checkpointed(answers(blocks(docs, _send_minimizers(shards, window), **dealt), _shared))
     segments = receive(texts, shared, _send_segments(shards, window), MESSAGE)

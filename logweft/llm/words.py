@@ -111,12 +111,25 @@ def utf8(value) -> bytes:
     return b"" if value is None else value.encode("utf-8", "surrogatepass") if isinstance(value, str) else value
 
 
+_frozen = False
+
+
 def release() -> None:
-    """Gives freed memory of a Python worker, which lives on for other tasks, back to the machine."""
+    """Gives freed memory of a Python worker, which lives on for other tasks, back to the machine.
+
+    Few objects hold much memory here, so cycles that hold tables would wait
+    long for a collection; what was there at first is frozen to keep it cheap.
+    """
     import ctypes
+    import gc
 
     import pyarrow as pa
 
+    global _frozen
+    if not _frozen:
+        gc.freeze()
+        _frozen = True
+    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
