@@ -148,18 +148,22 @@ def _keyed(templates: DataFrame) -> DataFrame:
 
 
 def candidates(lines: DataFrame, templates: DataFrame) -> DataFrame:
-    """lines (size, head, end, ...: number of tokens, first and last) joined with the templates that these allow."""
+    """lines (size, head, end, s, ...: number of tokens, first, last, all joined) joined with the templates that these allow."""
     t = _keyed(templates).withColumn("r", turned(F.col("b")))
     led = lines.join(t.where("first IS NOT NULL"), F.col("head") == F.col("first"))
     free = lines.join(t.where("first IS NULL"), F.col("size") >= F.col("least"))
-    return led.unionByName(free).where((F.col("size") >= F.col("least")) & (F.col("last").isNull() | (F.col("end") == F.col("last"))))
+    met = led.unionByName(free).where((F.col("size") >= F.col("least")) & (F.col("last").isNull() | (F.col("end") == F.col("last"))))
+    # cheaper than placing them: all blocks have to occur somewhere
+    return met.where(F.forall("b.items", lambda x: F.contains(F.col("s"), x["text"])))
 
 
 def accepted(lines: DataFrame, templates: DataFrame) -> DataFrame:
     """(row_id, label, ordinal, ambiguous, captures): one row for each line and template that accepts it; lines (row_id, raw)."""
     rows = lines.select("row_id", tokens(F.col("raw")).alias("toks"))
     rows = rows.select("row_id", F.size("toks").alias("size"), F.coalesce(F.get("toks", F.lit(0)), F.lit("")).alias("head"), F.coalesce(F.try_element_at("toks", F.lit(-1)), F.lit("")).alias("end"), joined(F.col("toks")).alias("s"))
-    found = candidates(rows, templates).withColumn("f", fit(F.col("s"), F.col("b"), F.col("r"))).where("f.ok")
+    # exploding the fits that hold computes each once; a filter would be pushed below and compute it again
+    fits = F.filter(F.array(fit(F.col("s"), F.col("b"), F.col("r"))), lambda f: f["ok"])
+    found = candidates(rows, templates).withColumn("f", F.explode(fits))
     return found.select("row_id", "label", "ordinal", F.col("f.ambiguous").alias("ambiguous"), F.when(~F.col("f.ambiguous"), captures(F.col("s"), F.col("b"), F.col("f.left"))).alias("captures"))
 
 
