@@ -2,16 +2,20 @@
 
 A page becomes blocks of text: markup, scripts, styles and forms go; elements
 that say what they are (nav, aside, footer, class="comments", role="banner",
-...) go with all they hold; the blocks of an article or main element, where a
-page has one, are its text.  Then pages are range-sorted by host, URL path and
+...) go with all they hold.  Then pages are range-sorted by host, URL path and
 identifier, each page is paired with the neighbour on its host whose path is
 nearest, the two pages' lines are aligned by longest common subsequence, and
-shared lines are deleted.
-
-Lines inside an element that the page itself marks as its article are not
-deleted: copies and quoted passages share true text, and differencing alone
-would delete it (see the README for figures).  A page without such an element
-loses every shared line, unless all its lines are shared, as between copies.
+shared lines are deleted, unless all lines of a page are shared, as between
+copies.
+
+Copies and quoted passages share true text, so a shared line inside an element
+that the page itself marks as its article (or main part) is deleted only if the
+line is the site's: on MANY unlike pages of the host at least, and on half of
+the host's unlike pages.  Pages are unlike, with regard to a line, where their
+longest other lines differ; copies and pages around one long quotation count
+once.  A host's unlike pages differ in one of their two longest lines.  These
+lines are counted before pages are paired, and their hashes are broadcast.  A
+page without a partner has its article for text, where it has one.
 
 The sort key ends with the identifier, so a host of any size spreads over
 partitions; at a partition's edge a page's nearest neighbour is sought among
@@ -29,12 +33,14 @@ import re
 from bisect import bisect_left
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import partitions
+from .session import checkpointed, partitions
 from .words import column_ids, ids_column, sliced
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[/!?][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)", re.S)
@@ -54,6 +60,8 @@ MARKS = frozenset(
     "comment comments commentlist disqus reply replies respond reactions share sharing social related recommended recommendations widget widgets skip".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+#: unlike pages of a host that a line of articles is on at least before it can be the site's
+MANY = 5
 NEVER = frozenset("html body main h1 h2 h3 h4 h5 h6".split())
 
 
@@ -79,7 +87,7 @@ def _is_article(tag: str, at: dict[str, str]) -> int:
 
 
 def blocks(html: str) -> list[tuple[str, bool]]:
-    """(text, whether the page marks it as its article) of the blocks of a page."""
+    """(text, whether it is in what the page marks as its article) of the blocks of a page."""
     found: list[tuple[str, int]] = []
     held: list[str] = []
     # open elements that matter: (tag, level of article)
@@ -152,7 +160,7 @@ def blocks(html: str) -> list[tuple[str, bool]]:
         held.append(html[place:])
     close()
     best = max((k for _, k in found), default=0)
-    return [(t, best > 0) for t, k in found if k >= best]
+    return [(t, k == best > 0) for t, k in found]
 
 
 def common(a: list, b: list) -> list[bool]:
@@ -177,15 +185,44 @@ def common(a: list, b: list) -> list[bool]:
     return out
 
 
-def differ(page: list[tuple[str, bool]], other: list[tuple[str, bool]] | None) -> list[str]:
-    """Lines of page without those shared with other, but for its own article."""
-    lines = [t for t, _ in page]
-    if not other or all(own for _, own in page):
-        return lines
-    shared = common(lines, [t for t, _ in other])
+def differ(page: list[tuple[str, bool]], other: list[tuple[str, bool]] | None, often=frozenset()) -> list[str]:
+    """Lines of page without those shared with other; of its article only those go that are in `often`."""
+    shared = common([t for t, _ in page], [t for t, _ in other]) if other else []
     if all(shared):
-        return lines
-    return [t for (t, own), s in zip(page, shared) if own or not s]
+        article = [t for t, own in page if own]
+        return article or [t for t, _ in page]
+    return [t for (t, own), s in zip(page, shared) if not s or own and t not in often]
+
+
+def _line_key(host: str, line: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{host}\n{line}".encode("utf-8", "surrogatepass"))
+
+
+_LINES = pa.schema([("h", pa.int64()), ("k", pa.int64()), ("page", pa.int64())])
+
+
+def _lines(batches):
+    """(host, line, what tells the page from others) of articles' lines; a row with line = host for each page."""
+    for batch in sliced(batches, 1):
+        rows: set[tuple[int, int, int]] = set()
+        for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            own = {t for t, own in blocks(html or "") if own} if host else ()
+            if own:
+                h = _line_key(host, "")
+                long = [_line_key(host, t) for t in sorted(own, key=lambda t: (-len(t), t))[:2]]
+                rows.add((h, h, _line_key(host, f"{long[0]} {long[-1]}")))  # so a host has no fewer pages than one of its lines
+                rows.update((h, k, long[0] if k != long[0] else long[-1]) for k in (_line_key(host, t) for t in own))
+        table = np.array(list(rows), np.uint64).reshape(-1, 3).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(table[:, k])) for k in range(3)], schema=_LINES)
+
+
+def site_lines(rows: DataFrame) -> np.ndarray:
+    """Sorted keys of the articles' lines that are their sites' own."""
+    counts = rows.select("host", "html").mapInArrow(_lines, "h long, k long, page long").groupBy("h", "k").agg(F.count_distinct("page").alias("n"))
+    often = checkpointed(counts.where(F.col("n") >= MANY))
+    pages = often.where("h = k").select("h", F.col("n").alias("pages"))
+    found = often.where("h <> k").join(pages, "h").where("2 * n >= pages").select("k").toArrow()
+    return np.sort(found.column("k").to_numpy().view(np.uint64))
 
 
 def _nearness(a: list[str], b: list[str]) -> int:
@@ -207,7 +244,7 @@ def _parse(batches):
 _OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
 
-def _pair(batches):
+def _pair(batches, site: np.ndarray):
     """Sorted pages in; each is compared with the nearer of the pages before and after it on its host."""
     expand = zstandard.ZstdDecompressor().decompress
     done: list[tuple] = []
@@ -215,16 +252,20 @@ def _pair(batches):
     def flush():
         ids, urls, texts = zip(*done)
         done.clear()
-        import numpy as np
-
         return pa.RecordBatch.from_arrays([ids_column(np.array(ids, np.int64)), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], schema=_OUT)
 
+    def often(host, page):
+        own = [t for t, own in page if own] if len(site) else []
+        keys = np.array([_line_key(host, t) for t in own], np.uint64)
+        at = np.minimum(np.searchsorted(site, keys), len(site) - 1) if own else []
+        return {t for t, a, k in zip(own, at, keys) if site[a] == k}
+
     def finish(prev, this, after):
         near = [x for x in (prev, after) if x is not None and x[2] == this[2] and x[2]]
         near.sort(key=lambda x: -_nearness(x[3], this[3]))  # stable: the one before wins ties
         page = this[4]
         other = next((x[4] for x in near if [t for t, _ in x[4]] != [t for t, _ in page]), None)
-        done.append((this[0], this[1], "\n".join(differ(page, other))))
+        done.append((this[0], this[1], "\n".join(differ(page, other, often(this[2], page)))))
 
     prev = this = None
     for batch in batches:
@@ -249,4 +290,5 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     parsed = rows.mapInArrow(_parse, "page_id long, url string, host string, path string, body binary")
     place = ("host", "path", F.col("page_id").asc_nulls_last())
     near = parsed.repartitionByRange(partitions(pages.sparkSession), *place).sortWithinPartitions(*place)
-    return near.mapInArrow(_pair, "page_id long, url string, text string, n_chars long")
+    site = pages.sparkSession.sparkContext.broadcast(site_lines(rows))
+    return near.mapInArrow(lambda batches: _pair(batches, site.value), "page_id long, url string, text string, n_chars long")

@@ -143,3 +143,19 @@ def test_extract(spark):
     assert len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got.values())
     assert got[5].text == got[6].text == "" and got[4].text == "Menu line\nfour\nEnd line"
     assert extract_text(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_differencing_of_articles(spark):
+    notice, menu = "This site uses a notice line", "<div>Unmarked menu line</div>"
+    body = lambda k: "".join(f"<p>{w} {k}, a line of its own</p>" for w in ("one", "two"))
+    page = lambda k, more="": f"{menu}<article><h1>Page {k}</h1><p>{notice}</p>{body(k)}{more}</article><div>Lines outside of {k}</div>"
+    quoted = "<p>A passage that two pages of the site quote</p>"
+    rows = [(k, f"http://h.x/a/{k}", page(k, quoted if k in (2, 3) else "")) for k in range(8)]
+    rows += [(20 + k, f"http://copies.x/a/{k}", f"<article><h1>Day {k}</h1>{body('copy')}</article>") for k in range(8)]
+    rows += [(40, "http://alone.x/", page("alone"))]
+    got = {r.page_id: r.text.split("\n") for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()}
+    for k in range(8):
+        own = [f"Page {k}", f"one {k}, a line of its own", f"two {k}, a line of its own"]
+        assert got[k] == own + ["A passage that two pages of the site quote"] * (k in (2, 3)) + [f"Lines outside of {k}"]
+        assert got[20 + k] == [f"Day {k}", "one copy, a line of its own", "two copy, a line of its own"]
+    assert got[40] == ["Page alone", notice, "one alone, a line of its own", "two alone, a line of its own"]
