@@ -1,8 +1,9 @@
 """Line dedup by probing a sharded minimal perfect hash.
 
-Each task first reduces its documents' lines to distinct 128-bit hashes with a
-document count and the largest holder; one aggregate over those gives the
-lines found in enough documents.  They go, by the range of their hash, into
+Each task first reduces its documents' lines to distinct pairs of a 128-bit hash
+and an identifier; an aggregate over the pairs and one over the hashes give the
+lines found in enough documents, whatever tasks the rows of a document are
+dealt to.  They go, by the range of their hash, into
 shards; a shard is a minimal perfect hash with compact fingerprint, count and
 last-holder arrays.  Documents then probe the arrays; their lines are never
 joined.  The arrays are broadcast while their measured size is at most
@@ -56,29 +57,28 @@ def line_hashes(lines: list[bytes], min_chars: int) -> tuple[list[int], np.ndarr
     return at, halves[:, 0], halves[:, 1]
 
 
-_COUNTED = pa.schema([("k", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("last", pa.int64())])
+_COUNTED = pa.schema([("k", pa.int64()), ("c", pa.int64()), ("d", pa.int64()), ("n", pa.int64())])
 
 
 def _counted(min_chars: int):
-    """Distinct lines of some thousand documents with their document counts and largest holders."""
+    """Distinct (line, identifier) of some thousand documents; n counts the documents of a null identifier, which is NO_ID."""
 
     def reduce(k, c, d):
         order = np.lexsort((d, c, k))
         k, c, d = k[order], c[order], d[order]
         new = np.ones(len(k), bool)
-        new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-        holder = new.copy()
-        holder[1:] |= (d[1:] != d[:-1]) | (d[1:] == NO_ID)
+        new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1])
         at = np.flatnonzero(new)
-        n = np.add.reduceat(holder.astype(np.int64), at)
-        last = d[np.append(at[1:], len(k)) - 1]
-        return pa.RecordBatch.from_arrays([pa.array(k[at].view(np.int64)), pa.array(c[at].view(np.int64)), pa.array(n), pa.array(last)], schema=_COUNTED)
+        n = np.where(d[at] == NO_ID, np.diff(np.append(at, len(k))), 1)
+        return pa.RecordBatch.from_arrays([pa.array(k[at].view(np.int64)), pa.array(c[at].view(np.int64)), pa.array(d[at]), pa.array(n)], schema=_COUNTED)
 
     def run(batches):
         ks, cs, ds, held = [], [], [], 0
         for batch in sliced(batches, 1):
             for d, t in zip(column_ids(batch.column(0)).tolist(), column_bytes(batch.column(1))):
                 _, k, c = line_hashes(t.split(b"\n"), min_chars)
+                if d == NO_ID:  # a document of its own, which counts a line once
+                    k, c = np.unique(np.stack([k, c]), axis=1)
                 if len(k):
                     ks.append(k)
                     cs.append(c)
@@ -97,11 +97,11 @@ def _counted(min_chars: int):
 def frequent_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     """(k, c, n, last): hash halves, documents and largest holder of the lines found in enough documents.
 
-    A document's rows count once each where they are dealt to different tasks;
-    the identifiers are distinct in a corpus, and equal ones are merged first.
+    Rows that share an identifier count once; those without one count each.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_counted(min_chars), "k long, c long, n long, last long")
-    return rows.groupBy("k", "c").agg(F.sum("n").alias("n"), F.max("last").alias("last")).where(F.col("n") >= min_docs)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_counted(min_chars), "k long, c long, d long, n long")
+    holders = rows.groupBy("k", "c", "d").agg(F.when(F.col("d") == NO_ID, F.sum("n")).otherwise(1).alias("n"))
+    return holders.groupBy("k", "c").agg(F.sum("n").alias("n"), F.max("d").alias("last")).where(F.col("n") >= min_docs)
 
 
 def line_index(lines: DataFrame, shards: int) -> DataFrame:

@@ -77,6 +77,18 @@ def test_lines(spark, broadcast):
     assert dedup_lines(empty(spark), broadcast_bytes=broadcast).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [1 << 20, -1])
+def test_lines_of_repeated_rows(spark, broadcast):
+    two, three, null = (f"a line that {x} documents hold" for x in ("two", "three", "unnamed"))
+    rows = [(1, two), (1, f"{two}\nmore"), (1, two), (1, two), (1, two), (2, f"{two}\n{three}"), (3, three), (3, three), (3, three), (4, three), (2, three)]
+    rows += [(5, null), (None, f"{null}\n{null}\n{null}")]
+    docs = documents(spark, rows).repartition(8)
+    assert docs.rdd.glom().filter(lambda x: any(r.doc_id == 1 for r in x)).count() > 1
+    got = sorted((rank(r[0]), r[1], r[2], r[3].decode()) for r in dedup_lines(docs, broadcast_bytes=broadcast).collect())
+    assert got == line_brute(rows)
+    assert sum(r[2] for r in got) == 5
+
+
 def test_line_length_counts_code_points():
     assert line_dedup.line_key("é".encode() * 19, 20) is None
     assert line_dedup.line_key(" É".encode() + b"A" * 19 + b"\r", 20) == "É".encode() + b"a" * 19
