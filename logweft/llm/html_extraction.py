@@ -17,9 +17,12 @@ once.  A host's unlike pages differ in one of their two longest lines.  These
 lines are counted before pages are paired, and their hashes are broadcast.  A
 page without a partner has its article for text, where it has one.
 
+Equal pages in a row are one run with one partner: the last page before or the
+first page after the run, whichever path is nearer to the run's own end there.
 The sort key ends with the identifier, so a host of any size spreads over
-partitions; at a partition's edge a page's nearest neighbour is sought among
-those in its partition.
+partitions.  Their bounds are drawn from a sample of the keys; a first pass
+over hashes of lines finds the runs at the partitions' edges, so a run that an
+edge cuts, or that lies at one, has the partner that it would have without.
 
 Defined cases: null or empty html gives an empty text; a null url is a host of
 its own; null identifiers sort last; unclosed elements end where HTML ends them
@@ -30,7 +33,7 @@ from __future__ import annotations
 
 import pickle
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from html import unescape
 
 import numpy as np
@@ -41,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import checkpointed, partitions
-from .words import column_ids, ids_column, sliced
+from .words import NO_ID, column_ids, ids_column, sliced
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[/!?][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -185,40 +188,68 @@ def common(a: list, b: list) -> list[bool]:
     return out
 
 
+def _stay(lines: list, own: list[bool], other: list | None, often) -> list[bool]:
+    """For each line of a page, whether it is text of its own; of the article only lines go that are in `often`."""
+    shared = common(lines, other) if other else []
+    if all(shared):
+        return own if any(own) else [True] * len(lines)
+    return [not s or mine and t not in often for t, mine, s in zip(lines, own, shared)]
+
+
 def differ(page: list[tuple[str, bool]], other: list[tuple[str, bool]] | None, often=frozenset()) -> list[str]:
     """Lines of page without those shared with other; of its article only those go that are in `often`."""
-    shared = common([t for t, _ in page], [t for t, _ in other]) if other else []
-    if all(shared):
-        article = [t for t, own in page if own]
-        return article or [t for t, _ in page]
-    return [t for (t, own), s in zip(page, shared) if not s or own and t not in often]
+    stay = _stay([t for t, _ in page], [own for _, own in page], [t for t, _ in other or ()], often)
+    return [t for (t, _), s in zip(page, stay) if s]
 
 
 def _line_key(host: str, line: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{host}\n{line}".encode("utf-8", "surrogatepass"))
 
 
+def _digest(keys: list[int]) -> bytes:
+    return xxhash.xxh3_128_digest(np.array(keys, np.uint64).tobytes())
+
+
+def _part(bounds: list[tuple], host: str, path: str, i: int) -> int:
+    return bisect_right(bounds, (host.encode("utf-8", "surrogatepass"), path.encode("utf-8", "surrogatepass"), i))
+
+
+_OUTLINE = "part int, page_id long, host string, path string, digest binary, keys binary, own binary, longest binary"
+
+
+def _outline(batches, bounds: list[tuple]):
+    """Pages with the keys of their lines in the lines' place."""
+    for batch in sliced(batches, 4):
+        out = []
+        for i, host, path, html in zip(column_ids(batch.column(0)).tolist(), *[batch.column(k).to_pylist() for k in (2, 3, 4)]):
+            page = blocks(html or "")
+            keys = [_line_key(host, t) for t, _ in page]
+            longest = [_line_key(host, t) for t in sorted({t for t, own in page if own}, key=lambda t: (-len(t), t))[:2]]
+            out.append((_part(bounds, host, path, i), _digest(keys), np.array(keys, np.uint64).tobytes(), bytes(own for _, own in page), np.array(longest, np.uint64).tobytes()))
+        part, *rest = zip(*out) if out else [()] * 5
+        digest, keys, own, longest = (pa.array(x, pa.binary()) for x in rest)
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), batch.column(0), batch.column(2), batch.column(3), digest, keys, own, longest], names=["part", "page_id", "host", "path", "digest", "keys", "own", "longest"])
+
+
 _LINES = pa.schema([("h", pa.int64()), ("k", pa.int64()), ("page", pa.int64())])
 
 
 def _lines(batches):
     """(host, line, what tells the page from others) of articles' lines; a row with line = host for each page."""
-    for batch in sliced(batches, 1):
+    for batch in batches:
         rows: set[tuple[int, int, int]] = set()
-        for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own = {t for t, own in blocks(html or "") if own} if host else ()
-            if own:
-                h = _line_key(host, "")
-                long = [_line_key(host, t) for t in sorted(own, key=lambda t: (-len(t), t))[:2]]
+        for host, keys, own, longest in zip(*[c.to_pylist() for c in batch.columns]):
+            if host and longest:
+                h, long = _line_key(host, ""), np.frombuffer(longest, np.uint64).tolist()
                 rows.add((h, h, _line_key(host, f"{long[0]} {long[-1]}")))  # so a host has no fewer pages than one of its lines
-                rows.update((h, k, long[0] if k != long[0] else long[-1]) for k in (_line_key(host, t) for t in own))
+                rows.update((h, k, long[0] if k != long[0] else long[-1]) for k, mine in zip(np.frombuffer(keys, np.uint64).tolist(), own) if mine)
         table = np.array(list(rows), np.uint64).reshape(-1, 3).view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(table[:, k])) for k in range(3)], schema=_LINES)
 
 
-def site_lines(rows: DataFrame) -> np.ndarray:
+def site_lines(outline: DataFrame) -> np.ndarray:
     """Sorted keys of the articles' lines that are their sites' own."""
-    counts = rows.select("host", "html").mapInArrow(_lines, "h long, k long, page long").groupBy("h", "k").agg(F.count_distinct("page").alias("n"))
+    counts = outline.select("host", "keys", "own", "longest").mapInArrow(_lines, "h long, k long, page long").groupBy("h", "k").agg(F.count_distinct("page").alias("n"))
     often = checkpointed(counts.where(F.col("n") >= MANY))
     pages = often.where("h = k").select("h", F.col("n").alias("pages"))
     found = often.where("h <> k").join(pages, "h").where("2 * n >= pages").select("k").toArrow()
@@ -234,18 +265,85 @@ def _nearness(a: list[str], b: list[str]) -> int:
     return n
 
 
-def _parse(batches):
+class _Run:
+    """Equal pages in a row: host, digest and keys of their lines, and the paths of the first and the last."""
+
+    def __init__(self, host: str, digest: bytes, keys: list[int], first: str, last: str):
+        self.host, self.digest, self.keys, self.first, self.last = host, digest, keys, first, last
+        self.pages: list[tuple] = []
+
+    def joins(self, other) -> bool:
+        return self.host == other.host and self.digest == other.digest
+
+    def partner(self, before, after) -> list[int] | None:
+        """Lines of the nearer of the runs before and after; the one before wins ties."""
+        near = [(_nearness(x.split("/"), y.split("/")), r.keys) for r, x, y in ((before, before and before.last, self.first), (after, self.last, after and after.first)) if r is not None and r.host == self.host and self.host]
+        return max(near, key=lambda x: x[0])[1] if near else None
+
+
+def _edges(batches):
+    """The first two and last two runs of each partition (all of them where it has fewer), in order."""
+    head: list[_Run] = []
+    tail: list[_Run] = []
+    at = None
+
+    def flush():
+        runs = head + [r for r in tail if not any(r is x for x in head)]
+        found = [(r.host, r.digest, r.keys, r.first, r.last) for r in runs]
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([pickle.dumps(found)], pa.binary())], names=["part", "runs"])
+
+    for batch in batches:
+        for part, host, path, digest, keys in zip(*[c.to_pylist() for c in batch.columns]):
+            if at is not None and part != at:
+                yield flush()
+                head, tail = [], []
+            at = part
+            if tail and tail[-1].host == host and tail[-1].digest == digest:
+                tail[-1].last = path
+                continue
+            tail = [*tail[-1:], _Run(host, digest, np.frombuffer(keys, np.uint64).tolist(), path, path)]
+            if len(head) < 2:
+                head.append(tail[-1])
+    if at is not None:
+        yield flush()
+
+
+def _contexts(edges: list[tuple[int, list]]) -> dict[int, tuple]:
+    """For each partition: run before its first run, first path of that run, last path of its last run, run after that.
+
+    Runs that an edge cuts are joined, so the runs before and after may be partitions away.
+    """
+    chain: list[_Run] = []
+    ends = {}
+    for part, runs in sorted(edges):
+        places = []
+        for r in (_Run(*x) for x in runs):
+            if chain and not places and chain[-1].joins(r):
+                chain[-1].last = r.last
+            else:
+                chain.append(r)
+            places.append(len(chain) - 1)
+        ends[part] = places[0], places[-1]
+    return {p: (chain[a - 1] if a else None, chain[a].first, chain[b].last, chain[b + 1] if b + 1 < len(chain) else None) for p, (a, b) in ends.items()}
+
+
+def _parse(batches, bounds: list[tuple]):
     squeeze = zstandard.ZstdCompressor(level=3).compress
     for batch in sliced(batches, 4):
-        body = [squeeze(pickle.dumps(blocks(h or ""), protocol=5)) for h in batch.column(4).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(body, pa.binary())], names=["page_id", "url", "host", "path", "body"])
+        part, digest, body = [], [], []
+        for i, host, path, html in zip(column_ids(batch.column(0)).tolist(), *[batch.column(k).to_pylist() for k in (2, 3, 4)]):
+            page = blocks(html or "")
+            part.append(_part(bounds, host, path, i))
+            digest.append(_digest([_line_key(host, t) for t, _ in page]))
+            body.append(squeeze(pickle.dumps(page, protocol=5)))
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *batch.columns[:4], pa.array(digest, pa.binary()), pa.array(body, pa.binary())], names=["part", "page_id", "url", "host", "path", "digest", "body"])
 
 
 _OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
 
-def _pair(batches, site: np.ndarray):
-    """Sorted pages in; each is compared with the nearer of the pages before and after it on its host."""
+def _pair(batches, contexts: dict[int, tuple], site: np.ndarray):
+    """Sorted pages in; each run of equal pages is compared with the nearer of the pages before and after it on its host."""
     expand = zstandard.ZstdDecompressor().decompress
     done: list[tuple] = []
 
@@ -254,41 +352,73 @@ def _pair(batches, site: np.ndarray):
         done.clear()
         return pa.RecordBatch.from_arrays([ids_column(np.array(ids, np.int64)), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], schema=_OUT)
 
-    def often(host, page):
-        own = [t for t, own in page if own] if len(site) else []
-        keys = np.array([_line_key(host, t) for t in own], np.uint64)
-        at = np.minimum(np.searchsorted(site, keys), len(site) - 1) if own else []
-        return {t for t, a, k in zip(own, at, keys) if site[a] == k}
-
-    def finish(prev, this, after):
-        near = [x for x in (prev, after) if x is not None and x[2] == this[2] and x[2]]
-        near.sort(key=lambda x: -_nearness(x[3], this[3]))  # stable: the one before wins ties
-        page = this[4]
-        other = next((x[4] for x in near if [t for t, _ in x[4]] != [t for t, _ in page]), None)
-        done.append((this[0], this[1], "\n".join(differ(page, other, often(this[2], page)))))
-
-    prev = this = None
+    def finish(before, run, after):
+        """Texts of the run's pages, some at a time."""
+        other = run.partner(before, after)
+        at = np.minimum(np.searchsorted(site, np.array(run.keys, np.uint64)), len(site) - 1) if len(site) and run.keys else ()
+        often = {k for k, a in zip(run.keys, at) if site[a] == k}
+        page = text = None
+        for i, url, lines in run.pages:
+            if lines is not page:
+                page, stay = lines, _stay(run.keys, [own for _, own in lines], other, often)
+                text = "\n".join(t for (t, _), s in zip(lines, stay) if s)
+            done.append((i, url, text))
+            if len(done) >= 512:
+                yield flush()
+        run.pages = []
+
+    before = run = at = None
     for batch in batches:
-        for i, url, host, path, body in zip(column_ids(batch.column(0)).tolist(), *[batch.column(k).to_pylist() for k in range(1, 5)]):
-            new = (i, url, host, path.split("/"), pickle.loads(expand(body)))
-            if this is not None:
-                finish(prev, this, new)
-            prev, this = this, new
-        if len(done) >= 512:
-            yield flush()
-    if this is not None:
-        finish(prev, this, None)
+        for part, i, url, host, path, digest, body in zip(batch.column(0).to_pylist(), column_ids(batch.column(1)).tolist(), *[batch.column(k).to_pylist() for k in range(2, 7)]):
+            if part != at:
+                if run is not None:
+                    run.last = contexts[at][2]
+                    yield from finish(before, run, contexts[at][3])
+                before, run, at = contexts[part][0], None, part
+            page = pickle.loads(expand(body))
+            if run is None or run.host != host or run.digest != digest:
+                new = _Run(host, digest, [_line_key(host, t) for t, _ in page], contexts[part][1] if run is None else path, path)
+                if run is not None:
+                    yield from finish(before, run, new)
+                    before = run
+                run = new
+            elif run.pages[-1][2] == page:
+                page = run.pages[-1][2]  # copies are held once
+            run.last = path
+            run.pages.append((i, url, page))
+    if run is not None:
+        run.last = contexts[at][2]
+        yield from finish(before, run, contexts[at][3])
+    if done:
         yield flush()
 
 
+#: keys drawn for a partition's bounds
+SAMPLE = 100
+
+
+def _bounds(keys: DataFrame, n: int) -> list[tuple]:
+    """n - 1 keys or fewer that part the sorted pages into n runs of like length."""
+    drawn = keys.sample(min(1.0, n * SAMPLE / max(1, keys.count())), seed=7).collect()
+    drawn = sorted((r.host.encode("utf-8", "surrogatepass"), r.path.encode("utf-8", "surrogatepass"), NO_ID if r.page_id is None else r.page_id) for r in drawn)
+    return [drawn[len(drawn) * k // n] for k in range(1, n)] if drawn else []
+
+
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per page: page_id, url, text, n_chars."""
+    spark = pages.sparkSession
     url = F.coalesce(F.col(url_col), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     path = F.regexp_extract(url, r"^(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*)?([^?#]*)", 1)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"), F.col(html_col).alias("html"))
-    parsed = rows.mapInArrow(_parse, "page_id long, url string, host string, path string, body binary")
-    place = ("host", "path", F.col("page_id").asc_nulls_last())
-    near = parsed.repartitionByRange(partitions(pages.sparkSession), *place).sortWithinPartitions(*place)
-    site = pages.sparkSession.sparkContext.broadcast(site_lines(rows))
-    return near.mapInArrow(lambda batches: _pair(batches, site.value), "page_id long, url string, text string, n_chars long")
+    n = partitions(spark)
+    bounds = _bounds(rows.select("host", "path", "page_id"), n)
+    # equal keys are in one partition; the digest settles their order, for both passes
+    place = ("part", "host", "path", F.col("page_id").asc_nulls_last(), "digest")
+    outline = checkpointed(rows.mapInArrow(lambda batches: _outline(batches, bounds), _OUTLINE))
+    edges = outline.select("part", "page_id", "host", "path", "digest", "keys").repartitionById(n, F.col("part")).sortWithinPartitions(*place)
+    edges = edges.select("part", "host", "path", "digest", "keys").mapInArrow(_edges, "part int, runs binary").collect()
+    held = spark.sparkContext.broadcast((_contexts([(r.part, pickle.loads(r.runs)) for r in edges]), site_lines(outline)))
+    parsed = rows.mapInArrow(lambda batches: _parse(batches, bounds), "part int, page_id long, url string, host string, path string, digest binary, body binary")
+    near = parsed.repartitionById(n, F.col("part")).sortWithinPartitions(*place)
+    return near.mapInArrow(lambda batches: _pair(batches, *held.value), "page_id long, url string, text string, n_chars long")

@@ -159,3 +159,25 @@ def test_differencing_of_articles(spark):
         assert got[k] == own + ["A passage that two pages of the site quote"] * (k in (2, 3)) + [f"Lines outside of {k}"]
         assert got[20 + k] == [f"Day {k}", "one copy, a line of its own", "two copy, a line of its own"]
     assert got[40] == ["Page alone", notice, "one alone, a line of its own", "two alone, a line of its own"]
+
+
+@pytest.mark.parametrize("parts", ["1", "4", "11"])
+def test_differencing_past_copies_and_edges(spark, parts):
+    page = lambda t: f"<div>Menu line</div><p>{t}</p><div>End line</div>"
+    # runs of 1, 2, 3 and 30 copies on one host, so that edges cut runs and lie between them
+    copies = [1, 3, 30, 1, 2, 3, 1, 1]
+    words = [f"word {k}" for k, n in enumerate(copies) for _ in range(n)]
+    rows = [(k, f"http://h.x/a/{k:03}", page(w)) for k, w in enumerate(words)]
+    rows += [(100 + k, f"http://same.x/{k}", page("same")) for k in range(12)] + [(200, "http://alone.x/", page("alone"))]
+    # one path and no identifiers
+    rows += [(None, "http://null.x/", page(w)) for w in ("x", "y", "y", "y")]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = extract_text(spark.createDataFrame(rows[::-1], "page_id long, url string, html string").repartition(3)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    by = {r.page_id: r.text for r in got if r.page_id is not None}
+    assert len(got) == len(rows) and [by[k] for k in range(len(words))] == words
+    assert {by[100 + k] for k in range(12)} == {"Menu line\nsame\nEnd line"} and by[200] == "Menu line\nalone\nEnd line"
+    assert sorted(r.text for r in got if r.page_id is None) == ["x", "y", "y", "y"]
