@@ -8,8 +8,8 @@ by the number of languages.  A batch is scored by gathering rows of the matrix
 for all its n-grams and adding them up between text bounds.
 
 Fitting uses a bounded sample, `per_language` rows of each language at most
-(in expectation), chosen by a hash of the identifier; prediction reads whole
-texts of all rows.
+(in expectation), chosen by a hash of the identifier; a language's prior is its
+share of all training rows, and prediction reads whole texts of all rows.
 
 Defined cases: a null text or one without a letter gets `und` with score 0, as
 does every text when there is nothing to learn from; null languages are not
@@ -127,14 +127,14 @@ def _add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 def train(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model from the rows of docs where `learn` holds, about per_language of each language at most."""
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("i"))
-    found = {r["lang"]: r["count"] for r in docs.where(learn & F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).count().collect()}
+    found = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not found:
         return Model({}, {})
     share = F.create_map(*[F.lit(x) for lang, n in found.items() for x in (lang, min(1.0, per_language / n))])[F.col("lang")]
     sample = rows.where(F.pmod(F.xxhash64("i"), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text")
     parts = sample.coalesce(32).mapInArrow(_count, "lang string, n long, counts binary")
     got = parts.groupBy("lang").applyInArrow(_add, "lang string, n long, counts binary").collect()
-    return Model({r.lang: np.frombuffer(bytes(r.counts), np.int64) for r in got}, {r.lang: r.n for r in got})
+    return Model({r.lang: np.frombuffer(bytes(r.counts), np.int64) for r in got}, {r.lang: found[r.lang] for r in got})
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

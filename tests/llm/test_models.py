@@ -37,6 +37,13 @@ def test_language_prediction_does_not_depend_on_neighbours():
     assert together[0] == [a[0][0] for a in apart] and np.allclose(together[1], [a[1][0] for a in apart])
 
 
+def test_language_priors_are_of_all_rows(spark):
+    rows = [(k, "the same words", "en" if k % 10 else "fr") for k in range(2000)] + [(-1, None, "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs, docs.doc_id.isNotNull(), per_language=100)
+    assert model.languages == ["en", "fr"] and np.allclose(np.exp(model.prior), [0.9, 0.1])
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{TEST_DATA}/documents.parquet")
     model = language_id.train(docs, ~language_id.held_out())
