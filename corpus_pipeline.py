@@ -1,8 +1,8 @@
 """A corpus pipeline of five stages over `documents`, each written as Parquet and read again as the next one's input.
 
-1. language_id: documents in no learned language (no letter, or no text) go.
+1. language_id: documents in no learned language (no letter, or no text) go; where no language can be learned, those without a letter go.
 2. line_dedup: lines that three documents or more share stay in one of them.
-3. near_dedup: of documents linked by their SimHash fingerprints the one with the smallest identifier stays.
+3. near_dedup: of documents linked by their SimHash fingerprints the one with the smallest identifier stays; of rows that share it, the one with the smallest text.
 4. mixing: documents are repeated or left out to meet the sources' target weights; the last one taken of a source is shortened.
 5. packing: what is left is packed into token sequences.
 
@@ -22,7 +22,7 @@ from logweft.llm.line_dedup import dedup_lines
 from logweft.llm.mixing import mixed_documents
 from logweft.llm.packing import pack_documents
 from logweft.llm.session import checkpoint_dir
-from logweft.llm.simhash_dedup import near_duplicates
+from logweft.llm.simhash_dedup import smallest_rows
 
 
 def tokenizer_path() -> str:
@@ -47,8 +47,11 @@ def _with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = _lid.train(docs, ~_lid.held_out())
     held, names = _held(docs)
-    found = _lid.identify(held, model, text_col=names["text"])
-    return found.where(F.col("lang_pred") != _lid.UNKNOWN).select(*[F.col(n).alias(c) for c, n in names.items()])
+    if model.languages:
+        found = _lid.identify(held, model, text_col=names["text"]).where(F.col("lang_pred") != _lid.UNKNOWN)
+    else:
+        found = _lid.lettered(held, names["text"])
+    return found.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,10 +62,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    stay = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
     held, names = _held(docs)
-    kept = held.join(stay, F.col(names["doc_id"]) == F.col("doc_id"), "left_semi")
-    one = kept.withColumn("place", F.row_number().over(Window.partitionBy(names["doc_id"]).orderBy(names["text"]))).where("place = 1").drop("place")
+    text = names["text"]
+    kept = held.join(smallest_rows(docs), F.col(names["doc_id"]) == F.col("doc_id"))
+    kept = kept.withColumn("root", F.col("groups")[F.xxhash64(F.coalesce(F.col(text), F.lit("")))]).where(F.col("root").isNotNull())
+    # rows that share an identifier may be in several components
+    one = kept.withColumn("place", F.row_number().over(Window.partitionBy(names["doc_id"], "root").orderBy(text))).where("place = 1").select(held.columns)
     return one.union(held.where(F.col(names["doc_id"]).isNull())).select(*[F.col(n).alias(c) for c, n in names.items()])
 
 

@@ -151,5 +151,16 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     return docs.mapInArrow(run, "lang_pred string, score double, " + ", ".join(f"`{c}` {t}" for c, t in docs.dtypes))
 
 
+def lettered(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text has a letter."""
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in sliced(batches, place):
+            yield batch.filter(pa.array([bool(t and _LETTER.search(t)) for t in batch.column(place).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(3)) == 1, F.lit(False))

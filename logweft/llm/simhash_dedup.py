@@ -61,7 +61,7 @@ def _fingerprints(shingle: int):
     def run(batches):
         for batch in sliced(batches, 1):
             out = np.array([fingerprint(t, shingle) for t in column_bytes(batch.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *batch.schema.names[2:]])
 
     return run
 
@@ -120,12 +120,26 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(lambda batches: star(_whole_shards(batches)), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, fingerprint (16 hex digits), component_id (the smallest identifier reachable over links of at most radius bits)."""
-    fp = checkpointed(fingerprints(docs, shingle, id_col, text_col))
+def _named(fp: DataFrame, radius: int) -> DataFrame:
+    """(fp, root, component_id): each distinct fingerprint's component, by its root and by its smallest identifier."""
     distinct = checkpointed(fp.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(distinct, radius))
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = checkpointed(named.join(ids, "root").select("fp", "component_id"))
+    return checkpointed(named.join(ids, "root").select("fp", "root", "component_id"))
+
+
+def smallest_rows(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, groups): identifiers that are the smallest of a component; groups maps the XXH64 of such a row's text (null as empty) to the component's root."""
+    h = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), h.alias("h"))
+    fp = checkpointed(rows.mapInArrow(_fingerprints(shingle), "doc_id long, fp long, h long"))
+    least = fp.join(_named(fp, radius), "fp").where("doc_id = component_id").select("doc_id", "h", "root").distinct()
+    return least.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("h", "root"))).alias("groups"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, fingerprint (16 hex digits), component_id (the smallest identifier reachable over links of at most radius bits)."""
+    fp = checkpointed(fingerprints(docs, shingle, id_col, text_col))
+    names = _named(fp, radius).select("fp", "component_id")
     return fp.join(names, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -5,13 +5,14 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from logweft.llm.hilbert import hilbert_key
 from logweft.llm.mixing import fair_queue, mixed_documents
 from logweft.llm.packing import pack_documents
 
-from .cases import documents, empty, ordered, split, texts
+from .cases import documents, empty, ordered, split, texts, words
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -175,3 +176,17 @@ def test_pipeline_stages(spark, tmp_path):
         else:
             assert kept.columns == docs.columns
     assert math.isfinite(kept.count()) and ordered([None, 1]) == [1, None]
+
+
+def test_pipeline_without_a_learned_language(spark):
+    docs = documents(spark).withColumn("lang", F.lit(None).cast("string"))
+    got = corpus_pipeline.language_id(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(r.text for r in got.collect()) == sorted(t for _, t in texts() if t and any(c.isalpha() for c in t))
+
+
+def test_pipeline_near_dedup_of_rows_that_share_an_identifier(spark):
+    a, b, c = (" ".join(words(s, 80)) for s in (1, 2, 3))
+    rows = [(1, a), (1, b), (1, b), (2, a), (2, c), (3, c), (3, b), (4, ""), (4, None), (None, a)]
+    got = corpus_pipeline.near_dedup(spark, documents(spark, rows).repartition(4), "").collect()
+    assert sorted(((r.doc_id, r.text or "") for r in got), key=str) == sorted([(1, a), (1, b), (2, c), (4, ""), (None, a)], key=str)
