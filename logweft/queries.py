@@ -184,10 +184,9 @@ def lof_excluded(spark, d):
 
 
 def structural_distances(spark, d):
-    """All pairs of distinct URL structures of the suppliers' and nations' names."""
-    x = lines_of(table(spark, d, "nation"), "n_nationkey", "n_name").select(F.col("row_id").alias("i"), T.signature(T.tokens(F.col("raw"))).alias("a"))
-    y = x.select(F.col("i").alias("j"), F.col("a").alias("b"))
-    return x.join(y, F.col("i") < F.col("j")).select("i", "j", F.round(structural_distance("a", "b"), 9).alias("d"))
+    """All pairs of the suppliers' and nations' names; a supplier's id is negative."""
+    x = lines_of(table(spark, d, "nation"), "n_nationkey", "n_name").unionByName(lines_of(table(spark, d, "supplier").withColumn("s_suppkey", -F.col("s_suppkey") - 1), "s_suppkey", "s_name"))
+    return distances.pair_distances(x).where("i < j").select("i", "j", F.round("d", 9).alias("d"))
 
 
 def token_common_lengths(spark, d):

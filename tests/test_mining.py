@@ -302,3 +302,13 @@ def test_command_line_and_experiment(spark, tmp_path, capsys):
     assert json.loads((tmp_path / "x" / "R01" / "summary.json").read_text())["identifier_counts"] == {"GPGGA": 6}
     runs = run_matrix("a", "b", ["c", "d", "e"], "f", "g")
     assert [r.run_id for r in runs] == [f"R0{k}" for k in range(1, 10)] and runs[5].path == "f" and [r.run_id for r in select_runs(runs, ["R02"])] == ["R02"]
+
+
+def test_structural_distances_take_suppliers_and_nations(spark):
+    from logweft.queries import structural_distances
+
+    text = {r.n_nationkey: r.n_name for r in spark.read.parquet("/root/testdata/sf0.001/nation.parquet").collect()}
+    text |= {-r.s_suppkey - 1: r.s_name for r in spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").collect()}
+    sig = {r.i: r.s for r in spark.createDataFrame(list(text.items()), "i long, raw string").select("i", T.signature(T.tokens(F.col("raw"))).alias("s")).collect()}
+    got = {(r.i, r.j): r.d for r in structural_distances(spark, "/root/testdata/sf0.001").collect()}
+    assert got == {(i, j): pytest.approx(weighted([sig[i]], [sig[j]])[0], abs=1e-8) for i in text for j in text if i < j}
