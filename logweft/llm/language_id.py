@@ -3,22 +3,21 @@
 Texts become code points (A-Z lower-cased, other ASCII non-letters read as
 blanks); the 1-, 2- and 3-grams of a text are hashed into one table of
 2 ** BITS features.  Training sums feature counts by language; the matrix of
-log probabilities (languages x features, floats) is broadcast, its size fixed
-by the number of languages.  A batch is scored by gathering rows of the matrix
+log probabilities (languages x features, floats) is broadcast, its size bounded
+by `most_languages`.  A batch is scored by gathering rows of the matrix
 for all its n-grams and adding them up between text bounds.
 
 Fitting uses a bounded sample, `per_language` rows of each language at most
-(in expectation), chosen by a hash of the identifier; a language's prior is its
+(in expectation), chosen by a hash of the identifier, and the `most_languages`
+commonest values of lang; a language's prior is its
 share of all training rows, and prediction reads whole texts of all rows.
 
 Defined cases: a null text or one without a letter gets `und` with score 0, as
 does every text when there is nothing to learn from; null languages are not
-learned from; an empty table gives an empty result.
+learned from; texts in languages beyond the bound get the nearest learned one; an empty table gives an empty result.
 """
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,13 +29,19 @@ BITS = 16
 ORDERS = (1, 2, 3)
 SMOOTHING = 0.5
 PER_LANGUAGE = 6000
+#: values of lang that are learned at most, the commonest: each is a row of 2**BITS float32 in the broadcast
+MOST_LANGUAGES = 128
 UNKNOWN = "und"
 #: code points handled at once
 CHUNK = 1 << 19
-_LETTER = re.compile(r"[^\W\d_]")
 _MAP = np.array([x + 32 if 65 <= x <= 90 else x if 97 <= x <= 122 else 32 for x in range(128)], np.uint32)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a letter: a code point of Unicode's categories L (numbers such as ² or ½ are none)."""
+    return any(map(str.isalpha, text))
+
+
 def _features(texts: list[str]):
     """(order's features at each code point, start and end of each text) of the texts laid one after another, two blanks after each."""
     codes = np.frombuffer("  ".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -79,7 +84,7 @@ class Model:
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Most probable language and its posterior probability."""
         labels, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-        usable = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if self.languages else []
+        usable = [i for i, t in enumerate(texts) if t and has_letter(t)] if self.languages else []
         for a, b in _pieces([texts[i] for i in usable]):
             rows = usable[a:b]
             features, start, end = _features([texts[i] for i in rows])
@@ -124,14 +129,14 @@ def _add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"lang": [key[0].as_py()], "n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
-def train(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model from the rows of docs where `learn` holds, about per_language of each language at most."""
+def train(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """A model from the rows of docs where `learn` holds, about per_language of each language and most_languages languages (the commonest, ties by name) at most."""
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("i"))
-    found = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    found = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
     if not found:
         return Model({}, {})
     share = F.create_map(*[F.lit(x) for lang, n in found.items() for x in (lang, min(1.0, per_language / n))])[F.col("lang")]
-    sample = rows.where(F.pmod(F.xxhash64("i"), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text")
+    sample = rows.where(F.col("lang").isin(list(found))).where(F.pmod(F.xxhash64("i"), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text")
     parts = sample.coalesce(32).mapInArrow(_count, "lang string, n long, counts binary")
     got = parts.groupBy("lang").applyInArrow(_add, "lang string, n long, counts binary").collect()
     return Model({r.lang: np.frombuffer(bytes(r.counts), np.int64) for r in got}, {r.lang: found[r.lang] for r in got})
@@ -157,7 +162,7 @@ def lettered(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches):
         for batch in sliced(batches, place):
-            yield batch.filter(pa.array([bool(t and _LETTER.search(t)) for t in batch.column(place).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([bool(t and has_letter(t)) for t in batch.column(place).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -29,6 +29,52 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in language_id.identify(documents(spark), nothing).collect()} == {"und"}
 
 
+def brute_scores(train, text):
+    """Naive Bayes from its definition: hashed 1- to 3-grams that begin in a text, which two blanks follow."""
+
+    def grams(t):
+        codes = [ord(c) + 32 if "A" <= c <= "Z" else ord(c) if "a" <= c <= "z" or ord(c) > 127 else 32 for c in t] + [32] * 3
+        for n in language_id.ORDERS:
+            for k in range(len(t)):
+                h = n * 0x9E3779B1 & 0xFFFFFFFF
+                for x in codes[k : k + n]:
+                    h = (h ^ x) * 0x85EBCA6B & 0xFFFFFFFF
+                    h ^= h >> 15
+                yield (h * 0xC2B2AE35 & 0xFFFFFFFF) >> 32 - language_id.BITS
+
+    counts, rows = {}, Counter()
+    for t, lang in train:
+        rows[lang] += 1
+        counts.setdefault(lang, Counter()).update(grams(t))
+    log = {}
+    for lang, c in counts.items():
+        total = sum(c.values()) + language_id.SMOOTHING * 2**language_id.BITS
+        log[lang] = math.log(rows[lang] / sum(rows.values())) + sum(math.log((c[g] + language_id.SMOOTHING) / total) for g in grams(text))
+    best = max(sorted(log), key=log.get)
+    return best, 1 / sum(math.exp(x - log[best]) for x in log.values())
+
+
+def test_language_against_brute_force(spark):
+    rows = [(k, t, lang) for k, (t, lang) in enumerate([("the cat and the dog", "en"), ("A thing of THE past", "en"), ("le chat et le chien", "fr"), ("élan vital, été", "fr"), ("die Katze und der Hund", "de"), ("the", None)] * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    train = [(t, lang) for k, t, lang in rows if lang and zlib.crc32(str(k).encode()) % 3 != 1]
+    model = language_id.train(docs, ~language_id.held_out())
+    asked = ["the dog", "chat", "und", "É", "x" * 200 + " the", "le the die"]
+    got = language_id.identify(spark.createDataFrame([(t,) for t in asked], "text string"), model).collect()
+    for r in got:
+        lang, score = brute_scores(train, r.text)
+        assert r.lang_pred == lang and r.score == pytest.approx(score, rel=1e-3)
+
+
+def test_language_needs_a_letter():
+    assert [language_id.has_letter(t) for t in ("½ ² ①", "12 _ !", "ª", "中", "ⅷ", "x", "")] == [False, False, True, True, False, True, False]
+
+
+def test_language_bound(spark):
+    docs = spark.createDataFrame([(k, "some words", f"l{k % 9}") for k in range(90)] + [(100, "some words", "l5")], "doc_id long, text string, lang string")
+    assert language_id.train(docs, docs.doc_id.isNotNull(), most_languages=3).languages == ["l0", "l1", "l5"]
+
+
 def test_language_prediction_does_not_depend_on_neighbours():
     model = language_id.Model({"x": np.bincount(language_id._features(["aaa bbb"])[0][2], minlength=1 << language_id.BITS), "y": np.ones(1 << language_id.BITS, int)}, {"x": 1, "y": 1})
     texts = ["aaa", "é b", "", None, "zzz aaa"]
