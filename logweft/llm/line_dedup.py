@@ -6,9 +6,10 @@ lines found in enough documents, whatever tasks the rows of a document are
 dealt to.  They go, by the range of their hash, into
 shards; a shard is a minimal perfect hash with compact fingerprint, count and
 last-holder arrays.  Documents then probe the arrays; their lines are never
-joined.  The arrays are broadcast while their measured size is at most
+joined.  The arrays are broadcast while their measured size in memory is at most
 `broadcast_bytes`; above, blocks of documents send their line hashes to the
-shards and get one bit a line back.
+shards and get one bit a line back.  A shard's questions are dealt into groups
+of measured size, each of which meets a copy of the shard's arrays.
 
 Defined cases: null or empty text is one empty line; a null identifier is the
 largest of all, and a line with several null-identified holders stays in all of
@@ -17,7 +18,6 @@ gives an empty result.
 """
 from __future__ import annotations
 
-import hashlib
 import pickle
 
 import numpy as np
@@ -26,9 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import MESSAGE, answers, blocks, by_shard, expand, pack_texts, receive, squeeze, unpack_texts
+from .exchange import MESSAGE, blocks, expand, pack_texts, receive, squeeze, unpack_texts
 from .mphf import LineIndex
-from .session import checkpointed, partitions
+from .session import checkpointed
 from .words import NO_ID, column_bytes, column_ids, ids_column, release, sliced
 
 STRIP = b" \t\n\x0b\x0c\r"
@@ -36,6 +36,8 @@ _UPPER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXY
 BROADCAST_BYTES = 64 << 20
 #: lines a shard is made for, about
 SHARD_LINES = 1 << 20
+#: bytes of questions that meet a shard at once, about
+GROUP_BYTES = 64 << 20
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -105,15 +107,16 @@ def frequent_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
 
 
 def line_index(lines: DataFrame, shards: int) -> DataFrame:
-    """(shard, payload): each shard's LineIndex."""
+    """(shard, payload, size): each shard's LineIndex, and its bytes in memory."""
     shard = F.pmod(F.shiftrightunsigned("k", 33), F.lit(shards)).cast("int").alias("shard")
 
     def build(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         k, c, n, last = (table.column(x).to_numpy() for x in ("k", "c", "n", "last"))
         index = LineIndex(k.view(np.uint64), c.view(np.uint64), n, last)
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "payload": pa.array([squeeze(pickle.dumps(index))], pa.binary())})
+        data = pickle.dumps(index)
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "payload": pa.array([squeeze(data)], pa.binary()), "size": pa.array([len(data)], pa.int64())})
 
-    return lines.withColumn("shard", shard).groupBy("shard").applyInArrow(build, "shard int, payload binary")
+    return lines.withColumn("shard", shard).groupBy("shard").applyInArrow(build, "shard int, payload binary, size long")
 
 
 def _shard_of(k: np.ndarray, shards: int) -> np.ndarray:
@@ -184,9 +187,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
     lines = checkpointed(frequent_lines(plain, min_chars, min_docs))
     shards = max(1, -(-lines.count() // SHARD_LINES))
     index = checkpointed(line_index(lines, shards))
-    size = index.agg(F.sum(F.length("payload"))).first()[0] or 0
+    size = index.agg(F.sum("size")).first()[0] or 0
     if size <= broadcast_bytes:
-        held = spark.sparkContext.broadcast({r.shard: bytes(r.payload) for r in index.collect()})
+        held = spark.sparkContext.broadcast({r.shard: bytes(r.payload) for r in index.select("shard", "payload").collect()})
 
         def probe(batches):
             p = _Probe(held.value, shards, min_chars)
@@ -235,7 +238,12 @@ def _exchanged(plain: DataFrame, index: DataFrame, shards: int, min_chars: int)
         b, s, p = zip(*out) if out else ((), (), ())
         return pa.table({"block": pa.array(b, pa.int64()), "shard": pa.array(s, pa.int32()), "payload": pa.array(p, pa.binary())})
 
-    replies = sent.where("shard >= 0").groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(answer, MESSAGE)
+    asked = sent.where("shard >= 0")
+    most = asked.groupBy("shard").agg(F.sum(F.length("payload")).alias("n")).agg(F.max("n")).first()[0] or 0
+    groups = max(1, -(-most // GROUP_BYTES))
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
+    copies = index.select("shard", "payload", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
+    replies = asked.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInArrow(answer, MESSAGE)
 
     def take(block, payload, got):
         ids, texts = unpack_texts(payload)
@@ -244,7 +252,3 @@ def _exchanged(plain: DataFrame, index: DataFrame, shards: int, min_chars: int)
         return got.append_column("before", pa.array([t.decode("utf-8", "surrogatepass") for t in texts], pa.string()))
 
     return receive(sent.where("shard < 0"), replies, take, "doc_id long, n_lines long, n_dropped long, kept binary, before string")
-
-
-def digest_of(kept: str = "kept"):
-    return F.sha2(F.col(kept), 256)

@@ -59,18 +59,18 @@ class PerfectHash:
 
 
 class LineIndex:
-    """Perfect hash over the first half of 128-bit line hashes, with a fingerprint, a count and the last holder for each."""
+    """Perfect hash over the first half of 128-bit line hashes, with the other half as fingerprint, a count and the last holder for each."""
 
     def __init__(self, key: np.ndarray, check: np.ndarray, count: np.ndarray, last: np.ndarray):
         self.hash = PerfectHash(key)
         at = self.hash.index(key)
-        self.fingerprint, self.count, self.last = np.zeros(len(key), np.uint32), np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
-        self.fingerprint[at], self.count[at], self.last[at] = (check >> np.uint64(32)).astype(np.uint32), count, last
+        self.fingerprint, self.count, self.last = np.zeros(len(key), np.uint64), np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+        self.fingerprint[at], self.count[at], self.last[at] = check, count, last
 
     def probe(self, key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(whether the line is in the index, its last holder)."""
         if not self.hash.n:
             return np.zeros(len(key), bool), np.zeros(len(key), np.int64)
         at = self.hash.index(key)
-        found = (at >= 0) & (self.fingerprint[at] == (check >> np.uint64(32)).astype(np.uint32))
+        found = (at >= 0) & (self.fingerprint[at] == check)
         return found, self.last[at]

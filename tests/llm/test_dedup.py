@@ -89,6 +89,12 @@ def test_lines_of_repeated_rows(spark, broadcast):
     assert sum(r[2] for r in got) == 5
 
 
+def test_lines_by_groups_of_questions(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "GROUP_BYTES", 512)
+    got = dedup_lines(documents(spark).repartition(6), broadcast_bytes=-1).collect()
+    assert sorted((rank(r[0]), r[1], r[2], r[3].decode()) for r in got) == line_brute(texts())
+
+
 def test_line_length_counts_code_points():
     assert line_dedup.line_key("é".encode() * 19, 20) is None
     assert line_dedup.line_key(" É".encode() + b"A" * 19 + b"\r", 20) == "É".encode() + b"a" * 19
