@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df computed once into the folder of spark.checkpoint.dir (a temporary one where that is unset), its lineage cut."""
+    """df computed once into the folder of spark.checkpoint.dir, its lineage cut; where that is unset, a temporary folder on a single machine and an error on a cluster."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
 
 
@@ -28,3 +31,12 @@ def numbered(df: DataFrame, order: list, name: str, start: int = 0) -> DataFrame
     offsets = sizes.select("part_", (F.sum("count").over(Window.orderBy("part_")) - F.col("count")).alias("offset_"))
     local = F.col("mid_").bitwiseAND((1 << 33) - 1)
     return rows.withColumn("part_", part).join(F.broadcast(offsets), "part_").withColumn(name, F.col("offset_") + local + start).drop("mid_", "part_", "offset_")
+
+
+def numbered_within(df: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
+    """df with `name` = 0, 1, ... inside each group of equal keys, in the given order; a group of any size spreads over the range partitions of one sort."""
+    rows = numbered(df, [*keys, *order], "at_")
+    first = rows.groupBy(*[F.col(k).alias(f"{k}_") for k in keys]).agg(F.min("at_").alias("first_"))
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]
+    joined = rows.join(first, same)
+    return joined.withColumn(name, (F.col("at_") - F.col("first_")).cast("int")).select(*df.columns, name)
