@@ -2,26 +2,33 @@
 
 Each source is a queue of its documents in a fixed shuffled order, as often as
 it may repeat.  A document's virtual finish time is its source's cumulative
-size divided by the source's weight; the mix is all copies in the order of
-their finish times, cut where the total budget is used up.  At the cut every
-source has been served weight x time, or all it has, which is the same as
-capping targets at the most a source may give and resharing the rest by weight.
-
-Only DataFrame functions run here.  Cumulative sizes come in two steps, so no
-source is ever in one task: sums over (source, slice of the hash order), a
-window over those few sums, and a window inside each slice.  The slices follow
-the number of documents of a source.
-
-Defined cases: null text has size 0; size-0 documents are never taken; null
-sources are one source, last in order; null or repeated identifiers are rows
-like any other.  If all that sources may give is below the budget, everything
-is taken.  An empty table gives an empty result.
+size divided by the source's weight, its start time that of the document
+before.  All copies stand in one queue, globally range-sorted by finish time,
+and the queue is cut where the total budget is used up: sums over its range
+partitions, with the parts of the copies that are being served at a
+partition's end, give the words served by then; the partition in which they
+reach the budget holds the cut.  Inside it the rate of service changes only
+where a source's last copy ends, so the time of the cut follows from those
+copies.  What a copy gives is what is served of it before the cut, which shares
+the words of sources that run dry among the rest by weight.
+
+Only DataFrame functions run here.  Cumulative sizes inside a source come in
+two steps, so no source is ever in one task: sums over (source, slice of the
+hash order), a window over those few sums, and a window inside each slice.  The
+slices follow the number of documents of a source.
+
+Defined cases: null text has size 0; size-0 documents are never taken and not
+queued; null sources are one source, last in order; repeated identifiers are
+rows like any other; rows with a null identifier are shuffled by their texts.
+If all that sources may give is below the budget, everything is taken.  An
+empty table gives an empty result.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbering import numbered
 from .session import checkpointed, partitions
 
 #: documents in a slice of a source's shuffled order, about
@@ -35,26 +42,56 @@ def word_count(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x20\x09-\x0D]"), F.length(one)).otherwise(F.lit(0)).cast("long")
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, repeats: int) -> DataFrame:
-    """sizes (source, source_size) with weight, target and the virtual time of the cut.
+def weighted_sources(sizes: DataFrame, weights: tuple[int, ...]) -> DataFrame:
+    """sizes (source, source_size, n) with weight: the weights in turn, in the order of the sources' names, null last."""
+    ranked = numbered(sizes, [F.col("source").asc_nulls_last()], "rank")
+    return ranked.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))).drop("rank")
 
-    The sources are as many as the data has; each is one row here.  Serving at
-    weight x time with every source ending at repeats x size, the budget is
-    used up at the time found by adding sources in the order they run dry.
+
+def queue_cut(copies: DataFrame, budget: float, n: int) -> float | None:
+    """The virtual time at which the queue has served `budget` words; None if it never does.
+
+    copies (start, size, source_size, weight, last): start counts its source's
+    words before the copy, last marks a source's last copy.
     """
-    by_name, dry = Window.orderBy(F.col("source").asc_nulls_last()), Window.orderBy("dry_at", F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
-    x = sizes.withColumn("weight", w.cast("double")).withColumn("most", (F.col("source_size") * repeats).cast("double")).withColumn("dry_at", F.col("most") / F.col("weight"))
-    everything = Window.partitionBy()
-    x = x.withColumn("budget", F.sum("source_size").over(everything) * F.lit(float(share)))
-    # served when the source runs dry: all that is dry before, and the others at weight x time
-    x = x.withColumn("spent", F.coalesce(F.sum("most").over(dry.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    x = x.withColumn("open", F.sum("weight").over(dry.rowsBetween(0, Window.unboundedFollowing)))
-    x = x.withColumn("time", (F.col("budget") - F.col("spent")) / F.col("open"))
-    # the cut is the first time that comes before its source runs dry; if there is none, all is taken
-    x = x.withColumn("cut", F.min(F.when(F.col("time") <= F.col("dry_at"), F.struct("dry_at", "time"))).over(everything)["time"])
-    x = x.withColumn("target", F.least(F.col("most"), F.coalesce(F.col("cut") * F.col("weight"), F.col("most"))))
-    return x.select("source", "source_size", "weight", "target", "cut")
+    finish = (F.col("start") + F.col("size")) / F.col("weight")
+    queue = copies.select("start", "size", "weight", "last", (F.col("start") / F.col("weight")).alias("begin"), finish.alias("finish"))
+    queue = queue.repartitionByRange(n, "finish").withColumn("part", F.shiftright(F.monotonically_increasing_id(), 33).cast("int"))
+    queue = checkpointed(queue)
+    ends = {r.part: r for r in queue.groupBy("part").agg(F.max("finish").alias("end"), F.sum("size").alias("words")).collect()}  # a row a partition
+    bounds, last = [], -1.0
+    for part in range(max(ends, default=-1) + 1):
+        last = ends[part].end if part in ends else last
+        bounds.append(last)
+    bound = F.array(*[F.lit(x) for x in bounds])
+    # copies in service at the end of a partition before their own: at each end one a source at most
+    open_ = queue.where((F.col("part") > 0) & (F.get(bound, F.col("part") - 1) > F.col("begin")))
+    open_ = open_.withColumn("at", F.explode(F.filter(F.sequence(F.lit(0), F.col("part") - 1), lambda k: F.get(bound, k) > F.col("begin"))))
+    partly = {r["at"]: r.words for r in open_.groupBy("at").agg(F.sum(F.get(bound, F.col("at")) * F.col("weight") - F.col("start")).alias("words")).collect()} if ends else {}
+    served, cut = 0.0, None
+    for part in sorted(ends):
+        served += ends[part].words
+        if served + partly.get(part, 0.0) >= budget:
+            cut = part
+            break
+    if cut is None:
+        return None
+    # sources that ended in the partitions before; the others are served at their weight
+    ended = queue.where("last")
+    total = ended.agg(F.sum("weight")).first()[0]
+    most = F.sum(F.col("start") + F.col("size")).alias("most")
+    before = ended.where(F.col("part") < cut).agg(most, F.sum("weight").alias("weight")).first()
+    left, rate = budget - (before.most or 0), total - (before.weight or 0.0)
+    drying = ended.where(F.col("part") == cut).groupBy("finish").agg(most, F.sum("weight").alias("weight"))
+    to = Window.orderBy("finish").rowsBetween(Window.unboundedPreceding, -1)  # over one range partition's last copies
+    sums = drying.select("finish", F.coalesce(F.sum("most").over(to), F.lit(0)).alias("most"), F.coalesce(F.sum("weight").over(to), F.lit(0.0)).alias("weight"))
+    time = (F.lit(left) - F.col("most")) / (F.lit(rate) - F.col("weight"))
+    first = sums.select("finish", time.alias("time")).where("time <= finish").orderBy("finish").first()
+    if first is not None:
+        return first.time
+    dry = drying.agg(F.sum("most").alias("most"), F.sum("weight").alias("weight")).first()
+    rate -= dry.weight or 0.0
+    return (left - (dry.most or 0)) / rate if rate > 0 else None
 
 
 def fair_queue(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, repeats: int = 2, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -64,25 +101,36 @@ def fair_queue(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: flo
     their targets to the word; `taken` counts repeats.  Columns of carry (whole
     texts, say) are moved once, by the last window.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *[F.col(c).alias(f"_{c}") for c in carry])
-    rows = rows.withColumn("spot", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.when(F.col(id_col).isNull(), F.md5(F.col(text_col).cast("binary"))).alias("unnamed"), *[F.col(c).alias(f"_{c}") for c in carry])
+    rows = rows.withColumn("spot", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), "unnamed", F.lit(""))))).drop("unnamed")
     slim = checkpointed(rows.select("doc_id", "source", "size", "spot"))
-    rows = rows if carry else slim
     per_source = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     slices = F.greatest(F.lit(1), F.ceil(F.col("n") / SLICE)).cast("long")
-    targets = checkpointed(source_targets(per_source, weights, share, repeats).alias("t").join(per_source.select(F.col("source").alias("s"), slices.alias("slices")), F.col("t.source").eqNullSafe(F.col("s"))).drop("s"))
+    sources = checkpointed(weighted_sources(per_source, weights).select("source", "source_size", "weight", slices.alias("slices")))
 
     def sliced(x: DataFrame) -> DataFrame:
         part = F.shiftright(F.conv(F.substring("r.spot", 1, 8), 16, 10).cast("long") * F.col("t.slices"), 32)
-        return x.alias("r").join(targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select("r.*", "t.source_size", "t.weight", "t.target", part.alias("slice"))
+        return x.alias("r").join(sources.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select("r.*", "t.source_size", "t.weight", part.alias("slice"))
 
     sums = sliced(slim).groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
-    before = sums.select("source", "slice", (F.sum("slice_size").over(Window.partitionBy("source").orderBy("slice")) - F.col("slice_size")).alias("before"))
-    rows = sliced(rows).alias("r").join(before.alias("b"), F.col("r.source").eqNullSafe(F.col("b.source")) & (F.col("r.slice") == F.col("b.slice"))).select("r.*", "b.before")
+    before = checkpointed(sums.select("source", "slice", (F.sum("slice_size").over(Window.partitionBy("source").orderBy("slice")) - F.col("slice_size")).alias("before")))
     order = Window.partitionBy("source", "slice").orderBy("spot", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("end", F.col("before") + F.sum("size").over(order))
-    target = F.round("target").cast("long")
-    got = lambda k: F.greatest(F.lit(0), F.least(F.col("size"), target - (F.col("end") - F.col("size")) - k * F.col("source_size")))
+
+    def queued(x: DataFrame) -> DataFrame:
+        found = sliced(x).alias("r").join(before.alias("b"), F.col("r.source").eqNullSafe(F.col("b.source")) & (F.col("r.slice") == F.col("b.slice"))).select("r.*", "b.before")
+        return found.withColumn("end", F.col("before") + F.sum("size").over(order))
+
+    ended = queued(slim)
+    ended = ended if carry else checkpointed(ended)
+    copies = ended.where("size > 0").select("size", "source_size", "weight", "end", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("copy"))
+    copies = copies.select((F.col("end") - F.col("size") + F.col("copy") * F.col("source_size")).alias("start"), "size", "source_size", "weight", ((F.col("end") == F.col("source_size")) & (F.col("copy") == repeats - 1)).alias("last"))
+    total = sources.agg(F.sum("source_size")).first()[0] or 0
+    cut = queue_cut(copies, total * float(share), partitions(docs.sparkSession))
+    most = (F.col("source_size") * repeats).cast("double")
+    target = most if cut is None else F.least(most, F.lit(cut) * F.col("weight"))
+    rows = (queued(rows) if carry else ended).withColumn("target", target)
+    words = F.round("target").cast("long")
+    got = lambda k: F.greatest(F.lit(0), F.least(F.col("size"), words - (F.col("end") - F.col("size")) - k * F.col("source_size")))
     taken = got(0)
     for k in range(1, repeats):
         taken = taken + got(k)

@@ -53,6 +53,42 @@ def test_mixing(spark):
     assert fair_queue(empty(spark)).count() == 0
 
 
+def brute_taken(rows, seed=17, repeats=2):
+    """Words served of each document, by target and place in its source's shuffled order."""
+    import hashlib
+
+    size = Counter()
+    for _, s, n in rows:
+        size[s] += n
+    want, out, at = targets(size), [], Counter()
+    for i, s, n in sorted(rows, key=lambda r: (hashlib.md5(f"{seed}:{r[0]}".encode()).hexdigest(), r[0], r[2])):
+        to = round(want[s])
+        out.append((i, s, n, sum(max(0, min(n, to - at[s] - k * size[s])) for k in range(repeats))))
+        at[s] += n
+    return out
+
+
+@pytest.mark.parametrize("slices", [4096, 16])
+def test_mixing_against_brute_force(spark, monkeypatch, slices):
+    from logweft.llm import mixing
+
+    monkeypatch.setattr(mixing, "SLICE", slices)
+    rng = np.random.default_rng(4)
+    rows = [(k, ["hot", "a", "b", "c", None, "small", "large"][min(6, int(rng.exponential(1.5)))], int(rng.choice([0, 1, 5, 40, 3000], p=[0.1, 0.3, 0.4, 0.19, 0.01]))) for k in range(600)]
+    docs = spark.createDataFrame([(i, s, " ".join(["w"] * n)) for i, s, n in rows], "doc_id long, source string, text string").repartition(5)
+    got = fair_queue(docs).collect()
+    assert sorted((r.doc_id, r.taken) for r in got) == sorted((i, t) for i, _, _, t in brute_taken(rows))
+    # one source alone gives all it may
+    alone = fair_queue(docs.where("source = 'a'")).collect()
+    assert abs(sum(r.taken for r in alone) - 1.5 * sum(r.size for r in alone)) <= 1
+
+
+def test_mixing_without_identifiers(spark):
+    docs = spark.createDataFrame([(None, "s", f"text {k} " * (k % 7)) for k in range(300)], "doc_id long, source string, text string")
+    got, again = fair_queue(docs).collect(), fair_queue(docs.repartition(3)).collect()
+    assert sorted((r.size, r.taken) for r in got) == sorted((r.size, r.taken) for r in again) and abs(sum(r.taken for r in got) - 1.5 * sum(r.size for r in got)) <= 1
+
+
 def test_mix_of_documents(spark):
     docs = documents(spark)
     mix = mixed_documents(docs)
