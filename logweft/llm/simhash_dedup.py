@@ -1,13 +1,19 @@
 """SimHash near-duplicates, linked through BK-trees.
 
 A document's fingerprint has bit b set if over half of its shingles' XXH64
-hashes do.  Distinct fingerprints (not documents) go on.  Two fingerprints
-within the radius agree on at least one of radius + 1 bands of bits, so each
-band's value names a shard, each shard is a BK-tree, and every fingerprint asks
-the trees of its own bands only.  Trees grow with the corpus, so they are dealt
-out with their queries rather than broadcast.  A shard hands on not its pairs
-but each point's link to the smallest of its local component, and components
-over those links are found by alternating stars.
+hashes do.  Distinct fingerprints (not documents) go on.  The 64 bits are cut
+into `blocks` blocks; two fingerprints within the radius agree on at least
+blocks - radius of them, so every choice of so many blocks and their value
+names a shard, each shard is a BK-tree, and a fingerprint asks the trees of its
+own shards only, along the edges within the radius.  With more blocks a choice
+has more bits: the number of blocks follows the number of fingerprints, so that
+shards stay small while the corpus grows, and a pair is found whatever it is.
+Trees grow with the corpus, so they are dealt out with their queries rather
+than broadcast.  A shard hands on not its pairs but each point's link to the
+smallest of its local component, and components over those links are found by
+alternating stars.  Names of components go back to fingerprints and documents
+by joins; of the keys that hold a thousandth of all rows or more, which are a
+thousand at most, the names are broadcast.
 
 Defined cases: null, empty and white-space texts have fingerprint zero and are
 linked like any other; a null identifier is never a component's smallest, and a
@@ -16,6 +22,8 @@ row; an empty table gives an empty result.
 """
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -28,6 +36,10 @@ from .session import checkpointed
 from .words import column_bytes, sliced
 
 SEED = 42
+#: what a fingerprint's copy costs to move, in points of a tree
+COPY = 64
+#: keys with one in so many of all rows are hot
+HOT = 1000
 #: hashes turned into bits at once
 CHUNK = 1 << 16
 
@@ -71,14 +83,29 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
 
 
-def _bands(radius: int) -> list[tuple[int, int]]:
-    """(lowest bit, width) of radius + 1 bands that cover 64 bits."""
-    edges = [64 * k // (radius + 1) for k in range(radius + 2)]
+def _blocks(blocks: int) -> list[tuple[int, int]]:
+    """(lowest bit, width) of blocks that cover 64 bits."""
+    edges = [64 * k // blocks for k in range(blocks + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
+def choices(blocks: int, radius: int) -> list[list[tuple[int, int]]]:
+    """All choices of blocks on which two fingerprints within the radius may agree."""
+    return [list(c) for c in combinations(_blocks(blocks), blocks - radius)]
+
+
+def best_blocks(n: int, radius: int, most: int = 4) -> int:
+    """Number of blocks for n fingerprints: the least work, copies times (what a copy costs + its neighbours in a shard)."""
+
+    def work(blocks):
+        chosen = choices(blocks, radius)
+        return len(chosen) * (COPY + n / 2 ** min(sum(w for _, w in c) for c in chosen))
+
+    return min(range(radius + 1, min(64, radius + most) + 1), key=work)
+
+
 def _stars(radius: int):
-    """Rows (band, value, fp) of whole shards -> (u, v): each linked fp to the smallest of its local component."""
+    """Rows (shard, fp) of whole shards -> (u, v): each linked fp to the smallest of its local component."""
 
     def run(batches):
         for batch in batches:
@@ -112,21 +139,32 @@ def _whole_shards(batches):
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def links(fps: DataFrame, radius: int = 4) -> DataFrame:
+def links(fps: DataFrame, radius: int = 4, blocks: int | None = None) -> DataFrame:
     """(u, v): stars over distinct fingerprints fps(fp) whose components are those of all links."""
-    bands = F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << w) - 1)).alias("value")) for k, (a, w) in enumerate(_bands(radius))])
-    rows = fps.select(F.explode(bands).alias("b"), "fp").select((F.col("b.k").cast("long") * F.lit(1 << 32) + F.col("b.value")).alias("shard"), "fp")
+    blocks = best_blocks(fps.count(), radius) if blocks is None else blocks
+    value = lambda a, w: F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << w) - 1))
+    # equal hashes of unlike choices only put more points into a tree
+    shards = F.array(*[F.xxhash64(F.lit(k), *[value(a, w) for a, w in c]) for k, c in enumerate(choices(blocks, radius))])
+    rows = fps.select(F.explode(shards).alias("shard"), "fp")
     star = _stars(radius)
     return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(lambda batches: star(_whole_shards(batches)), "u long, v long")
 
 
+def named(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """rows joined with names (key, ..., rows_: number of rows that have the key); names of keys with a thousandth of all rows are broadcast."""
+    total = names.agg(F.sum("rows_")).first()[0] or 0
+    hot = names.where(F.col("rows_") * HOT >= total).drop("rows_")  # HOT rows at most
+    rest = names.where(F.col("rows_") * HOT < total).drop("rows_")
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key))
+
+
 def _named(fp: DataFrame, radius: int) -> DataFrame:
-    """(fp, root, component_id): each distinct fingerprint's component, by its root and by its smallest identifier."""
-    distinct = checkpointed(fp.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    """(fp, root, component_id, rows_): each distinct fingerprint's component, by its root and by its smallest identifier, and the fingerprint's rows."""
+    distinct = checkpointed(fp.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     roots = components(links(distinct, radius))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return checkpointed(named.join(ids, "root").select("fp", "root", "component_id"))
+    rooted = checkpointed(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    ids = checkpointed(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("rows_")))
+    return checkpointed(named(rooted, ids, "root").select("fp", "root", "component_id", F.col("n").alias("rows_")))
 
 
 def smallest_rows(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,12 +172,12 @@ def smallest_rows(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: st
     h = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), h.alias("h"))
     fp = checkpointed(rows.mapInArrow(_fingerprints(shingle), "doc_id long, fp long, h long"))
-    least = fp.join(_named(fp, radius), "fp").where("doc_id = component_id").select("doc_id", "h", "root").distinct()
+    least = named(fp, _named(fp, radius), "fp").where("doc_id = component_id").select("doc_id", "h", "root").distinct()
     return least.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("h", "root"))).alias("groups"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits), component_id (the smallest identifier reachable over links of at most radius bits)."""
     fp = checkpointed(fingerprints(docs, shingle, id_col, text_col))
-    names = _named(fp, radius).select("fp", "component_id")
-    return fp.join(names, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    names = _named(fp, radius).select("fp", "component_id", "rows_")
+    return named(fp, names, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

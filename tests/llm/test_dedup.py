@@ -1,4 +1,5 @@
 import hashlib
+import math
 from collections import defaultdict
 
 import numpy as np
@@ -144,6 +145,31 @@ def test_bk_trees_find_every_pair():
     assert union_labels(5, [(np.array([4, 2]), np.array([2, 1]))]).tolist() == [0, 1, 1, 3, 1]
 
 
+@pytest.mark.parametrize("blocks", [5, 6, 7, 8])
+def test_links_of_every_number_of_blocks(spark, blocks):
+    rng = np.random.default_rng(blocks)
+    points = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
+    near = [p ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 7), replace=False))) for p in points for _ in range(8)]
+    points = np.unique(np.concatenate([points, np.array(near, np.uint64)]))
+    label = list(range(len(points)))
+    for a in range(len(points)):
+        for b in range(len(points)):
+            if int(points[a] ^ points[b]).bit_count() <= 4 and label[a] != label[b]:
+                label = [label[a] if x == label[b] else x for x in label]
+    fps = spark.createDataFrame([(int(x),) for x in points.view(np.int64)], "fp long")
+    got = list(range(len(points)))
+    place = {int(x): k for k, x in enumerate(points.view(np.int64))}
+    for r in simhash_dedup.links(fps, 4, blocks).collect():
+        a, b = got[place[r.u]], got[place[r.v]]
+        got = [a if x == b else x for x in got]
+    assert [got.index(x) for x in got] == [label.index(x) for x in label]
+
+
+def test_blocks_follow_the_number_of_fingerprints():
+    assert [simhash_dedup.best_blocks(n, 4) for n in (0, 10**5, 10**7, 10**11)] == [5, 5, 6, 8]
+    assert all(len(simhash_dedup.choices(b, 4)) == math.comb(b, 4) for b in (5, 6, 7, 8))
+
+
 def test_components_of_a_long_path(spark):
     from logweft.llm.components import components
 
