@@ -2,7 +2,7 @@
 
 A page becomes blocks of text: markup, scripts, styles and forms go; elements
 that say what they are (nav, aside, footer, class="comments", role="banner",
-...) go with all they hold.  Then pages are range-sorted by host, URL path and
+...) go with all they hold, unless that is the page's whole article.  Then pages are range-sorted by host, URL path and
 identifier, each page is paired with the neighbour on its host whose path is
 nearest, the two pages' lines are aligned by longest common subsequence, and
 shared lines are deleted, unless all lines of a page are shared, as between
@@ -33,8 +33,9 @@ from __future__ import annotations
 
 import pickle
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from html import unescape
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -51,67 +52,103 @@ _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _NAMES = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 
 # fixed values: HTML element names and the names by which pages mark their parts
-RAW = frozenset("script style noscript template iframe textarea title svg math object canvas noembed noframes xmp".split())
-DROPPED = frozenset("nav footer aside form button select dialog menu head search datalist".split())
+RAW = frozenset("script style template iframe textarea title noembed noframes".split())
+DROPPED = frozenset("nav footer aside form button select dialog head search datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math mfrac mi mn mo mover mroot mrow msqrt mstyle msub msubsup msup mtext munder q rp rt ruby s samp small span strike strong sub sup svg time tt u var wbr".split())
 SELF_CLOSING = frozenset("p li dt dd option tr td th".split())
-MARKS = frozenset(
-    "ad ads adbox adsense advert adverts advertisement advertisements advertorial sponsor sponsored promo promotion promotions banner banners "
+COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
+ADVERTS = frozenset("ad ads adbox adsense advert adverts advertisement advertisements advertorial sponsor sponsored promo promotion promotions banner banners".split())
+MARKS = COMMENTS | ADVERTS | frozenset(
     "cookie cookies cookiebar consent gdpr notice notices notification notifications popup modal overlay lightbox newsletter subscribe subscription signup login paywall "
-    "sidebar aside nav navbar navigation menu menus menubar breadcrumb breadcrumbs pagination pager toolbar footer masthead topbar "
-    "comment comments commentlist disqus reply replies respond reactions share sharing social related recommended recommendations widget widgets skip".split()
+    "sidebar aside nav navbar navigation menu menus menubar breadcrumb breadcrumbs pagination pager toolbar footer masthead topbar".split()
 )
+#: words that make a state of what follows: an element that has a sidebar is none
+HAVING = frozenset("has have having with without no not non is hide show enable disable".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: unlike pages of a host that a line of articles is on at least before it can be the site's
 MANY = 5
-NEVER = frozenset("html body main h1 h2 h3 h4 h5 h6".split())
+NEVER = frozenset("html body h1 h2 h3 h4 h5 h6".split())
+_PARTS = re.compile(r"<(article|main)\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[a-z][^>]*\b(?:role\s*=\s*[\"']?(?:main|article)\b|itemprop\s*=\s*[\"']?articleBody\b)", re.I)
 
 
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(text)} if text.strip(" /\t\n\r\f") else {}
 
 
-def _is_marked(tag: str, at: dict[str, str], inside: bool) -> bool:
-    """Whether an element says that it is not part of the text."""
-    if "hidden" in at or at.get("aria-hidden") == "true" and tag not in INLINE:
-        return True
-    if at.get("role", "").lower() in ROLES:
-        return True
-    names = {x for k in ("class", "id") if k in at for x in _NAMES.split(at[k]) if x} | {x.lower() for k in ("class", "id") if k in at for x in at[k].split()}
-    return bool(names & MARKS) or "header" in names and not inside and tag not in INLINE
+def _words(at: dict[str, str]):
+    """Words of each class and identifier of an element."""
+    for k in ("class", "id"):
+        for name in at.get(k, "").split():
+            if found := [x.lower() for x in _NAMES.split(name) if x]:
+                yield found
 
 
-def _is_article(tag: str, at: dict[str, str]) -> int:
-    """2 for an article, 1 for a main part, 0 otherwise."""
-    if tag == "article" or at.get("role") == "article" or at.get("itemprop") == "articleBody":
-        return 2
-    return int(tag == "main" or at.get("role") == "main")
+def _mark(at: dict[str, str], inside: bool) -> str:
+    """The word by which an element's names say that it is not part of the text: the first or last of a name, not behind a word of having."""
+    for words in _words(at):
+        for k in {0, len(words) - 1}:
+            if (words[k] in MARKS or words[k] == "header" and not inside) and not HAVING.intersection(words[:k]):
+                return words[k]
+    return ""
 
 
-def blocks(html: str) -> list[tuple[str, bool]]:
-    """(text, whether it is in what the page marks as its article) of the blocks of a page."""
-    found: list[tuple[str, int]] = []
+def _of_readers(at: dict[str, str]) -> bool:
+    """Whether an article says that it is a comment or an advert."""
+    return any(words[0] in COMMENTS or words[0] in ADVERTS for words in _words(at))
+
+
+def _is_article(tag: str, at: dict[str, str]) -> bool:
+    return tag in ("article", "main") or at.get("role", "").lower() in ("main", "article") or at.get("itemprop") == "articleBody"
+
+
+def blocks(html: str, forms: bool = False) -> list[tuple[str, bool]]:
+    """(text, whether it is in what the page marks as its article or main part) of the blocks of a page.
+
+    An element that goes for its names, or as a form, stays if the page's whole
+    article is inside it; reader comments go whatever they hold.  A page of
+    which nothing is left is read again with its forms.
+    """
+    found: list[tuple[str, bool]] = []
     held: list[str] = []
-    # open elements that matter: (tag, level of article)
-    articles: list[tuple[str, int, int]] = []
+    # open articles and main parts: (tag, depth of the tag)
+    articles: list[tuple[str, int]] = []
     depth: dict[str, int] = {}
-    gone, gone_depth = "", 0
-    level, place, raw = 0, 0, ""
+    gone, gone_depth, gone_from, spared = "", 0, 0, False
+    place = 0
+    parts: list[int] | None = None
 
     def close():
         if held:
             if text := " ".join(unescape("".join(held)).split()):
-                found.append((text, level))
+                found.append((text, bool(articles)))
             held.clear()
 
-    for m in _TOKEN.finditer(html):
-        text = html[place : m.start()]
+    def whole_article(a: int, b: int) -> bool:
+        nonlocal parts
+        if parts is None:
+            parts = [m.start() for m in _PARTS.finditer(html) if not _of_readers(_attributes(m[2] or ""))]
+        return bool(parts) and a <= parts[0] and parts[-1] < b
+
+    def opened(tag: str):
+        if articles:
+            depth[tag] = depth.get(tag, 0) + 1
+
+    tokens = _TOKEN.finditer(html)
+    while True:
+        m = next(tokens, None)
+        if m is None:
+            if gone and spared and whole_article(gone_from, len(html)):
+                opened(gone)
+                gone, place = "", gone_from
+                tokens = _TOKEN.finditer(html, place)
+                continue
+            break
         if m.start() < place:
             continue
+        if not gone and m.start() > place:
+            held.append(html[place : m.start()])
         place = m.end()
-        if not gone and text:
-            held.append(text)
         tag = (m[2] or "").lower()
         if not tag:
             continue
@@ -119,19 +156,27 @@ def blocks(html: str) -> list[tuple[str, bool]]:
         if gone:
             if tag == gone and (end or tag not in SELF_CLOSING):
                 gone_depth += -1 if end else 1
-                if gone_depth <= 0:
-                    gone = ""
+                if gone_depth > 0:
+                    continue
+                if spared and whole_article(gone_from, m.start()):
+                    opened(gone)
+                    place = gone_from
+                    tokens = _TOKEN.finditer(html, place)
+                gone = ""
+                continue
+            if not end and tag in RAW:
+                stop = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(html, place)
+                place = stop.end() if stop else len(html)
                 continue
             if gone not in SELF_CLOSING or tag in INLINE:
                 continue
             gone = ""  # a paragraph that its next sibling or its parent's end closes
         if not end and tag in RAW:
-            stop = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(html, place)
-            if m[0].endswith("/>") and tag in ("svg", "math", "iframe"):
+            if m[0].endswith("/>") and tag == "iframe":
                 continue
+            stop = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(html, place)
             place = stop.end() if stop else len(html)
-            if tag not in INLINE:
-                close()
+            close()
             continue
         if tag not in INLINE:
             close()
@@ -140,51 +185,93 @@ def blocks(html: str) -> list[tuple[str, bool]]:
         if tag in VOID:
             continue
         if end:
-            if articles and tag == articles[-1][0]:
-                if depth.get(tag, 0) == articles[-1][1]:
-                    level = articles.pop()[2]
-                depth[tag] -= 1
-            elif articles and depth.get(tag, 0):
+            if depth.get(tag, 0):
+                if articles[-1] == (tag, depth[tag]):
+                    articles.pop()
                 depth[tag] -= 1
+                if not articles:
+                    depth.clear()
             continue
         at = _attributes(m[3] or "")
-        if tag in DROPPED or tag == "header" and not level or at and tag not in NEVER and _is_marked(tag, at, level > 0):
+        article = _is_article(tag, at)
+        if article:
+            drop, spared = _of_readers(at), False
+        else:
+            mark = _mark(at, bool(articles)) if at and tag not in NEVER and tag not in INLINE else ""
+            form = tag == "form" and not forms
+            drop = mark or form or tag in DROPPED and tag != "form" or tag in ("header", "menu") and not articles or at.get("role", "").lower() in ROLES
+            spared = bool(mark) and mark not in COMMENTS or form
+        if drop:
             close()
-            if not m[0].endswith("/>") or tag not in VOID:
-                gone, gone_depth = tag, 1
+            gone, gone_depth, gone_from = tag, 1, place
             continue
-        if new := _is_article(tag, at):
-            depth[tag] = depth.get(tag, 0) + 1
-            articles.append((tag, depth[tag], level))
-            level = max(level, new)
-        elif articles:
+        if article:
             depth[tag] = depth.get(tag, 0) + 1
+            articles.append((tag, depth[tag]))
+        else:
+            opened(tag)
     if not gone and place < len(html):
         held.append(html[place:])
     close()
-    best = max((k for _, k in found), default=0)
-    return [(t, k == best > 0) for t, k in found]
+    if not found and not forms and "<form" in html.lower():
+        return blocks(html, True)
+    return found
 
 
 def common(a: list, b: list) -> list[bool]:
-    """For each of a, whether it is in a longest common subsequence of a and b (Hunt and Szymanski 1977)."""
+    """For each of a, whether it is in a longest common subsequence of a and b; of several, the one that from the end leaves out what it can of a.
+
+    Rows of the programme are bit vectors (Hyyro 2004), a word a 64 columns, so
+    equal lines cost no more than others; of n rows about 2 sqrt(n) are held,
+    the others are made again on the way back.
+    """
+    out = [False] * len(a)
+    first = 0
+    while first < min(len(a), len(b)) and a[first] == b[first]:
+        out[first] = True
+        first += 1
+    here, there = set(a[first:]), set(b[first:])
+    rows = [i for i in range(first, len(a)) if a[i] in there]
+    columns = [x for x in b[first:] if x in here]
+    if not rows:
+        return out
     where: dict = {}
-    for j, x in enumerate(b):
+    for j, x in enumerate(columns):
         where.setdefault(x, []).append(j)
-    ends: list[int] = []
-    links: list[tuple] = []
-    for i, x in enumerate(a):
-        for j in reversed(where.get(x, ())):
-            k = bisect_left(ends, j)
-            link = (i, links[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                links.append(link)
-            else:
-                ends[k], links[k] = j, link
-    out, link = [False] * len(a), links[-1] if links else None
-    while link:
-        out[link[0]], link = True, link[1]
+    kept: dict = {}
+
+    def mask(x) -> int:
+        if x not in kept:
+            bits = 0
+            for j in where[x]:
+                bits |= 1 << j
+            if len(where[x]) <= 64:
+                return bits
+            kept[x] = bits
+        return kept[x]
+
+    full = (1 << len(columns)) - 1
+
+    def step(v: int, i: int) -> int:
+        u = v & mask(a[rows[i]])
+        return ((v + u) | (v - u)) & full
+
+    size = max(1, isqrt(len(rows)))
+    starts, v = [], full
+    for i in range(len(rows)):
+        if i % size == 0:
+            starts.append(v)
+        v = step(v, i)
+    j = len(columns)
+    for k in range(len(starts) - 1, -1, -1):
+        chain = [starts[k]]
+        for i in range(k * size, min(len(rows), (k + 1) * size)):
+            chain.append(step(chain[-1], i))
+        for i in range(len(chain) - 1, 0, -1):
+            below = (1 << j) - 1
+            if ((chain[i] ^ chain[i - 1]) & below) and (chain[i] & below).bit_count() < (chain[i - 1] & below).bit_count():
+                out[rows[k * size + i - 1]] = True
+                j = (~chain[i] & below).bit_length() - 1
     return out
 
 

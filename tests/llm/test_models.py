@@ -145,23 +145,49 @@ def test_mixture_is_a_distribution(spark):
     assert p.sum() + weights[3][2] / 5 == pytest.approx(1)
 
 
+def brute_topk(rows, k=20):
+    from fractions import Fraction
+
+    ok = [(i, [math.floor(Fraction(float(e)) * 64) for e in v]) for i, v in rows if i is not None and v is not None and all(e is not None and math.isfinite(e) for e in v)]
+    out = []
+    for i, q in ok:
+        if i % 20 == 0:
+            scored = [(min(max(sum(a * b for a, b in zip(q, v)), -(1 << 63)), (1 << 63) - 1), j) for j, v in ok if j != i]
+            out += [(i, r + 1, j, s) for r, (s, j) in enumerate(sorted(scored, key=lambda x: (-x[0], x[1]))[:k])]
+    return sorted(out)
+
+
 def test_topk(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 8)).astype(np.float32).round(1)
     x[50:60] = x[0]
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    rows += [(1000, None), (1020, [None] * 8), (1040, [float("nan")] * 8), (1060, [1.0] * 7), (None, [1.0] * 8), (1080, [float("inf")] * 8)]
-    got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), _every20(), k=20).collect()
-    q = np.floor(64 * x.astype(float)).astype(int)
-    s = q @ q.T
-    want = []
-    for i in range(0, 300, 20):
-        best = sorted((j for j in range(300) if j != i), key=lambda j: (-s[i, j], j))[:20]
-        want += [(i, r + 1, j, s[i, j]) for r, j in enumerate(best)]
-    assert sorted(map(tuple, got)) == sorted(want)
-    few = top_k(spark.createDataFrame(rows[:5], "vec_id long, embedding array<float>"), _every20(), k=20)
+    rows += [(1000, None), (1020, [None] * 8), (1040, [float("nan")] * 8), (1060, [1.0] * 7), (1061, [0.5] * 11), (1062, []), (None, [1.0] * 8), (1080, [float("inf")] * 8), (1100, []), (20, [-1.0] * 8), (7, [2.0] * 3)]
+    frame = lambda r: spark.createDataFrame(r, "vec_id long, embedding array<float>")
+    got = top_k(frame(rows).repartition(3), _every20(), k=20).collect()
+    assert sorted(map(tuple, got)) == brute_topk(rows)
+    few = top_k(frame(rows[:5]), _every20(), k=20)
     assert few.count() == 4
-    assert top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), _every20()).count() == 0
+    assert top_k(frame([]), _every20()).count() == 0
+
+
+def test_topk_of_large_components(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.normal(size=4) * 10.0 ** rng.integers(-3, 10)).tolist()) for i in range(120)]
+    rows += [(200, [1e17, -1.0, 3.0, 0.0]), (201, [-1e17, 2.0, 1.0, 5.0]), (220, [1e300, 1.0, 1.0, 1.0]), (221, [1e308, -1.0, 0.0, 0.0]), (222, [2.0**31, 2.0**33, 1.0, 1.0]), (240, [-1.7e308, 1.0, 0.0, 0.0])]
+    got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2), _every20(), k=9).collect()
+    assert sorted(map(tuple, got)) == brute_topk(rows, 9)
+
+
+def test_topk_over_several_runs(spark, monkeypatch):
+    from logweft.llm import topk_search
+
+    for name, value in {"RUN_BYTES": 8000, "MESSAGE_BYTES": 1000, "QUERY_ROWS": 3, "SAMPLE_ROWS": 25}.items():
+        monkeypatch.setattr(topk_search, name, value)
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.integers(-3, 3, 8).astype(float).tolist()) for i in range(400)]
+    got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), _every20(), k=20).collect()
+    assert sorted(map(tuple, got)) == brute_topk(rows)
 
 
 def _every20():
@@ -180,6 +206,43 @@ def test_html_blocks():
     assert blocks("") == [] and blocks("plain\n text") == [("plain text", False)] and blocks("<p>cut off <a href='x") == [("cut off", False)]
 
 
+def test_html_articles_and_marks():
+    text = lambda html: [t for t, _ in blocks(html)]
+    assert text('<article class="post has-comments"><p>Main text here</article><div class="comments">x</div>') == ["Main text here"]
+    assert blocks("<main><p>The real body text.</p><article>teaser</article></main>") == [("The real body text.", True), ("teaser", True)]
+    assert text('<div class="content has-sidebar"><p>a</p><div class="sidebar">b</div></div>') == ["a"]
+    assert text('<div class="nav-open"><nav>n</nav><article>a</article><div class="notice">x</div></div><p>tail') == ["a", "tail"]
+    assert text('<div class="sidebar"><article>teaser</article></div><article>a</article>') == ["a"]
+    assert text('<section class="comments"><article class="comment">c</article></section>') == [] == text('<article class="comment">c</article>')
+    assert text('<form><div class="page"><article>a<form>x</form></article></div><input></form>') == ["a"] and text("<form><p>all there is</form>") == ["all there is"]
+    assert text('<p class="related-work">r</p><p>a <span class="comment"># b</span> <math><mi>x</mi></math></p><noscript>n</noscript><p hidden>h</p>') == ["r", "a # b x", "n", "h"]
+    assert text("<menu><li>site</menu><article><menu><li>one<li>two</menu></article>") == ["one", "two"]
+    assert text('<div class="ad">Buy<p>a</p>') == [] and text('<div class="ad">Buy<article>a</article>') == ["Buy", "a"]
+
+
+def brute_common(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    out, j = [False] * len(a), len(b)
+    for i in range(len(a), 0, -1):
+        if best[i][j] > best[i - 1][j]:
+            out[i - 1] = True
+            while best[i][j - 1] == best[i][j]:
+                j -= 1
+            j -= 1
+    return out
+
+
+def test_common_against_brute_force():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        a, b = (rng.integers(0, rng.integers(1, 8), rng.integers(0, 40)).tolist() for _ in range(2))
+        assert common(a, b) == brute_common(a, b), (a, b)
+    assert sum(common(["x"] * 20000, ["x"] * 9999 + ["y"] + ["x"] * 5000)) == 14999
+
+
 def test_differencing():
     a, b = list("abcbdab"), list("bdcaba")
     kept = [x for x, k in zip(a, common(a, b)) if k]
@@ -188,6 +251,68 @@ def test_differencing():
     assert differ(page, other) == ["own"] and differ(page, page) == ["menu", "own", "end"] and differ(page, None) == ["menu", "own", "end"]
 
 
+def brute_extract(rows):
+    """Text of each page by the method's definition, over all pages at once: rows (page_id, url, html)."""
+    import re as r
+
+    pages = []
+    for i, url, html in rows:
+        host = r.match(r"(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url or "")
+        path = r.match(r"(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*)?([^?#]*)", url or "")[1]
+        page = blocks(html or "")
+        pages.append(((host[1] if host else "").lower(), path, (i is None, i or 0), [t for t, _ in page], page, i))
+    pages.sort(key=lambda p: (p[0].encode(), p[1].encode(), p[2]))
+    # lines of articles on many unlike pages of a host: pages differ by their longest other line
+    on, of = {}, {}
+    for host, _, _, _, page, _ in pages:
+        own = sorted({t for t, mine in page if mine}, key=lambda t: (-len(t), t))
+        if host and own:
+            of.setdefault(host, set()).add((own[0], own[:2][-1]))
+            for t in own:
+                on.setdefault((host, t), set()).add(own[0] if t != own[0] else own[:2][-1])
+    site = {k for k, v in on.items() if len(v) >= 5 and 2 * len(v) >= len(of[k[0]])}
+    near = lambda a, b: next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    out = {}
+    for k, (host, path, _, lines, page, i) in enumerate(pages):
+        a = b = k
+        while a >= 0 and (pages[a][0], pages[a][3]) == (host, lines):
+            a -= 1
+        while b < len(pages) and (pages[b][0], pages[b][3]) == (host, lines):
+            b += 1
+        options = [(near(pages[o][1].split("/"), pages[e][1].split("/")), -n, pages[o][3]) for n, (o, e) in enumerate(((a, a + 1), (b, b - 1))) if 0 <= o < len(pages) and pages[o][0] == host and host]
+        shared = brute_common(lines, max(options)[2]) if options else []
+        if all(shared):
+            stay = [mine for _, mine in page] if any(mine for _, mine in page) else [True] * len(page)
+        else:
+            stay = [not x or mine and (host, t) not in site for (t, mine), x in zip(page, shared)]
+        out.setdefault(i, []).append("\n".join(t for t, x in zip(lines, stay) if x))
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 4, 25, 64])
+def test_extract_against_brute_force(spark, parts):
+    rng = np.random.default_rng(9)
+    line = lambda n: f"<p>line {rng.integers(n)} of the text</p>"
+    rows = []
+    for k in range(150):
+        host, menu = f"h{k % 4}.x", "".join(f"<div>menu {j}</div>" for j in range(k % 4 + 1))
+        body = "".join(line(30) for _ in range(rng.integers(0, 6)))
+        notice = "<p>A notice of the site</p>" if k % 4 == 1 else ""
+        html = f"<article><h1>Page {k}</h1>{notice}{body}</article>{menu}" if k % 4 < 2 else f"{menu}{body}<div>end</div>" if k % 3 else f"{menu}<div>a copy</div>"
+        rows.append((k, f"http://{host}/{'abc'[k % 3]}/{rng.integers(9)}/{k % 7}", html))
+    rows += [(200, None, "<p>x"), (None, "http://h2.x/a/1", "<p>menu 0"), (None, "http://h2.x/a/2", ""), (201, "http://h2.x/zz", None)]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = {}
+        for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect():
+            got.setdefault(r.page_id, []).append(r.text)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    want = brute_extract(rows)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
 def test_extract(spark):
     page = lambda t: f"<div>Menu line</div><p>{t}</p><div>End line</div>"
     rows = [(1, "http://h.x/a/1", page("one")), (2, "http://h.x/a/2", page("two")), (3, "http://H.x/b?q", page("three")), (4, None, page("four")), (5, "http://h.x/c", None), (6, "x", ""), (None, "http://z/", page("five")), (7, "http://h.x/a/1", page("one"))]
