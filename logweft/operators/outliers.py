@@ -1,44 +1,110 @@
 """Local outlier factor of lines inside their clusters, by byte-level Levenshtein distance.
 
 Equal lines of a cluster share all their values, so the operator works on a
-cluster's distinct texts, each with the number of lines that have it; the
-aggregates weigh by that number, which gives every line what all pairs of lines
-would.  Everything is joins and aggregates on (label, text).
+cluster's distinct texts, each with the number of lines that have it.  Texts are
+dealt into tiles of TILE by cluster; a task takes a pair of tiles, half of all
+pairs, and reduces its distances at once.  Three such passes give each text's
+distance to its k-th neighbour, its density and its factor: what is stored and
+moved is a few numbers a text and tile, never a distance of a pair, however
+large a cluster is and however many neighbours tie.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbering import checkpointed
+from ..functions.levenshtein import levenshtein_table
+from ..functions.numbering import checkpointed, numbered_within
 from ..functions.tokens import as_bytes
 
 EPSILON = 2.220446049250313e-16
+#: distinct texts of a tile, about
+TILE = 512
+
+
+def _passes(texts: DataFrame, columns: list[str], reduce, schema: str) -> DataFrame:
+    """reduce(d, left, right, same) over all pairs of tiles of each label, for both sides; texts (label, tiles, tile, id, text, m, ...)."""
+    side = texts.select("label", "tile", "id", "text", "m", *columns, F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    side = side.select("label", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "id", "text", "m", *columns)
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        a, b = key[1].as_py(), key[2].as_py()
+        tile = table.column("tile").to_numpy()
+        sides = []
+        for t in (a, b):
+            mine = table.filter(pa.array(tile == t))
+            sides.append({c: mine.column(c).to_pylist() if c == "text" else mine.column(c).to_numpy() for c in ("id", "text", "m", *columns)})
+        left, right = sides
+        if not len(left["id"]) or not len(right["id"]):
+            return pa.table({f.name: pa.array([], f.type) for f in arrow})
+        d = levenshtein_table([bytes(x) for x in left["text"]], [bytes(x) for x in right["text"]])
+        out = [reduce(d, left, right, a == b)]
+        if a != b:
+            out.append(reduce(d.T, right, left, False))
+        return pa.concat_tables([pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(x, arrow)], schema=arrow) for x in out])
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    return side.groupBy("label", "a", "b").applyInArrow(run, schema)
+
+
+def _weights(left: dict, right: dict, same: bool) -> np.ndarray:
+    """Lines that each pair counts: the other text's, without the line itself."""
+    w = np.tile(right["m"], (len(left["id"]), 1))
+    if same:
+        np.fill_diagonal(w, right["m"] - 1)  # both sides are the same texts in the same order
+    return w
+
+
+def _nearest(k: int):
+    def reduce(d, left, right, same):
+        """Each text's least distances until k lines are reached."""
+        w = _weights(left, right, same)
+        size = min(d.shape[1], k + 1)  # a text's own place may count for nothing
+        part = np.argpartition(np.where(w > 0, d, np.iinfo(np.int64).max), size - 1, axis=1)[:, :size]
+        dist, count = np.take_along_axis(d, part, 1), np.take_along_axis(w, part, 1)
+        near = [[{"d": int(x), "w": int(n)} for x, n in zip(a, b) if n > 0] for a, b in zip(dist.tolist(), count.tolist())]
+        return left["id"], near
+
+    return reduce
+
+
+def _reach(d, left, right, same):
+    """Sum of the reach distances to a text's neighbours, and their number."""
+    w = _weights(left, right, same) * (d <= left["kdist"][:, None])
+    return left["id"], (np.maximum(d, right["kdist"][None, :]) * w).sum(1).astype(float), w.sum(1)
+
+
+def _around(d, left, right, same):
+    """Sum of the neighbours' densities."""
+    w = _weights(left, right, same) * (d <= left["kdist"][:, None])
+    return left["id"], (w * right["lrd"][None, :]).sum(1), w.sum(1)
 
 
 def lof(labelled: DataFrame, k: int = 3) -> DataFrame:
     """labelled (row_id, label, raw) -> (row_id, label, n, lof); clusters of one or two lines have lof 0."""
-    rows = labelled.where("label IS NOT NULL").select("row_id", "label", as_bytes(F.col("raw")).alias("text"))
-    texts = rows.groupBy("label", "text").agg(F.count(F.lit(1)).alias("m"))
-    texts = checkpointed(texts.withColumn("n", F.sum("m").over(Window.partitionBy("label"))))
-    large = texts.where("n > 2").withColumn("k", F.least(F.lit(k), F.col("n") - 1))
-    other = large.select("label", F.col("text").alias("other"), F.col("m").alias("w"))
-    # (text, other, d, w): w other lines at distance d; a text's own copies are at 0
-    pairs = checkpointed(large.join(other, "label").select("label", "text", "other", "k", F.levenshtein("text", "other").cast("double").alias("d"), F.when(F.col("text") == F.col("other"), F.col("w") - 1).otherwise(F.col("w")).alias("w")).where("w > 0"))
-    reached = F.sum("w").over(Window.partitionBy("label", "text").orderBy("d"))
-    kdist = pairs.withColumn("reached", reached).where("reached >= k").groupBy("label", "text").agg(F.min("d").alias("kdist"))
-    near = pairs.join(kdist, ["label", "text"]).where("d <= kdist")
-    near = near.join(kdist.select("label", F.col("text").alias("other"), F.col("kdist").alias("other_kdist")), ["label", "other"])
-    near = checkpointed(near.select("label", "text", "other", "w", F.greatest("d", "other_kdist").alias("reach")))
-    mean = F.sum(F.col("reach") * F.col("w")) / F.sum("w")
-    density = near.groupBy("label", "text").agg((1 / F.greatest(mean, F.lit(EPSILON))).alias("lrd"))
-    scored = near.join(density.select("label", F.col("text").alias("other"), F.col("lrd").alias("other_lrd")), ["label", "other"])
-    scored = scored.groupBy("label", "text").agg((F.sum(F.col("other_lrd") * F.col("w")) / F.sum("w")).alias("around")).join(density, ["label", "text"]).select("label", "text", (F.col("around") / F.col("lrd")).alias("lof"))
-    return rows.join(texts.select("label", "text", "n"), ["label", "text"]).join(scored, ["label", "text"], "left").select("row_id", "label", "n", F.coalesce("lof", F.lit(0.0)).alias("lof"))
+    rows = labelled.where("label IS NOT NULL").select("row_id", "label", F.col("raw").cast("binary").alias("text"))
+    texts = rows.groupBy("label", "text").agg(F.count(F.lit(1)).alias("m")).withColumn("id", F.monotonically_increasing_id())
+    texts = checkpointed(texts)
+    sizes = texts.groupBy("label").agg(F.sum("m").alias("n"), F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    texts = checkpointed(texts.join(sizes, "label"))
+    large = texts.where("n > 2").withColumn("tile", F.pmod(F.xxhash64("text"), F.col("tiles")).cast("int")).withColumn("k", F.least(F.lit(k), F.col("n") - 1))
+    near = _passes(large, [], _nearest(k), "id long, near array<struct<d:long,w:long>>").groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
+    reached = F.aggregate("near", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("d")), lambda a, x: F.when(a["n"] >= F.col("k"), a).otherwise(F.struct((a["n"] + x["w"]).alias("n"), x["d"].alias("d"))), lambda a: a["d"])
+    large = checkpointed(large.join(near, "id").withColumn("kdist", reached).drop("near", "k"))
+    density = _passes(large, ["kdist"], _reach, "id long, reach double, w long").groupBy("id").agg((1 / F.greatest(F.sum("reach") / F.sum("w"), F.lit(EPSILON))).alias("lrd"))
+    large = checkpointed(large.join(density, "id"))
+    around = _passes(large, ["kdist", "lrd"], _around, "id long, around double, w long").groupBy("id").agg((F.sum("around") / F.sum("w")).alias("around"))
+    scored = large.join(around, "id").select("id", (F.col("around") / F.col("lrd")).alias("lof"))
+    scored = texts.join(scored, "id", "left").select("label", "text", "n", F.coalesce("lof", F.lit(0.0)).alias("lof"))
+    return rows.join(scored, ["label", "text"]).select("row_id", "label", "n", "lof")
 
 
 def retained(labelled: DataFrame, limit: float = 1.5, k: int = 3) -> DataFrame:
     """(row_id, label, n, lof, excluded, local): lines with lof >= limit are excluded (in clusters above two); others are numbered by row id, 0 being the cluster's base."""
     scored = lof(labelled, k).withColumn("excluded", (F.col("n") > 2) & (F.col("lof") >= limit))
-    local = F.row_number().over(Window.partitionBy("label", "excluded").orderBy("row_id")) - 1
-    return scored.withColumn("local", F.when(~F.col("excluded"), local))
+    return numbered_within(scored, ["label", "excluded"], ["row_id"], "local").withColumn("local", F.when(~F.col("excluded"), F.col("local")))
