@@ -24,17 +24,18 @@ WHITE = r"[ \t\n\x0B\f\r]"
 
 
 def as_bytes(c: Column) -> Column:
-    """Text as one character a byte."""
-    return F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
+    """Text as one character a byte; bytes that are not UTF-8 keep their values."""
+    return F.decode(c.cast("binary"), "ISO-8859-1")
 
 
 def from_bytes(c: Column) -> Column:
-    return F.decode(F.encode(c, "ISO-8859-1"), "UTF-8")
+    """Back from one character a byte, to the very bytes."""
+    return F.encode(c, "ISO-8859-1").cast("string")
 
 
 def trim(c: Column) -> Column:
     """Without ASCII white space at both ends."""
-    return F.regexp_replace(c, f"^{WHITE}+|{WHITE}+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def tokens(c: Column) -> Column:

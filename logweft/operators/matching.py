@@ -2,29 +2,41 @@
 
 A template accepts a line if its constants equal whole tokens and placeholders
 take any number of tokens, from the line's first token to its last.  Constants
-between placeholders are blocks; a block's first feasible places from the left
-and from the right come from string searches over the line's tokens joined by
-a separator.  A line is accepted if all blocks have places, and in one way only
-if left and right places agree; then placeholders have captures.
-
-Candidates come from a join, not a product: a template that begins with a
-constant is met only by lines with that first token; those that begin with a
-placeholder are met by every line.  Templates are few and broadcast while below
-Spark's threshold; lines are never shuffled for them.
+between placeholders are blocks.  A line's tokens are joined by a separator, so
+whole tokens are pieces between separators.
+
+Templates are few, so up to LITERAL of them are made part of the plan: each is
+a regular expression, compiled once, behind comparisons of the line's two ends.
+A match that takes each block's first place and, if it has several
+placeholders, one over the reversed line that takes each block's last, are the
+extremes of all ways; the line is accepted in one way only if they agree, and
+then placeholders have captures.  Lines are neither joined nor moved.  The
+expressions never go back over a choice: blocks are searched for one after
+another, and the last one stands at the end.
+
+More templates than that are joined with the lines: those that begin with a
+constant are met only by lines with that first token, the others by every line.
+Blocks' first feasible places from the left and from the right then come from
+string searches.
 """
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tokens import from_bytes, tokens
 from ..sources.templates import render_column
 
-MATCH = "array<struct<template:string,capture_ambiguous:boolean,captures:array<struct<placeholder:int,token_begin:int,token_end:int,value:string>>>>"
+CAPTURES = "array<struct<placeholder:int,token_begin:int,token_end:int,value:string>>"
+MATCH = f"array<struct<template:string,capture_ambiguous:boolean,captures:{CAPTURES}>>"
 
 
-#: between tokens; no byte's character
-SEP = "\ue000"
+#: between tokens, and between captures; no byte's characters
+SEP, GROUP = "\ue000", "\ue001"
+#: templates that become part of a plan at most
+LITERAL = 256
 
 
 def let(value: Column, body) -> Column:
@@ -157,8 +169,93 @@ def candidates(lines: DataFrame, templates: DataFrame) -> DataFrame:
     return met.where(F.forall("b.items", lambda x: F.contains(F.col("s"), x["text"])))
 
 
+def _expression(segs: list, capture: bool, backwards: bool = False) -> str:
+    """A template as a regular expression over joined tokens, placeholders as short as may be.
+
+    Forwards, a place is before a separator and captures begin with one;
+    backwards, over the reversed line, it is behind one and captures end with
+    one.  Without captures, blocks between placeholders are found for good.
+    """
+    edge = f"(?<={SEP})" if backwards else f"(?={SEP})"
+    hole = f"(.*?){edge}" if capture else f".*?{edge}"
+    quote = lambda t: re.escape(t[::-1] if backwards else t)
+    word = (lambda t: quote(t) + SEP) if backwards else (lambda t: SEP + quote(t))
+    parts: list[tuple[int, str]] = [(0, "")]  # placeholders, and the block behind them
+    for is_ph, toks in reversed(segs) if backwards else segs:
+        if is_ph:
+            parts.append((1, "")) if parts[-1][1] or not parts[-1][0] else parts.append((parts.pop()[0] + 1, ""))
+        else:
+            gap, block = parts.pop()
+            parts.append((gap, block + "".join(map(word, reversed(toks) if backwards else toks))))
+    out = ""
+    for k, (gap, block) in enumerate(parts):
+        piece = hole * (gap if capture else min(gap, 1)) + block + (edge if block and not backwards else "")
+        out += f"(?>{piece})" if not capture and gap and block and k < len(parts) - 1 else piece
+    return rf"(?s)\A{SEP}{out}\z" if backwards else rf"(?s)\A{out}{SEP}\z"
+
+
+def _ends(segs: list) -> tuple[str, str]:
+    """What every accepted line begins and ends with, joined."""
+    head = [] if not segs or segs[0][0] else list(segs[0][1])
+    tail = [] if not segs or segs[-1][0] else list(segs[-1][1])
+    return SEP + "".join(t + SEP for t in head), "".join(SEP + t for t in tail) + SEP
+
+
+def literal_match(segs: list, s: Column) -> tuple[Column, Column, Column]:
+    """(accepted, ambiguous, captures) of joined lines by one template; the latter two hold for accepted lines alone."""
+    holes = sum(bool(p) for p, _ in segs)
+    head, tail = _ends(segs)
+    ok = F.startswith(s, F.lit(head)) & F.endswith(s, F.lit(tail)) & s.rlike(_expression(segs, False))
+    if not holes:
+        return ok, F.lit(False), F.array().cast(CAPTURES)
+    groups = GROUP.join(f"${k}" for k in range(1, holes + 1))
+    left = F.regexp_replace(s, F.lit(_expression(segs, True)), F.lit(groups))
+    right = F.reverse(F.regexp_replace(F.reverse(s), F.lit(_expression(segs, True, True)), F.lit(groups)))
+    several = F.lit(False) if holes == 1 else left != right
+    before, n = [], 0
+    for is_ph, toks in segs:
+        if is_ph:
+            before.append(n)
+        else:
+            n += len(toks)
+    tokens_of = lambda g: F.length(g) - F.length(F.replace(g, F.lit(SEP), F.lit("")))
+
+    def caught(parts):
+        begin = lambda k: F.get(F.array(*map(F.lit, before)), k) + F.aggregate(F.slice(parts, F.lit(1), k), F.lit(0), lambda a, g: a + tokens_of(g))
+        return F.transform(parts, lambda g, k: F.struct(k.alias("placeholder"), begin(k).alias("token_begin"), (begin(k) + tokens_of(g)).alias("token_end"), from_bytes(F.replace(g, F.lit(SEP), F.lit(""))).alias("value")))
+
+    return ok, several, let(F.split(left, GROUP, -1), caught).cast(CAPTURES)
+
+
+def _option(label: int, ordinal: int, several: Column, caught: Column) -> Column:
+    return let(several, lambda a: F.struct(F.lit(label).cast("long").alias("label"), F.lit(ordinal).alias("ordinal"), a.alias("ambiguous"), F.when(~a, caught).alias("captures")))
+
+
+def _found(templates: list[tuple[int, int, list]], s: Column) -> Column:
+    """array<struct<label, ordinal, ambiguous, captures>> of the templates (label, ordinal, segs) that accept a joined line, in their order."""
+    kind = f"struct<label:bigint,ordinal:int,ambiguous:boolean,captures:{CAPTURES}>"
+    options = []
+    for label, ordinal, segs in sorted(templates, key=lambda t: t[1]):
+        ok, several, caught = literal_match(segs, s)
+        options.append(F.when(ok, _option(label, ordinal, several, caught).cast(kind)))
+    return F.filter(F.array(*options).cast(f"array<{kind}>"), lambda m: m.isNotNull())
+
+
+def _few(templates: DataFrame) -> list[tuple[int, int, list]] | None:
+    """Templates on the driver if they are LITERAL at most, else None."""
+    rows = templates.select("label", "ordinal", "segs").limit(LITERAL + 1).collect()
+    return None if len(rows) > LITERAL else [(r.label, r.ordinal, [(x.is_ph, list(x.toks)) for x in r.segs]) for r in rows]
+
+
+def _joined_lines(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("s", joined(tokens(F.col("raw"))))
+
+
 def accepted(lines: DataFrame, templates: DataFrame) -> DataFrame:
     """(row_id, label, ordinal, ambiguous, captures): one row for each line and template that accepts it; lines (row_id, raw)."""
+    if (few := _few(templates)) is not None:
+        found = _joined_lines(lines.select("row_id", "raw")).select("row_id", F.explode(_found(few, F.col("s"))).alias("m"))
+        return found.select("row_id", "m.label", "m.ordinal", "m.ambiguous", "m.captures")
     rows = lines.select("row_id", tokens(F.col("raw")).alias("toks"))
     rows = rows.select("row_id", F.size("toks").alias("size"), F.coalesce(F.get("toks", F.lit(0)), F.lit("")).alias("head"), F.coalesce(F.try_element_at("toks", F.lit(-1)), F.lit("")).alias("end"), joined(F.col("toks")).alias("s"))
     # exploding the fits that hold computes each once; a filter would be pushed below and compute it again
@@ -167,29 +264,27 @@ def accepted(lines: DataFrame, templates: DataFrame) -> DataFrame:
     return found.select("row_id", "label", "ordinal", F.col("f.ambiguous").alias("ambiguous"), F.when(~F.col("f.ambiguous"), captures(F.col("s"), F.col("b"), F.col("f.left"))).alias("captures"))
 
 
+def _shown(m: Column) -> Column:
+    return F.struct(F.concat(F.lit("C"), m["label"].cast("string")).alias("template"), m["ambiguous"].alias("capture_ambiguous"), m["captures"].alias("captures"))
+
+
 def match(lines: DataFrame, templates: DataFrame, explode: bool = False) -> DataFrame:
     """lines (row_id, source_line, raw) -> (line, message, matches), unmatched lines with an empty array; with explode, `accepted`."""
-    found = accepted(lines, templates)
     if explode:
-        return found
-    item = F.struct("ordinal", F.struct(F.concat(F.lit("C"), F.col("label").cast("string")).alias("template"), F.col("ambiguous").alias("capture_ambiguous"), F.col("captures").alias("captures")).alias("m"))
-    per_line = found.groupBy("row_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["m"]).alias("matches"))
+        return accepted(lines, templates)
+    if (few := _few(templates)) is not None:
+        return match_rows(lines, few).select(F.col("source_line").alias("line"), F.col("raw").alias("message"), "matches")
+    item = F.struct("ordinal", F.struct("label", "ambiguous", "captures").alias("m"))
+    per_line = accepted(lines, templates).groupBy("row_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: _shown(x["m"])).alias("matches"))
     empty = F.array().cast(MATCH)
     return lines.join(per_line, "row_id", "left").select(F.col("source_line").alias("line"), F.col("raw").alias("message"), F.coalesce(F.col("matches").cast(MATCH), empty).alias("matches"))
 
 
-def _option(name: str):
-    return lambda m: F.when(m["accepted"], F.struct(F.lit(name).alias("template"), m["ambiguous"].alias("capture_ambiguous"), m["captures"].alias("captures")))
-
-
-def match_rows(lines: DataFrame, templates: list, id_cols: tuple[str, ...] = ()) -> DataFrame:
-    """lines (raw, ...) with `matches`, by columns alone: for streams, and a template list small enough to be a literal."""
-    lines = lines.withColumn("toks", tokens(F.col("raw")))
-    options = []
-    for label, segs in templates:
-        seg = F.array(*[F.struct(F.lit(p).alias("is_ph"), F.array(*map(F.lit, t)).cast("array<string>").alias("toks")) for p, t in segs]).cast("array<struct<is_ph:boolean,toks:array<string>>>")
-        options.append(let(template_match(seg, F.col("toks")), _option(f"C{label}")))
-    return lines.withColumn("matches", F.filter(F.array(*options), lambda m: m.isNotNull()).cast(MATCH)).drop("toks")
+def match_rows(lines: DataFrame, templates: list) -> DataFrame:
+    """lines (raw, ...) with `matches`, by columns alone: templates are (label, ordinal, segs) or (label, segs) in their order, few enough to be part of a plan."""
+    few = [t if len(t) == 3 else (t[0], k, t[1]) for k, t in enumerate(templates)]
+    held = _joined_lines(lines)
+    return held.withColumn("matches", F.transform(_found(few, F.col("s")), _shown).cast(MATCH)).drop("s")
 
 
 def template_text(templates: DataFrame) -> DataFrame:

@@ -6,15 +6,18 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tokens import as_bytes, from_bytes
 from ..operators.matching import match
 from ..sources.lines import read_lines, same_file
 from ..sources.templates import parse_templates, templates_frame
 
 
 def json_lines(matches: DataFrame) -> DataFrame:
-    """(line, value): each match row as JSON, ambiguous captures as null, control characters in lower-case hex."""
-    value = F.to_json(F.struct("line", "message", "matches"), {"ignoreNullFields": "false"})
-    return matches.select("line", _lower_hex(value).alias("value"))
+    """(line, value): each match row as JSON, ambiguous captures as null, control characters in lower-case hex, other bytes as they are."""
+    capture = lambda c: F.struct(*[c[x].alias(x) for x in ("placeholder", "token_begin", "token_end")], as_bytes(c["value"]).alias("value"))
+    found = F.transform("matches", lambda m: F.struct(m["template"].alias("template"), m["capture_ambiguous"].alias("capture_ambiguous"), F.transform(m["captures"], capture).alias("captures")))
+    value = F.to_json(F.struct("line", as_bytes(F.col("message")).alias("message"), found.alias("matches")), {"ignoreNullFields": "false"})
+    return matches.select("line", from_bytes(_lower_hex(value)).alias("value"))
 
 
 def _lower_hex(value: Column) -> Column:
@@ -37,9 +40,9 @@ def match_file(spark: SparkSession, templates_path: str, input_path: str, output
         raise ValueError("no templates")
     found = match(read_lines(spark, input_path), templates_frame(spark, templates))
     if output_path:
-        with open(output_path, "w", encoding="utf-8", newline="\n") as f:
-            for row in json_lines(found).orderBy("line").toLocalIterator():
-                f.write(row.value + "\n")
+        with open(output_path, "wb") as f:
+            for row in json_lines(found).select("line", F.col("value").cast("binary").alias("value")).orderBy("line").toLocalIterator():
+                f.write(bytes(row.value) + b"\n")
     return found
 
 

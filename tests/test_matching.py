@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from logweft.functions.tokens import split_tokens
-from logweft.operators.matching import match, match_rows, template_match
+from logweft.operators import matching
+from logweft.operators.matching import joined, literal_match, match, match_rows, template_match
 from logweft.plans.match import json_lines, match_file
 from logweft.sources.templates import SCHEMA, TemplateError, parse_templates, placeholder, render, render_templates, templates_frame
 
@@ -32,7 +33,7 @@ def test_published_cases(spark):
         ([lit("$GGA,")], "0$GGA,", False, False, None),
         ([lit("$GGA,")], "$GGA,0", False, False, None),
         ([lit("A"), PH], "AB", False, False, None),
-        ([lit("$A"), PH, lit(",B")], "$A12,B", None, None, None),
+        ([lit("$A"), PH, lit(",B")], "$A12,B", True, False, [(2, 3, "12")]),
         ([PH, lit("$A")], "12$A", True, False, [(0, 1, "12")]),
         ([lit("$A"), PH], "$A,12", True, False, [(2, 4, ",12")]),
         ([lit("$A"), PH, lit(","), lit("B")], "$A,B", True, False, [(2, 2, "")]),
@@ -46,8 +47,6 @@ def test_published_cases(spark):
         ([], "$A", False, False, None),
     ]
     for (segs, line, ok, ambiguous, captures), m in zip(cases, results(spark, [c[:2] for c in cases])):
-        if ok is None:
-            continue
         assert (m.accepted, m.ambiguous) == (ok, ambiguous), (segs, line)
         got = None if m.captures is None else [(c.token_begin, c.token_end, c.value) for c in m.captures]
         assert got == captures, (segs, line)
@@ -69,6 +68,14 @@ def test_every_small_template_and_line(spark):
     x = spark.createDataFrame([(k, list(v)) for k, v in enumerate(lines)], "l int, toks array<string>")
     got = t.crossJoin(x).select("t", "l", template_match(F.col("segs"), F.col("toks")).alias("m")).select("t", "l", "m.*").collect()
     assert len(got) == len(shapes) * len(lines)
+    # the same by expressions that are part of the plan
+    for at in range(0, len(shapes), 150):
+        columns = []
+        for k, shape in enumerate(shapes[at : at + 150], at):
+            ok, several, caught = literal_match([(p, list(c)) for p, c in shape], F.col("s"))
+            columns.append(F.struct(F.lit(k).alias("t"), ok.alias("accepted"), (ok & several).alias("ambiguous"), F.when(ok & ~several, caught).alias("captures")))
+        got += x.withColumn("s", joined(F.col("toks"))).select("l", F.explode(F.array(*columns)).alias("m")).select("m.t", "l", "m.accepted", "m.ambiguous", "m.captures").collect()
+    assert len(got) == 2 * len(shapes) * len(lines)
     for r in got:
         ways = accepts([(p, list(c)) for p, c in shapes[r.t]], list(lines[r.l]), 2)
         assert (r.accepted, r.ambiguous) == (bool(ways), len(ways) > 1), (shapes[r.t], lines[r.l])
@@ -112,12 +119,22 @@ def test_json_of_odd_text(spark):
     assert json.loads(rows[0])["message"] == 'a\x1b"\\é\\u001B\x0b' and json.loads(rows[0])["matches"][1]["captures"] is None
 
 
-def test_literal_templates_agree(spark):
-    lines = spark.createDataFrame([(k, k + 1, t) for k, t in enumerate(["a 1 b", "a b", "", "é 1", "a  b"])], "row_id long, source_line long, raw string")
-    templates = [(0, [lit("a "), PH, lit(" b")]), (1, [PH]), (5, [PH, lit(" "), PH])]
-    a = {r.message: r.matches for r in match(lines, templates_frame(spark, templates)).collect()}
+def test_joined_and_literal_templates_agree(spark, monkeypatch):
+    texts = ["a 1 b", "a b", "", "é 1", "a  b", "a.*b (c) \\E [d] $e", "x" * 3000 + " b" * 3000, "a\x1e 1 \x1f b", "b b b b b b"]
+    lines = spark.createDataFrame([(k, k + 1, t) for k, t in enumerate(texts)], "row_id long, source_line long, raw string")
+    templates = [(0, [lit("a "), PH, lit(" b")]), (1, [PH]), (5, [PH, lit(" "), PH]), (6, [lit("a.*"), PH, lit("\\E [d] $"), PH]), (7, []), (8, [PH, lit("b"), PH, lit("b"), PH, lit("b")]), (9, [lit("b b"), PH, lit("b b b b")]), (10, [PH, PH, lit("b")])]
+    frame = templates_frame(spark, templates)
+    a = {r.message: r.matches for r in match(lines, frame).collect()}
     b = {r.raw: r.matches for r in match_rows(lines, templates).collect()}
-    assert a == b
+    monkeypatch.setattr(matching, "LITERAL", 3)
+    c = {r.message: r.matches for r in match(lines, frame).collect()}
+    assert a == b == c and sum(map(len, a.values())) > 15
+
+
+def test_matching_does_not_move_lines(spark):
+    lines = spark.range(100).selectExpr("id AS row_id", "id + 1 AS source_line", "concat('a ', id) AS raw")
+    found = match(lines, templates_frame(spark, [(0, [lit("a "), PH])]))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
 
 
 def test_streamed_matches(spark, tmp_path):
