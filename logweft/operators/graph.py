@@ -8,12 +8,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbering import checkpointed, numbered
+from ..functions.numbering import checkpointed, numbered, numbered_within
 from .distances import row_similarity
 
 ALGORITHMS = ("leiden", "louvain", "components")
-#: rows that the order-dependent k-NN graph takes
-SOFT_ROWS = 20000
+#: edges of a component whose communities one task finds
+TASK_EDGES = 200_000
 
 
 def directed_knn(dist: DataFrame, k: int = 1) -> DataFrame:
@@ -28,30 +28,31 @@ def undirected(edges: DataFrame, merge=F.min) -> DataFrame:
 
 
 def knn_graph(dist: DataFrame, k: int = 1, soft: bool = False) -> DataFrame:
-    """(src, dst, weight): the undirected k-NN graph.
+    """(src, dst, weight): the undirected k-NN graph; with soft, `soft_knn`."""
+    return soft_knn(dist, k) if soft else undirected(directed_knn(dist, k))
 
-    With soft, each row in turn goes on past neighbours whose edge is there
-    already until it has added k of its own; that depends on the order of rows,
-    so it runs in one task, on at most SOFT_ROWS rows.
+
+def soft_knn(dist: DataFrame, k: int = 1) -> DataFrame:
+    """(src, dst, weight): each row in turn goes on past neighbours whose edge is there already until it has added k of its own.
+
+    An edge is there if an earlier row took it, so a row's choice depends on
+    earlier rows' alone.  All rows choose at once, again and again, each given
+    what the earlier ones chose the round before: after r rounds the choices of
+    all rows that depend on chains of fewer than r others are final, and when a
+    round changes none, all are.
     """
-    if not soft:
-        return undirected(directed_knn(dist, k))
-    if (n := dist.select("i").distinct().count()) > SOFT_ROWS:
-        raise ValueError(f"soft k-NN takes {SOFT_ROWS} rows at most, not {n}")
-
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        edges: dict[tuple, float] = {}
-        for i, rows in pdf.sort_values(["i", "d", "j"]).groupby("i", sort=True):
-            added = 0
-            for j, w in zip(rows["j"], rows["w"]):
-                if added == k:
-                    break
-                key = (min(i, j), max(i, j))
-                added += key not in edges
-                edges[key] = min(w, edges.get(key, w))
-        return pd.DataFrame([(*e, w) for e, w in edges.items()], columns=["src", "dst", "weight"])
-
-    return row_similarity(dist).where("i <> j").groupBy(F.lit(1)).applyInPandas(grow, "src long, dst long, weight double")
+    order = Window.partitionBy("i").orderBy("d", "j")
+    ranked = checkpointed(row_similarity(dist).where("i <> j").select("i", "j", "w", F.row_number().over(order).alias("r")))
+    taken, state = ranked.where("r <= 0").select(F.col("j").alias("i"), F.col("i").alias("j"), F.lit(True).alias("there")), None
+    while True:
+        seen = ranked.join(taken, ["i", "j"], "left").withColumn("new", F.col("there").isNull())
+        before = F.coalesce(F.sum(F.col("new").cast("int")).over(Window.partitionBy("i").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        visited = checkpointed(seen.withColumn("before", before).where(F.col("before") < k).select("i", "j", "w", "new"))
+        now = visited.where("new").agg(F.count(F.lit(1)), F.sum(F.xxhash64("i", "j").cast("decimal(38,0)"))).first()
+        if now == state:
+            return undirected(visited.select(F.col("i").alias("src"), F.col("j").alias("dst"), F.col("w").alias("weight")))
+        state = now
+        taken = visited.where("new AND i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), F.lit(True).alias("there"))
 
 
 def component_roots(vertices: DataFrame, edges: DataFrame, most_rounds: int = 100) -> DataFrame:
@@ -94,14 +95,20 @@ def _dense(df: DataFrame, key: str) -> DataFrame:
     return df.join(labels, key)
 
 
-def communities(vertices: DataFrame, edges: DataFrame, algorithm: str = "leiden", resolution: float = 1.0) -> DataFrame:
+def communities(vertices: DataFrame, edges: DataFrame, algorithm: str = "leiden", resolution: float = 1.0, objective: str = "modularity") -> DataFrame:
     """(id, label) by leiden, louvain or components.
 
     Modularity communities never span components, so each component is a group
-    of its own, given the total weight of the graph.  Labels are dense, in the
-    order of smallest members; isolated vertices are their own communities.
-    Without positive weight there is no modularity, and components are used.
+    of its own, given the total weight of the graph.  Components of more than
+    TASK_EDGES edges first move and merge vertices in rounds of aggregates
+    until what is left of them fits a task.  Labels are dense, in the order of
+    smallest members; isolated vertices are their own communities.  Without
+    positive weight there is no modularity, and components are used.  The
+    objective is modularity or er, by which all pairs of vertices are alike
+    (a negative resolution stands for one over twice the graph's weight).
     """
+    if objective not in ("modularity", "er"):
+        raise ValueError(f"unknown objective {objective!r}; modularity or er")
     if algorithm not in ALGORITHMS:
         raise ValueError(f"unknown algorithm {algorithm!r}; one of {', '.join(ALGORITHMS)}")
     edges = undirected(edges)
@@ -110,21 +117,71 @@ def communities(vertices: DataFrame, edges: DataFrame, algorithm: str = "leiden"
     total = edges.agg(F.sum("weight")).first()[0] or 0.0
     if total <= 0:
         return connected_components(vertices, edges)
+    if resolution < 0:
+        resolution = 1 / (2 * total)
+    density = None
+    if objective == "er":
+        n = vertices.count()
+        density = total / (n * (n - 1) / 2)
     roots = checkpointed(component_roots(vertices, edges))
-    inner = edges.join(roots, F.col("src") == F.col("id")).select("root", "src", "dst", "weight")
+    inner = checkpointed(edges.join(roots, F.col("src") == F.col("id")).select("root", "src", "dst", "weight"))
+    sizes = inner.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    large = checkpointed(sizes.where(F.col("n") > (TASK_EDGES if density is None else F.lit(1 << 62))).select("root"))
+    found = modularity_groups(inner.join(F.broadcast(large), "root", "left_anti"), total, resolution, algorithm, density)
+    if not large.isEmpty():
+        merged, part = _merged(inner.join(F.broadcast(large), "root"), total, resolution)
+        top = modularity_groups(merged, total, resolution, algorithm, density)
+        found = found.union(part.join(top.select(F.col("id").alias("part"), "least"), "part", "left").select("id", F.coalesce("least", "part").alias("least")))
+    alone = vertices.select("id").join(found.select("id"), "id", "left_anti").select("id", F.col("id").alias("least"))
+    return _dense(checkpointed(found.union(alone)), "least").select("id", "label")
+
+
+def modularity_groups(inner: DataFrame, total: float, resolution: float, algorithm: str, density: float | None = None) -> DataFrame:
+    """(id, least): each vertex's community by its smallest member, one task a component; inner (root, src, dst, weight)."""
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         from .modularity import optimise
 
-        found = optimise(list(zip(pdf["src"], pdf["dst"], pdf["weight"])), total, resolution, refine=algorithm == "leiden")
+        found = optimise(list(zip(pdf["src"], pdf["dst"], pdf["weight"])), total, resolution, refine=algorithm == "leiden", density=density)
         least: dict = {}
         for v, c in found.items():
             least[c] = min(least.get(c, v), v)
-        return pd.DataFrame([(v, least[c]) for v, c in found.items()], columns=["id", "root"])
+        return pd.DataFrame([(v, least[c]) for v, c in found.items()], columns=["id", "least"])
+
+    return inner.groupBy("root").applyInPandas(group, "id long, least long")
 
-    grouped = inner.groupBy("root").applyInPandas(group, "id long, root long")
-    alone = vertices.select("id").join(grouped.select("id"), "id", "left_anti").select("id", F.col("id").alias("root"))
-    return _dense(checkpointed(grouped.union(alone)), "root").select("id", "label")
+
+def _merged(inner: DataFrame, total: float, resolution: float, most_rounds: int = 60) -> tuple[DataFrame, DataFrame]:
+    """Large components with vertices merged until each has TASK_EDGES edges at most or nothing gains: (edges (root, src, dst, weight), parts (id, part)).
+
+    In each round every vertex names the neighbour whose merging gains most
+    modularity (ties to the smaller one); pairs that name each other merge, and
+    so do those that name a pair's smaller vertex, as long as they gain by it.
+    """
+    now = inner
+    part = inner.select(F.col("src").alias("id")).union(inner.select("dst")).distinct().withColumn("part", F.col("id"))
+    part = checkpointed(part)
+    for _ in range(most_rounds):
+        largest = now.where("src <> dst").groupBy("root").count().agg(F.max("count")).first()[0] or 0
+        if largest <= TASK_EDGES:
+            break
+        both = now.where("src <> dst").select("root", F.col("src").alias("v"), F.col("dst").alias("u"), "weight")
+        both = both.union(both.select("root", F.col("u"), F.col("v"), "weight"))
+        loops = now.where("src = dst").select(F.col("src").alias("v"), (2 * F.col("weight")).alias("weight"))
+        degree = checkpointed(both.select("v", "weight").union(loops).groupBy("v").agg(F.sum("weight").alias("k")))
+        gain = F.col("weight") - resolution * F.col("k") * F.col("ku") / (2 * total)
+        ranked = both.join(degree, "v").join(degree.select(F.col("v").alias("u"), F.col("k").alias("ku")), "u").withColumn("gain", gain).where("gain > 1e-12")
+        best = checkpointed(ranked.groupBy("v").agg(F.max(F.struct("gain", (-F.col("u")).alias("u"))).alias("b")).select("v", (-F.col("b.u")).alias("u")))
+        pairs = best.join(best.select(F.col("v").alias("u"), F.col("u").alias("back")), "u").where("back = v AND v < u").select(F.col("u").alias("v"), F.col("v").alias("to"))
+        followers = best.join(pairs.select(F.col("to").alias("u")).distinct(), "u").join(pairs.select("v"), "v", "left_anti").join(pairs.select(F.col("to").alias("v")), "v", "left_anti").select("v", F.col("u").alias("to"))
+        moves = checkpointed(pairs.union(followers))
+        if moves.isEmpty():
+            break
+        part = checkpointed(part.join(moves, F.col("part") == F.col("v"), "left").select("id", F.coalesce("to", "part").alias("part")))
+        renamed = now.join(moves.select(F.col("v").alias("src"), F.col("to").alias("a")), "src", "left").join(moves.select(F.col("v").alias("dst"), F.col("to").alias("b")), "dst", "left")
+        renamed = renamed.select("root", F.coalesce("a", "src").alias("x"), F.coalesce("b", "dst").alias("y"), "weight")
+        now = checkpointed(renamed.groupBy("root", F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).agg(F.sum("weight").alias("weight")))
+    return now, part
 
 
 def dbscan(dist: DataFrame, eps: float = 0.35, min_points: int = 3) -> DataFrame:
@@ -145,7 +202,7 @@ def dbscan(dist: DataFrame, eps: float = 0.35, min_points: int = 3) -> DataFrame
 
 def groups(labels: DataFrame) -> DataFrame:
     """(label, row_id, local): members of labels, numbered by ascending row id; unlabelled rows go."""
-    return labels.where("label IS NOT NULL").withColumn("local", F.row_number().over(Window.partitionBy("label").orderBy("row_id")) - 1)
+    return numbered_within(labels.where("label IS NOT NULL"), ["label"], ["row_id"], "local")
 
 
 def label_counts(labels: DataFrame) -> DataFrame:

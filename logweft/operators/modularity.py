@@ -9,11 +9,11 @@ from __future__ import annotations
 Graph = dict[int, dict[int, float]]
 
 
-def _moved(graph: Graph, degree: dict[int, float], label: dict[int, int], two_m: float, resolution: float) -> bool:
-    """Moves single vertices while modularity grows; says whether any moved."""
+def _moved(graph: Graph, mass: dict[int, float], label: dict[int, int], rate: float) -> bool:
+    """Moves single vertices while the quality grows; says whether any moved."""
     total: dict[int, float] = {}
     for v, c in label.items():
-        total[c] = total.get(c, 0.0) + degree[v]
+        total[c] = total.get(c, 0.0) + mass[v]
     any_move, moving = False, True
     while moving:
         moving = False
@@ -23,21 +23,21 @@ def _moved(graph: Graph, degree: dict[int, float], label: dict[int, int], two_m:
             for u, w in graph[v].items():
                 if u != v:
                     into[label[u]] = into.get(label[u], 0.0) + w
-            total[own] -= degree[v]
-            gain = lambda c: into[c] - resolution * degree[v] * total[c] / two_m  # noqa: B023,E731
+            total[own] -= mass[v]
+            gain = lambda c: into[c] - rate * mass[v] * total[c]  # noqa: B023,E731
             best = min(into, key=lambda c: (-gain(c), c))
             if gain(best) <= gain(own) + 1e-12:
                 best = own
-            total[best] = total.get(best, 0.0) + degree[v]
+            total[best] = total.get(best, 0.0) + mass[v]
             if best != own:
                 label[v], moving, any_move = best, True, True
     return any_move
 
 
-def _refined(graph: Graph, degree: dict[int, float], label: dict[int, int], two_m: float, resolution: float) -> dict[int, int]:
+def _refined(graph: Graph, mass: dict[int, float], label: dict[int, int], rate: float) -> dict[int, int]:
     """Splits communities into well-connected parts: singletons merge inside their community only, each at most once."""
     part = {v: v for v in graph}
-    total, size = dict(degree), {v: 1 for v in graph}
+    total, size = dict(mass), {v: 1 for v in graph}
     for v in sorted(graph):
         if part[v] != v or size[v] > 1:
             continue
@@ -46,11 +46,11 @@ def _refined(graph: Graph, degree: dict[int, float], label: dict[int, int], two_
             if u != v and label[u] == label[v]:
                 into[part[u]] = into.get(part[u], 0.0) + w
         into.pop(v, None)
-        good = [(resolution * degree[v] * total[c] / two_m - w, c) for c, w in into.items() if w - resolution * degree[v] * total[c] / two_m > 0]
+        good = [(rate * mass[v] * total[c] - w, c) for c, w in into.items() if w - rate * mass[v] * total[c] > 0]
         if good:
             c = min(good)[1]
             part[v] = c
-            total[c] += degree[v]
+            total[c] += mass[v]
             size[c] += 1
             size[v] = 0
     return part
@@ -64,8 +64,13 @@ def _collapsed(graph: Graph, part: dict[int, int]) -> Graph:
     return out
 
 
-def optimise(edges: list[tuple[int, int, float]], total: float, resolution: float = 1.0, refine: bool = True) -> dict[int, int]:
-    """Community of each vertex of undirected edges; total is the weight of the whole graph's edges."""
+def optimise(edges: list[tuple[int, int, float]], total: float, resolution: float = 1.0, refine: bool = True, density: float | None = None) -> dict[int, int]:
+    """Community of each vertex of undirected edges; total is the weight of the whole graph's edges.
+
+    The quality is modularity; with a density, the expected weight of any pair
+    of vertices, it is that of a random graph of equal pairs (Erdos and Renyi):
+    weights inside communities less resolution * density a pair.
+    """
     graph: Graph = {}
     for a, b, w in edges:
         for x, y in ((a, b), (b, a)):
@@ -73,12 +78,13 @@ def optimise(edges: list[tuple[int, int, float]], total: float, resolution: floa
             row[int(y)] = row.get(int(y), 0.0) + float(w)
     home = {v: v for v in graph}
     label = {v: v for v in graph}
+    mass = {v: sum(row.values()) for v, row in graph.items()} if density is None else dict.fromkeys(graph, 1.0)
+    rate = resolution / (2 * total) if density is None else resolution * density
     while True:
-        degree = {v: sum(row.values()) for v, row in graph.items()}
-        moved = _moved(graph, degree, label, 2 * total, resolution)
+        moved = _moved(graph, mass, label, rate)
         if not moved or len(set(label.values())) == len(graph):
             return {v: label[home[v]] for v in home}
-        part = _refined(graph, degree, label, 2 * total, resolution) if refine else dict(label)
+        part = _refined(graph, mass, label, rate) if refine else dict(label)
         if len(set(part.values())) == len(graph):
             part = dict(label)
         # parts become vertices named by a member; each starts in its community
@@ -86,7 +92,10 @@ def optimise(edges: list[tuple[int, int, float]], total: float, resolution: floa
         for p, c in sorted((p, label[v]) for v, p in part.items()):
             first.setdefault(c, p)
         home = {v: part[h] for v, h in home.items()}
-        label, graph = {p: first[label[v]] for v, p in part.items()}, _collapsed(graph, part)
+        joint = dict.fromkeys(part.values(), 0.0)
+        for v, p in part.items():
+            joint[p] += mass[v]
+        label, graph, mass = {p: first[label[v]] for v, p in part.items()}, _collapsed(graph, part), joint
 
 
 def modularity(edges: list[tuple[int, int, float]], label: dict[int, int], resolution: float = 1.0) -> float:
