@@ -1,6 +1,8 @@
 """Alignment of token lines: maximal runs of equal tokens along diagonals, and their best chain."""
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +24,44 @@ def diagonal_segments(base: DataFrame, refs: DataFrame, threshold: int = 1) -> D
     return runs.where(F.col("len") >= threshold).select("label", "ref_id", "b_start", "r_start", "len")
 
 
+def common_runs(members: DataFrame, k: int, threshold: int = 1) -> DataFrame:
+    """members (label, local 0 .. k - 1, tokens) -> (label, start array<int>, len): maximal runs of tokens that all k members of a label have along a diagonal of their grid.
+
+    One equi-join on (label, token) a member finds the cells, and the first
+    coordinate less row numbers along a diagonal the islands.
+    """
+    at = lambda n: members.where(F.col("local") == n).select("label", F.posexplode("tokens").alias(f"p{n}", "t"))
+    cells = at(0)
+    for n in range(1, k):
+        cells = cells.join(at(n), ["label", "t"])
+    places = [F.col(f"p{n}") for n in range(k)]
+    cells = cells.select("label", F.array(*places).alias("place"), F.col("p0"), F.array(*[p - places[0] for p in places]).alias("diag"))
+    run = F.col("p0") - F.row_number().over(Window.partitionBy("label", "diag").orderBy("p0"))
+    runs = cells.withColumn("run", run).groupBy("label", "diag", "run").agg(F.min_by("place", "p0").alias("start"), F.count(F.lit(1)).cast("int").alias("len"))
+    return runs.where(F.col("len") >= threshold).select("label", "start", "len")
+
+
+def chain_graph(segments: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(label, ref_id, src, dst, weight): which run may follow which, and at what cost.
+
+    segments (label, ref_id, b_start, r_start, len), sizes (label, ref_id, n,
+    m).  Vertices are named by their starts, S and T stand for the start and
+    the end.  A chain begins at both sequences' starts or inside both, ends
+    likewise, and leaves a token out on both sides between two runs; weights
+    count tokens left out less tokens matched.
+    """
+    x = segments.join(sizes, ["label", "ref_id"]).select(
+        "label", "ref_id", "b_start", "r_start", "len", "n", "m", F.concat_ws(",", "b_start", "r_start").alias("name"), (F.col("b_start") + F.col("len") - 1).alias("b_end"), (F.col("r_start") + F.col("len") - 1).alias("r_end")
+    )
+    begins = x.where("b_start = 0 AND r_start = 0 OR b_start > 0 AND r_start > 0").select("label", "ref_id", F.lit("S").alias("src"), F.col("name").alias("dst"), (F.col("b_start") + F.col("r_start") - F.col("len")).alias("weight"))
+    ends = x.where("(b_end = n - 1) = (r_end = m - 1)").select("label", "ref_id", F.col("name").alias("src"), F.lit("T").alias("dst"), (F.col("n") - F.col("b_end") + F.col("m") - F.col("r_end") - 1).alias("weight"))
+    p, q = x.alias("p"), x.alias("q")
+    hop_b, hop_r = F.col("q.b_start") - F.col("p.b_end"), F.col("q.r_start") - F.col("p.r_end")
+    hops = p.join(q, (F.col("p.label") == F.col("q.label")) & (F.col("p.ref_id") == F.col("q.ref_id")) & (hop_b >= 2) & (hop_r >= 2))
+    hops = hops.select("p.label", "p.ref_id", F.col("p.name").alias("src"), F.col("q.name").alias("dst"), (hop_b + hop_r - F.col("q.len")).alias("weight"))
+    return begins.unionByName(hops).unionByName(ends)
+
+
 def runs_of(base: list, ref: list, threshold: int = 1) -> list[tuple[int, int, int]]:
     """The same runs of two sequences, in lexicographic order."""
     where: dict = {}
@@ -80,8 +120,14 @@ def best_chain(runs: list[tuple[int, int, int]], n: int, m: int) -> list[tuple[i
     return out[::-1]
 
 
+@lru_cache(1 << 14)
+def _chain_of(runs: tuple, n: int, m: int) -> list[tuple[int, int, int]]:
+    return best_chain(list(runs), n, m)
+
+
 def align(base: list, ref: list, threshold: int = 1) -> list[tuple[int, int, int]]:
-    return best_chain(runs_of(base, ref, threshold), len(base), len(ref))
+    """The best chain of two sequences; lines of one shape mostly have the same runs, so chains are kept."""
+    return _chain_of(tuple(runs_of(base, ref, threshold)), len(base), len(ref))
 
 
 def _chains(base: pd.Series, ref: pd.Series) -> pd.Series:
@@ -93,11 +139,19 @@ def chain(base, ref) -> Column:
     return F.pandas_udf(_chains, PATH)(base, ref)
 
 
-def base_paths(members: DataFrame) -> DataFrame:
-    """members (label, local, row_id, tokens) -> (label, base_id, ref_id, path): every other member against the label's local 0."""
+def base_paths(members: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """members (label, local, row_id, tokens) -> (label, base_id, ref_id, path): every other member against the label's local 0.
+
+    Paths that are known already (base_id, ref_id, path) are taken as they are.
+    """
     base = members.where("local = 0").select("label", F.col("row_id").alias("base_id"), F.col("tokens").alias("base_tokens"))
-    refs = members.where("local > 0").join(base, "label")
-    return refs.select("label", "base_id", F.col("row_id").alias("ref_id"), chain("base_tokens", "tokens").alias("path"))
+    refs = members.where("local > 0").join(base, "label").withColumnRenamed("row_id", "ref_id")
+    fresh = lambda r: r.select("label", "base_id", "ref_id", chain("base_tokens", "tokens").alias("path"))
+    if known is None:
+        return fresh(refs)
+    pairs = known.select("base_id", "ref_id", "path")
+    old = refs.join(pairs, ["base_id", "ref_id"]).select("label", "base_id", "ref_id", "path")
+    return old.unionByName(fresh(refs.join(pairs, ["base_id", "ref_id"], "left_anti")))
 
 
 def all_pairs_paths(members: DataFrame) -> DataFrame:
@@ -138,8 +192,8 @@ def character_alignment_distance(rows: DataFrame) -> DataFrame:
 
 
 def segment_cooccurrence(members: DataFrame, paths: DataFrame) -> DataFrame:
-    """(text, next_text, n): how often one matched segment follows another over all paths; S and T stand for start and end."""
-    x = paths.join(members.select("label", F.col("row_id").alias("base_id"), "tokens"), ["label", "base_id"])
+    """(text, next_text, n): how often one matched segment follows another over all paths of two segments or more; S and T stand for start and end."""
+    x = paths.where(F.size("path") > 1).join(members.select("label", F.col("row_id").alias("base_id"), "tokens"), ["label", "base_id"])
     steps = F.concat(F.array(F.lit("S")), path_text("tokens", F.col("path")), F.array(F.lit("T")))
     pairs = F.transform(F.sequence(F.lit(1), F.size("s") - 1), lambda i: F.struct(F.element_at("s", i).alias("text"), F.element_at("s", i + 1).alias("next_text")))
     return x.select(steps.alias("s")).select(F.explode(pairs).alias("p")).groupBy("p.text", "p.next_text").agg(F.count(F.lit(1)).alias("n"))

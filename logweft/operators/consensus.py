@@ -111,6 +111,29 @@ def cluster_templates(members: DataFrame, constants: DataFrame) -> DataFrame:
     return base.select("label", F.col("row_id").alias("base_id"), segments_of(F.col("tokens"), F.col("places")).alias("segs"))
 
 
+def line_regions(members: DataFrame, paths: DataFrame, constants: DataFrame, accidentals: DataFrame) -> DataFrame:
+    """(label, row_id, tokens, regions array<struct<lower, upper, is_ph>>) of all members' tokens, constant and placeholder runs in turn.
+
+    A reference has the base's constants where its path puts them; one that was
+    left out is a placeholder from end to end.
+    """
+    lines = members.select("label", "row_id", "local", "tokens")
+    inside = lambda s: F.filter("places", lambda p: (p >= s["b_start"]) & (p < s["b_start"] + s["len"]))
+    moved = F.flatten(F.transform("path", lambda s: F.transform(inside(s), lambda p: p - s["b_start"] + s["r_start"])))
+    known = paths.join(constants, "label").join(accidentals.select("label", "ref_id"), ["label", "ref_id"], "left_anti").select("label", F.col("ref_id").alias("row_id"), moved.alias("own"))
+    rows = lines.join(known, ["label", "row_id"], "left").join(constants, "label", "left")
+    places = F.coalesce(F.when(F.col("local") == 0, F.col("places")).otherwise(F.col("own")), F.array().cast("array<int>"))
+    return rows.select("label", "row_id", "tokens", regions_of(F.col("tokens"), places).alias("regions"))
+
+
+def regions_of(tokens: Column, places: Column) -> Column:
+    """Runs of a line's tokens that are in `places` or not, as array<struct<lower, upper, is_ph>>."""
+    n = F.size(tokens)
+    fixed = lambda k: F.array_contains(places, k)
+    starts = F.filter(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda k: (k == 0) | (fixed(k) != fixed(k - 1)))
+    return F.transform(starts, lambda k, i: F.struct(k.alias("lower"), F.coalesce(F.get(starts, i + 1), n).alias("upper"), (~fixed(k)).alias("is_ph")))
+
+
 def word_bounded(members: DataFrame, constants: DataFrame) -> DataFrame:
     """constants with each run of constant characters shrunk to begin and end at word bounds of the base text (members of single characters)."""
     base = members.where("local = 0").select("label", "tokens")
