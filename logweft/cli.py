@@ -42,15 +42,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName("logweft").getOrCreate()
     if args.command == "mine":
         from .plans.mine import mine, save
-        from .plans.report import report
+        from .plans.report import report_lines, report_parts
         from .sources.exports import automata_dot, weighted_graphml
         from .sources.lines import read_lines
         from .sources.templates import templates_list
 
         result = mine(read_lines(spark, args.input), args.cluster_algo, args.refine_algo, args.threshold, args.outlier, args.passes, args.on_violation)
-        print(report(result, not args.plain))
+        for piece in report_parts(result, not args.plain):
+            print(piece, end="")
         if args.output:
             save(result, args.output)
+            report_lines(result, False).orderBy("label", "part", "at").select("line").write.mode("overwrite").text(f"{args.output}/report")
             os.makedirs(args.output, exist_ok=True)
             with open(f"{args.output}/templates.graphml", "w", encoding="utf-8") as f:
                 f.write(weighted_graphml(result.first.templates.select(F.col("label").alias("id")), result.edges, True))
@@ -61,10 +63,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
 
         match_file(spark, args.templates, args.input, args.output)
     elif args.command == "prepare":
-        from .sources.lines import prepare
+        from .sources.lines import physical_lines, prepare
 
-        content = spark.read.option("wholetext", True).text(args.input).select(F.lit(0).alias("id"), "value")
-        rows = prepare(content, "id", "value", args.keep_prefix).orderBy("pos").toLocalIterator()
+        rows = prepare(physical_lines(spark, args.input), "source_line", "value", args.keep_prefix).orderBy("id", "pos").toLocalIterator()
         with open(args.output, "w", encoding="utf-8", newline="\n") as f:
             f.writelines(r.record + "\n" for r in rows)
     else:

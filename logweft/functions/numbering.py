@@ -7,15 +7,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df computed once into the folder of spark.checkpoint.dir, its lineage cut; where that is unset, a temporary folder on a single machine and an error on a cluster."""
-    spark = df.sparkSession
+def checkpoint_dir(spark) -> str:
+    """The folder of checkpoints: that of spark.checkpoint.dir; where it is unset, a temporary one on a single machine and an error on a cluster."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError("spark.checkpoint.dir has to name a folder that all machines share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df computed once into the folder of checkpoints, its lineage cut."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 

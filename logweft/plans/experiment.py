@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluate
-from ..sources.lines import read_lines, validated_content
+from ..sources.lines import read_lines, validated_file
 from .mine import MineResult, mine
-from .report import report
+from .report import report_parts
 
 #: fixed values: the seed of the reordered run, and pairs of runs to compare
 SHUFFLE_SEED = 20260710
@@ -40,9 +40,9 @@ class Collected:
 
 def run_matrix(large: str, small: str, variants: list[str], spoofed: str, spoofed_with_prefix: str) -> list[Run]:
     """Nine runs: two normal traces, catalogue runs, a repeat and a reordering of the first, and one with prefixes kept."""
-    runs = [Run("R01", large, "main normal trace"), Run("R02", small, "second normal trace")]
-    runs += [Run(f"R0{3 + k}", p, "template catalogue") for k, p in enumerate([*variants, spoofed])]
-    return [*runs, Run("R07", large, "exact repeat of R01"), Run("R08", large, "fixed reordering of R01", SHUFFLE_SEED), Run("R09", spoofed_with_prefix, "prefix sensitivity")]
+    runs = [Run("R01", large, "the larger trace"), Run("R02", small, "the smaller trace")]
+    runs += [Run(f"R0{3 + k}", p, "another trace, for its templates") for k, p in enumerate([*variants, spoofed])]
+    return [*runs, Run("R07", large, "the larger trace once more, which has to agree"), Run("R08", large, "the larger trace in another order", SHUFFLE_SEED), Run("R09", spoofed_with_prefix, "records with what stands before them")]
 
 
 def select_runs(runs: list[Run], names: list[str] | None) -> list[Run]:
@@ -54,10 +54,9 @@ def select_runs(runs: list[Run], names: list[str] | None) -> list[Run]:
     return [r for r in runs if r.run_id in set(names)]
 
 
-def validate_inputs(runs: list[Run]) -> None:
+def validate_inputs(spark: SparkSession, runs: list[Run]) -> None:
     for r in runs:
-        with open(r.path, encoding="utf-8", newline="") as f:
-            validated_content(f.read())
+        validated_file(spark, r.path)
 
 
 def collect(run_id: str, result: MineResult) -> tuple[DataFrame, DataFrame]:
@@ -128,7 +127,7 @@ def write_run(run: Collected, folder: str, row_map: DataFrame | None = None) ->
     with open(f"{folder}/summary.json", "w", encoding="utf-8") as f:
         json.dump(summarise(run) | {"duration_seconds": run.seconds}, f, indent=2)
     with open(f"{folder}/report.txt", "w", encoding="utf-8") as f:
-        f.write(report(run.result))
+        f.writelines(report_parts(run.result))
 
 
 def compare(left: Collected, right: Collected) -> dict:
@@ -141,14 +140,14 @@ def compare(left: Collected, right: Collected) -> dict:
 
 def experiment(spark: SparkSession, runs: list[Run], folder: str | None = None, **options) -> dict:
     """All runs and the comparisons between those of PAIRS that are there."""
-    validate_inputs(runs)
+    validate_inputs(spark, runs)
     done = {r.run_id: execute(spark, r, folder, **options) for r in runs}
     out = {"comparisons": [compare(done[a], done[b]) for a, b in PAIRS if a in done and b in done], "skipped_comparisons": [[a, b] for a, b in PAIRS if not (a in done and b in done)]}
     if folder:
         with open(f"{folder}/comparisons.json", "w", encoding="utf-8") as f:
             json.dump(out, f, indent=2)
         with open(f"{folder}/experiment.json", "w", encoding="utf-8") as f:
-            json.dump({"schema_version": 1, "runs": [asdict(r) for r in runs], "inputs": {r.path: file_record(r.path) for r in runs}, "provenance": provenance(), "options": options}, f, indent=2)
+            json.dump({"schema_version": 1, "runs": [asdict(r) for r in runs], "inputs": {r.path: file_record(r.path) for r in runs}, "provenance": provenance(), "options": options, "artefacts": {r.run_id: artefacts(f"{folder}/{r.run_id}") for r in runs}}, f, indent=2, default=str)
     return out
 
 
@@ -160,6 +159,12 @@ def file_record(path: str) -> dict:
     return {"path": os.path.abspath(path), "size_bytes": os.path.getsize(path), "sha256": digest.hexdigest()}
 
 
+def artefacts(folder: str) -> list[dict]:
+    """Records of all files below a folder, by path; links are left out."""
+    found = [os.path.join(at, name) for at, _, names in os.walk(folder) for name in names]
+    return [file_record(p) for p in sorted(found) if os.path.isfile(p) and not os.path.islink(p)]
+
+
 def provenance() -> dict:
     """Version control state of the working folder, where there is one."""
     ask = lambda *a: subprocess.run(["git", *a], capture_output=True, text=True).stdout.strip()

@@ -10,7 +10,7 @@ from ..functions.numbering import checkpointed
 from ..functions.tokens import tokens
 from ..operators import distances, generalise, graph
 from ..operators.alignment import base_paths
-from ..operators.consensus import cluster_templates, consensus
+from ..operators.consensus import cluster_templates, consensus, line_regions
 from ..operators.matching import template_match, template_text
 from ..operators.outliers import retained
 
@@ -33,6 +33,10 @@ class Assembled:
     scores: DataFrame
     #: row_id, label: contributors that their own template rejects (kept only with on_violation="quarantine")
     violations: DataFrame
+    #: label, base_id, ref_id, path: alignments with the base lines
+    paths: DataFrame
+    #: label, row_id, tokens, regions: constant and placeholder runs of all aligned lines
+    regions: DataFrame
 
 
 @dataclass
@@ -58,17 +62,18 @@ def cluster(lines: DataFrame, algorithm: str = "leiden") -> DataFrame:
     return found.select(F.col("id").alias("row_id"), "label")
 
 
-def assemble_templates(lines: DataFrame, labels: DataFrame, threshold: float = 0.9, outlier: float = 1.5, on_violation: str = "error") -> Assembled:
-    """One template for each label: outliers out, members aligned to the first one, votes, consensus."""
+def assemble_templates(lines: DataFrame, labels: DataFrame, threshold: float = 0.9, outlier: float = 1.5, on_violation: str = "error", paths: DataFrame | None = None) -> Assembled:
+    """One template for each label: outliers out, members aligned to the first one (but for pairs whose path is given), votes, consensus."""
     labelled = lines.select("row_id", "raw").join(labels.select("row_id", "label"), "row_id")
     scores = checkpointed(retained(labelled, outlier))
     kept = scores.where("NOT excluded").select("row_id", "label", "local")
     members = checkpointed(kept.join(lines.select("row_id", tokens(F.col("raw")).alias("tokens")), "row_id"))
-    paths = checkpointed(base_paths(members))
+    paths = checkpointed(base_paths(members, paths))
     constants, accidentals = consensus(paths, threshold)
     found = checkpointed(cluster_templates(members, constants))
     templates = found.select("label", F.col("label").cast("int").alias("ordinal"), "segs", "base_id", (F.size(F.filter("segs", lambda s: ~s["is_ph"])) == 0).alias("is_catch_all"))
     templates = checkpointed(template_text(templates))
+    regions = line_regions(members, paths, constants, accidentals)
     accidentals = accidentals.select(F.col("ref_id").alias("row_id"), "label")
     contributors = checkpointed(members.select("row_id", "label").join(accidentals.select("row_id"), "row_id", "left_anti"))
     checked = contributors.join(members.select("row_id", "tokens"), "row_id").join(templates.select("label", "segs"), "label")
@@ -76,20 +81,26 @@ def assemble_templates(lines: DataFrame, labels: DataFrame, threshold: float = 0
     if on_violation == "error" and (bad := violations.first()) is not None:
         raise SelfCheckError(f"generated template C{bad.label} does not accept contributor row {bad.row_id}")
     exclusions = scores.where("excluded").select("row_id", "label", F.lit("lof").alias("reason")).union(accidentals.select("row_id", "label", F.lit("accidental")))
-    return Assembled(templates, contributors, exclusions, scores, violations)
+    return Assembled(templates, contributors, exclusions, scores, violations, paths, regions)
 
 
-def mine(lines: DataFrame, cluster_algo: str = "leiden", refine_algo: str = "components", threshold: float = 0.9, outlier: float = 1.5, passes: int = 2, on_violation: str = "error", labels: DataFrame | None = None) -> MineResult:
+def mine(lines: DataFrame, cluster_algo: str = "leiden", refine_algo: str = "components", threshold: float = 0.9, outlier: float = 1.5, passes: int = 2, on_violation: str = "error", labels: DataFrame | None = None, paths: DataFrame | None = None, cache: str | None = None) -> MineResult:
     """lines (row_id, source_line, raw) -> templates.
 
     The first pass clusters lines, makes a template of each cluster and groups
     templates that generalise one another; the second makes a template of each
-    group's lines.  Given labels replace the clustering.
+    group's lines.  Given labels replace the clustering; given paths (base_id,
+    ref_id, path) are not aligned again.  With a cache folder the first pass's
+    labels are kept under the lines' fingerprint.
     """
     if passes not in (1, 2):
         raise ValueError("one pass or two")
-    labels = checkpointed(cluster(lines, cluster_algo) if labels is None else labels)
-    first = assemble_templates(lines, labels, threshold, outlier, on_violation)
+    if labels is None:
+        found = lambda: cluster(lines, cluster_algo)
+        labels = cached(lines.sparkSession, cache, f"labels-{cluster_algo}", lines, found) if cache else checkpointed(found())
+    else:
+        labels = checkpointed(labels)
+    first = assemble_templates(lines, labels, threshold, outlier, on_violation, paths)
     cover = checkpointed(generalise.coverage(first.templates))
     edges = checkpointed(generalise.generalisation_graph(cover))
     merged = checkpointed(generalise.refine(first.templates, cover, refine_algo))
@@ -102,16 +113,17 @@ def mine(lines: DataFrame, cluster_algo: str = "leiden", refine_algo: str = "com
 
 
 def save(result: MineResult, folder: str) -> None:
-    """The result's tables as Parquet under a folder: labels, templates, contributors, exclusions, scores, components."""
-    tables = {"labels": result.labels, "templates": result.assembled.templates, "contributors": result.assembled.contributors, "exclusions": result.assembled.exclusions, "scores": result.assembled.scores}
+    """The result's tables as Parquet under a folder: labels, templates, contributors, exclusions, scores, paths, components."""
+    tables = {"paths": result.assembled.paths, "labels": result.labels, "templates": result.assembled.templates, "contributors": result.assembled.contributors, "exclusions": result.assembled.exclusions, "scores": result.assembled.scores}
     if result.components is not None:
         tables["components"] = result.components
     for name, table in tables.items():
         table.write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
-def load_templates(spark, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/templates")
+def load(spark, folder: str, name: str) -> DataFrame:
+    """One of the tables that `save` wrote, such as paths for another mine of the same lines."""
+    return spark.read.parquet(f"{folder}/{name}")
 
 
 def fingerprint(lines: DataFrame) -> str:

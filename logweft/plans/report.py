@@ -1,56 +1,59 @@
-"""Console report of a mine, in the form that template files and evaluations read."""
+"""Console report of a mine, in the form that template files and evaluations read.
+
+A report is a DataFrame of its lines, in order, so that logs of any size can be
+reported into a folder or streamed; the functions that return text are for logs
+that a reader can take in.
+"""
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tokens import ALERT_COLOUR, BULLET_COLOUR, RESET, shown
+from ..functions.tokens import ALERT_COLOUR, BULLET_COLOUR, PALETTE, RESET, from_bytes
 from ..operators.generalise import merge_components
-from ..sources.templates import placeholder, render, render_templates, templates_list
+from ..sources.templates import render, render_column, render_templates, templates_list
 from .mine import MineResult
 
 RULE = "-" * 42
 
 
-def zones(toks: list[str], constant: set[int], colour: bool) -> str:
-    """A line's text with its placeholder runs coloured in turn."""
-    out, n, open_ = [], 0, False
-    for k, t in enumerate(toks):
-        if k in constant:
-            out.append((RESET if open_ and colour else "") + shown([t]))
-            open_ = False
-            continue
-        if not open_ and colour:
-            out.append(placeholder(n).split("$")[0])
-        n += not open_
-        open_ = True
-        out.append(shown([t]))
-    return "".join(out) + (RESET if open_ and colour else "")
+def zones(tokens: Column, regions: Column, colour: bool = True) -> Column:
+    """A line's text, its placeholder runs coloured in turn."""
+    text = lambda g: from_bytes(F.array_join(F.slice(tokens, g["lower"] + 1, g["upper"] - g["lower"]), ""))
+    if not colour:
+        return from_bytes(F.array_join(tokens, ""))
+    tint = lambda n: F.get(F.array(*map(F.lit, PALETTE)), n % len(PALETTE))
+    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("n"))
+    step = lambda a, g: F.struct(F.concat(a["text"], F.when(g["is_ph"], F.concat(tint(a["n"]), text(g), F.lit(RESET))).otherwise(text(g))).alias("text"), (a["n"] + g["is_ph"].cast("int")).alias("n"))
+    return F.aggregate(regions, start, step, lambda a: a["text"])
 
 
-def cluster_report(result: MineResult, colour: bool = True) -> str:
-    """Members, contributors and exclusions of each label; for logs that a reader can take in."""
+def report_lines(result: MineResult, colour: bool = True) -> DataFrame:
+    """(label, part, at, line): members, contributors and exclusions of each label, line by line; to be ordered by label, part and at."""
     a = result.assembled
-    rows = result.lines.select("row_id", "raw").join(a.scores, "row_id").orderBy("label", "row_id").collect()
-    contributors: dict[int, list[int]] = {}
-    for r in a.contributors.orderBy("label", "row_id").collect():
-        contributors.setdefault(r.label, []).append(r.row_id)
-    segs = dict(templates_list(a.templates))
-    by: dict[int, list] = {}
-    for r in rows:
-        by.setdefault(r.label, []).append(r)
-    tint = lambda c, t: f"{c}{t}{RESET}" if colour else t
-    out = []
-    for label, members in by.items():
-        out += [f"Label: C{label} ({len(members)})", render(segs[label], colour), RULE]
-        for r in members:
-            if not r.excluded:
-                confidence = f":{abs(r.lof - 1):.2f}" if r.n > 2 else ""
-                out.append(f"{r.local:>5}{confidence}|{r.raw}")
-        out.append(f"Contributors C{label}: {' '.join(map(str, contributors.get(label, [])))}")
-        lost = [r.raw for r in members if r.excluded]
-        if lost:
-            out += [tint(ALERT_COLOUR, f"    Excluded {len(lost)}"), *[tint(ALERT_COLOUR, "    X| ") + x for x in lost], ""]
-    return "\n".join([*out, ""])
+    tint = lambda c, x: F.concat(F.lit(c), x, F.lit(RESET)) if colour else x
+    place = lambda part, at, line: ("label", F.lit(part).alias("part"), at.cast("long").alias("at"), line.alias("line"))
+    named = F.col("label").cast("string")
+    sizes = a.scores.groupBy("label").agg(F.count(F.lit(1)).alias("members"), F.count_if("excluded").alias("lost"))
+    heads = sizes.join(a.templates.select("label", render_column(F.col("segs"), colour).alias("text")), "label")
+    opening = F.array(F.concat(F.lit("Label: C"), named, F.lit(" ("), F.col("members").cast("string"), F.lit(")")), F.col("text"), F.lit(RULE))
+    out = heads.select("label", F.posexplode(opening).alias("at", "line")).select(*place(0, F.col("at"), F.col("line")))
+    kept = a.scores.where("NOT excluded").join(a.regions.select("row_id", zones(F.col("tokens"), F.col("regions"), colour).alias("text")), "row_id")
+    confidence = F.when(F.col("n") > 2, F.concat(F.lit(":"), F.format_string("%.2f", F.abs(F.col("lof") - 1)))).otherwise("")
+    out = out.unionByName(kept.select(*place(1, F.col("local"), F.concat(F.lpad(F.col("local").cast("string"), 5, " "), confidence, F.lit("|"), F.col("text")))))
+    members = a.contributors.groupBy("label").agg(F.array_sort(F.collect_list("row_id")).alias("rows"))
+    listed = sizes.join(members, "label", "left").select(*place(2, F.lit(0), F.concat(F.lit("Contributors C"), named, F.lit(": "), F.coalesce(F.array_join(F.transform("rows", lambda r: r.cast("string")), " "), F.lit("")))))
+    out = out.unionByName(listed)
+    count = tint(ALERT_COLOUR, F.concat(F.lit("    Excluded "), F.col("lost").cast("string")))
+    out = out.unionByName(sizes.where("lost > 0").select(*place(3, F.lit(0), count)))
+    gone = a.scores.where("excluded").join(result.lines.select("row_id", "raw"), "row_id")
+    return out.unionByName(gone.select(*place(4, F.col("row_id"), tint(ALERT_COLOUR, F.concat(F.lit("    X| "), F.col("raw"))))))
+
+
+def cluster_report(result: MineResult, colour: bool = True):
+    """The lines of the report, one after another."""
+    for r in report_lines(result, colour).orderBy("label", "part", "at").toLocalIterator():
+        yield r.line
 
 
 def summary(result: MineResult, colour: bool = True) -> str:
@@ -81,13 +84,14 @@ def component_report(result: MineResult, colour: bool = True) -> str:
     return "\n".join([*out, "Components list: ", *listed, f"Singletons: ({len(single)})", *[f"    {k:>4}: {render(segs[k], colour)}" for k in single], ""])
 
 
-def report(result: MineResult, colour: bool = True) -> str:
-    body = cluster_report(result, colour) + summary(result, colour)
-    return body + component_report(result, colour) if result.labels is not None and result.assembled is result.first else body
+def report_parts(result: MineResult, colour: bool = True):
+    """The whole report piece by piece: clusters, summary, and after a single pass its components."""
+    for line in cluster_report(result, colour):
+        yield line + "\n"
+    yield summary(result, colour)
+    if result.assembled is result.first:
+        yield component_report(result, colour)
 
 
-def region_map(result: MineResult):
-    """(label, local, regions array<struct<lower, upper, is_ph>>) of the retained members' base lines, by token places."""
-    t = result.assembled.templates
-    size = F.aggregate("segs", F.lit(0), lambda a, s: a + F.size(s["toks"]))
-    return t.select("label", "base_id", size.alias("constant_tokens"), F.transform("segs", lambda s: F.struct(s["is_ph"].alias("is_ph"), F.size(s["toks"]).alias("tokens"))).alias("regions"))
+def report(result: MineResult, colour: bool = True) -> str:
+    return "".join(report_parts(result, colour))

@@ -6,12 +6,63 @@ import struct
 import sys
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 #: the smallest weight written, as readers drop zero weights
 TINY = sys.float_info.epsilon
 
 
+def graphml_lines(vertices: DataFrame, edges: DataFrame, directed: bool = False) -> DataFrame:
+    """(part, a, b, line): a graph's text line by line, to be ordered by part, a and b.
+
+    vertices (id, label), edges (src, dst and attributes); a weight of 0 is
+    written as the smallest double step.  Graphs of any size are written as
+    text with it; the other functions here make one string.
+    """
+    text = lambda c: F.replace(F.replace(F.replace(c.cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    name = lambda c: F.concat(F.lit('"n'), F.replace(text(F.col(c)), F.lit('"'), F.lit("&quot;")), F.lit('"'))
+    attributes = [c for c in edges.columns if c not in ("src", "dst")]
+    head = ['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', '  <key id="label" for="node" attr.name="label" attr.type="string"/>']
+    head += [f'  <key id="e_{c}" for="edge" attr.name="{c}" attr.type="{"double" if c == "weight" else "string"}"/>' for c in attributes]
+    head.append(f'  <graph id="G" edgedefault="{"directed" if directed else "undirected"}">')
+    value = lambda c: F.when(F.col(c) == 0, F.lit(TINY)).otherwise(F.col(c)) if c == "weight" else F.col(c)
+    data = [F.concat(F.lit(f'<data key="e_{c}">'), text(value(c)), F.lit("</data>")) for c in attributes]
+    node = F.concat(F.lit("    <node id="), name("id"), F.lit('><data key="label">'), text(F.col("label")), F.lit("</data></node>"))
+    edge = F.concat(F.lit("    <edge source="), name("src"), F.lit(" target="), name("dst"), F.lit(">"), *data, F.lit("</edge>"))
+    frame = vertices.sparkSession.createDataFrame([(0, f"{k:03}", "", x) for k, x in enumerate(head)] + [(3, "0", "", "  </graph>"), (3, "1", "", "</graphml>")], "part int, a string, b string, line string")
+    nodes = vertices.select(F.lit(1).alias("part"), F.col("id").cast("string").alias("a"), F.lit("").alias("b"), node.alias("line"))
+    links = edges.select(F.lit(2).alias("part"), F.col("src").cast("string").alias("a"), F.col("dst").cast("string").alias("b"), edge.alias("line"))
+    return frame.union(nodes).union(links)
+
+
+def write_graphml(vertices: DataFrame, edges: DataFrame, path: str, directed: bool = False) -> None:
+    """A graph as one file, streamed line by line."""
+    with open(path, "w", encoding="utf-8") as f:
+        for r in graphml_lines(vertices, edges, directed).orderBy("part", F.length("a"), "a", F.length("b"), "b").toLocalIterator():
+            f.write(r.line + "\n")
+
+
+def weighted_graphml(vertices: DataFrame, edges: DataFrame, directed: bool = False) -> str:
+    """A similarity or template graph: vertices (id), edges (src, dst, weight)."""
+    rows = graphml_lines(vertices.select("id", F.col("id").cast("string").alias("label")), edges.select("src", "dst", "weight"), directed).orderBy("part", F.length("a"), "a", F.length("b"), "b").collect()
+    return "\n".join([*(r.line for r in rows), ""])
+
+
+def chain_graphml(graph: DataFrame, path: str) -> None:
+    """The chain graph of one pair of sequences (src, dst, weight) as a file."""
+    edges = graph.select("src", "dst", "weight")
+    names = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    write_graphml(names.select("id", F.col("id").alias("label")), edges, path, True)
+
+
+def cooccurrence_graphml(pairs: DataFrame, path: str) -> None:
+    """How often matched segments follow one another (text, next_text, n) as a file, segments named by their text."""
+    edges = pairs.select(F.col("text").alias("src"), F.col("next_text").alias("dst"), F.col("n").cast("double").alias("weight"))
+    names = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    write_graphml(names.select("id", F.col("id").alias("label")), edges, path, True)
+
+
 def graphml(vertices: list[tuple[int, str]], edges: list[tuple[int, int, dict[str, str]]], directed: bool = False) -> str:
     """vertices (id, label), edges (from, to, attributes)."""
     keys = sorted({k for *_, a in edges for k in a})
@@ -25,18 +76,8 @@ def graphml(vertices: list[tuple[int, str]], edges: list[tuple[int, int, dict[st
     return "\n".join([*out, "  </graph>", "</graphml>", ""])
 
 
-def weighted_graphml(vertices: DataFrame, edges: DataFrame, directed: bool = False) -> str:
-    """A similarity or template graph: vertices (id), edges (src, dst, weight); weight 0 is written as the smallest double step."""
-    ids = sorted(r.id for r in vertices.select("id").collect())
-    rows = edges.select("src", "dst", "weight").orderBy("src", "dst").collect()
-    return graphml([(i, str(i)) for i in ids], [(r.src, r.dst, {"weight": repr(r.weight or TINY)}) for r in rows], directed)
-
-
 def nearest_graphml(dist: DataFrame, k: int = 5) -> str:
     """The k smallest distances of each row, itself included, as a directed graph."""
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
-
     rows = dist.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("r") <= k).orderBy("i", "d", "j").collect()
     return graphml([(i, str(i)) for i in sorted({r.i for r in rows})], [(r.i, r.j, {"weight": repr(r.d or TINY)}) for r in rows], True)
 

@@ -10,6 +10,21 @@ from ..functions.numbering import checkpointed
 from ..functions.tokens import trim
 
 
+def _placed(spark: SparkSession, path: str, keep) -> DataFrame:
+    """(row_id, source_line, value) of the lines of a text file or folder for which keep(value) holds."""
+    # values are the lines' bytes, whatever their encoding: nothing here decodes them
+    text = spark.read.option("lineSep", "\n").text(path).select(F.col("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    splits = text.groupBy("file", "split").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    kept = text.where(keep(F.col("value"))).withColumn("mid", F.monotonically_increasing_id())
+    kept_splits = kept.groupBy("file", "split").agg(F.min("mid").alias("first_kept"), F.count(F.lit(1)).alias("k"))
+    order = Window.orderBy("file", "split")
+    places = splits.join(kept_splits, ["file", "split"], "left").select(
+        "file", "split", "first", "first_kept", (F.sum("n").over(order) - F.col("n")).alias("lines_before"), (F.sum(F.coalesce("k", F.lit(0))).over(order) - F.coalesce("k", F.lit(0))).alias("kept_before")
+    )
+    out = kept.join(checkpointed(places), ["file", "split"])
+    return out.select((F.col("kept_before") + F.col("mid") - F.col("first_kept")).alias("row_id"), (F.col("lines_before") + F.col("at") - F.col("first") + 1).alias("source_line"), "value")
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(row_id, source_line, raw): trimmed non-blank lines of a text file or folder.
 
@@ -18,19 +33,12 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     place in its file, so no line is sorted: one small aggregate over splits
     gives their offsets.  A path that cannot be read raises.
     """
-    # bytes outside UTF-8 read as replacement characters
-    text = spark.read.option("lineSep", "\n").text(path).select(F.col("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
-    raw = trim(F.col("value"))
-    splits = text.groupBy("file", "split").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
-    kept = text.select("file", "split", "at", raw.alias("raw")).where(F.col("raw") != "").withColumn("mid", F.monotonically_increasing_id())
-    kept_splits = kept.groupBy("file", "split").agg(F.min("mid").alias("first_kept"), F.count(F.lit(1)).alias("k"))
-    order = Window.orderBy("file", "split")
-    places = splits.join(kept_splits, ["file", "split"], "left").select(
-        "file", "split", "first", "first_kept", (F.sum("n").over(order) - F.col("n")).alias("lines_before"), (F.sum(F.coalesce("k", F.lit(0))).over(order) - F.coalesce("k", F.lit(0))).alias("kept_before")
-    )
-    places = checkpointed(places)
-    out = kept.join(places, ["file", "split"])
-    return out.select((F.col("kept_before") + F.col("mid") - F.col("first_kept")).alias("row_id"), (F.col("lines_before") + F.col("at") - F.col("first") + 1).alias("source_line"), "raw")
+    return _placed(spark, path, lambda v: trim(v) != "").select("row_id", "source_line", trim(F.col("value")).alias("raw"))
+
+
+def physical_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(source_line, value): all lines as they are, counted from 1."""
+    return _placed(spark, path, lambda v: F.lit(True)).select("source_line", "value")
 
 
 def stream_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -65,7 +73,7 @@ def prepare(df: DataFrame, id_col: str, text_col: str, keep_prefix: bool = False
 
 
 def validated_content(content: str) -> list[str]:
-    """Records of a prepared file: LF-terminated, no CR, one `$` each; raises ValueError otherwise."""
+    """Records of a prepared file's content: LF-terminated, no CR, one `$` each; raises ValueError otherwise."""
     if not content.endswith("\n") or "\r" in content:
         raise ValueError("records must end in line feeds, without carriage returns")
     records = content.split("\n")[:-1]
@@ -75,6 +83,29 @@ def validated_content(content: str) -> list[str]:
     return records
 
 
+def validated_file(spark: SparkSession, path: str) -> int:
+    """Records of a prepared file, by the same rules, without holding it: the number of records."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    size = fs.getFileStatus(hadoop).getLen()
+    with_end = size > 0
+    if with_end:
+        stream = fs.open(hadoop)
+        stream.seek(size - 1)
+        with_end = stream.read() == 10
+        stream.close()
+    if not with_end:
+        raise ValueError("records must end in line feeds, without carriage returns")
+    lines = physical_lines(spark, path)
+    dollars = F.length("value") - F.length(F.replace(F.col("value"), F.lit("$"), F.lit("")))
+    r = lines.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.contains(F.col("value"), F.lit("\r"))).alias("cr"), F.min(F.when(dollars != 1, F.col("source_line"))).alias("bad")).first()
+    if r.cr:
+        raise ValueError("records must end in line feeds, without carriage returns")
+    if r.bad is not None:
+        raise ValueError(f"line {r.bad} does not hold exactly one $")
+    return r.n
+
+
 def same_file(a: str, b: str) -> bool:
     """Whether two paths are one file: links of both kinds count."""
     if os.path.exists(a) and os.path.exists(b) and os.path.samefile(a, b):

@@ -53,46 +53,60 @@ def final_templates(text: str) -> dict[int, str]:
     return out
 
 
+@dataclass
+class _Section:
+    """What a report says between one component's header and the next."""
+
+    label: int
+    members: int
+    lost: list[int]
+    named: list[tuple[int, list[str]]]
+
+    def counts(self) -> Counts:
+        name = f"C{self.label}"
+        if len(self.lost) > 1 or len(self.named) > 1:
+            raise ValueError(f"{name} lists exclusions or contributors twice")
+        lost = sum(self.lost)
+        if not self.named:
+            rows = None
+        elif self.named[0][0] != self.label:
+            raise ValueError(f"contributors of C{self.named[0][0]} are out of place")
+        elif not all(map(str.isdigit, self.named[0][1])):
+            raise ValueError(f"a contributor of {name} is not a row")
+        else:
+            rows = frozenset(map(int, self.named[0][1]))
+            if len(rows) < len(self.named[0][1]):
+                raise ValueError(f"a contributor of {name} appears twice")
+        if lost + len(rows or ()) > self.members:
+            raise ValueError(f"{name} has more contributors and exclusions than rows")
+        return Counts(self.members, lost, rows)
+
+
+def _sections(lines: list[str]) -> list[_Section]:
+    heads = [k for k, x in enumerate(lines) if _HEAD.fullmatch(x)]
+    before = lines[: heads[0]] if heads else lines
+    if not heads or any(_MEMBERS.fullmatch(x) or _LOST.fullmatch(x) for x in before):
+        raise ValueError("no component header, or lines of a component before the first")
+    out = []
+    for a, b in zip(heads, [*heads[1:], len(lines)]):
+        label, members = map(int, _HEAD.fullmatch(lines[a]).groups())
+        lost = [int(m[1]) for m in map(_LOST.fullmatch, lines[a:b]) if m]
+        named = [(int(m[1]), m[2].split()) for m in map(_MEMBERS.fullmatch, lines[a:b]) if m]
+        out.append(_Section(label, members, lost, named))
+    return out
+
+
 def component_counts(text: str) -> dict[int, Counts]:
     """Label -> counts; ValueError where headers, exclusions and contributors do not fit together."""
-    out: dict[int, Counts] = {}
-    now: int | None = None
-    lost: set[int] = set()
-    everyone: set[int] = set()
-    for x in plain(text).split("\n"):
-        if m := _HEAD.fullmatch(x):
-            now = int(m[1])
-            if now in out:
-                raise ValueError(f"header of C{now} appears twice")
-            out[now] = Counts(int(m[2]))
-        elif m := _MEMBERS.fullmatch(x):
-            label, fields = int(m[1]), m[2].split()
-            if label not in out or label != now:
-                raise ValueError(f"contributors of C{label} are out of place")
-            if out[label].contributors is not None:
-                raise ValueError(f"contributors of C{label} appear twice")
-            if not all(f.isdigit() for f in fields):
-                raise ValueError(f"a contributor of C{label} is not a row")
-            rows = [int(f) for f in fields]
-            if len(set(rows)) < len(rows) or everyone & set(rows):
-                raise ValueError(f"a contributor of C{label} appears twice")
-            everyone |= set(rows)
-            out[label].contributors = frozenset(rows)
-        elif m := _LOST.fullmatch(x):
-            if now is None or now in lost:
-                raise ValueError("an exclusion is out of place")
-            lost.add(now)
-            if int(m[1]) > out[now].members:
-                raise ValueError(f"C{now} excludes more rows than it has")
-            out[now].lof_excluded = int(m[1])
-    if not out:
-        raise ValueError("no component headers")
-    known = [c for c in out.values() if c.contributors is not None]
+    sections = _sections(plain(text).split("\n"))
+    out = {s.label: s.counts() for s in sections}
+    if len(out) < len(sections):
+        raise ValueError("a component has two headers")
+    known = [c.contributors for c in out.values() if c.contributors is not None]
     if known and len(known) < len(out):
         raise ValueError("some components list no contributors")
-    for label, c in out.items():
-        if c.contributors is not None and c.lof_excluded + len(c.contributors) > c.members:
-            raise ValueError(f"C{label} has more contributors and exclusions than rows")
+    if len(frozenset().union(*known)) < sum(map(len, known)):
+        raise ValueError("a row contributes to two components")
     return out
 
 

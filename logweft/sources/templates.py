@@ -37,10 +37,16 @@ def render(segs: list[Segment], colour: bool = True) -> str:
     return "".join(out)
 
 
-def render_column(segs: Column) -> Column:
-    """Uncoloured text of a template column."""
+def placeholder_column(n: Column, colour: bool = False) -> Column:
+    """Placeholder n as text."""
+    text = F.concat(F.lit("$"), n.cast("string"))
+    return F.concat(F.get(F.array(*map(F.lit, PALETTE)), n % len(PALETTE)), text, F.lit(RESET)) if colour else text
+
+
+def render_column(segs: Column, colour: bool = False) -> Column:
+    """Text of a template column, uncoloured unless asked."""
     start = F.struct(F.lit("").alias("text"), F.lit(0).alias("n"))
-    step = lambda a, s: F.struct(F.concat(a["text"], F.when(s["is_ph"], F.concat(F.lit("$"), a["n"].cast("string"))).otherwise(from_bytes(F.array_join(s["toks"], "")))).alias("text"), (a["n"] + s["is_ph"].cast("int")).alias("n"))
+    step = lambda a, s: F.struct(F.concat(a["text"], F.when(s["is_ph"], placeholder_column(a["n"], colour)).otherwise(from_bytes(F.array_join(s["toks"], "")))).alias("text"), (a["n"] + s["is_ph"].cast("int")).alias("n"))
     return F.aggregate(segs, start, step, lambda a: a["text"])
 
 
