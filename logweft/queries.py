@@ -4,33 +4,27 @@ Lines are made from the tables' integer and text columns; row ids come from keys
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .functions import grid, numbering
 from .functions import tokens as T
 from .functions.distance import structural_distance, token_lcs
 from .operators import alignment, consensus, distances, evaluate, generalise, graph, matching, outliers
 from .plans.match import json_lines
-from .plans.mine import mine
-from .sources.lines import lines_of, prepare
-from .sources.templates import parse_body, templates_frame
-
-EVENT = "concat('event[', event_id, '] user=', user_id, ' type=', event_type, ' props=', props)"
-ORDER = "concat('order ', o_orderkey, ' for customer ', o_custkey, ' status ', o_orderstatus, ' priority ', o_orderpriority)"
-RECORD = "concat('src', l_suppkey, ' $LNIT', l_returnflag, ',', l_orderkey, ',', l_partkey, ',', l_linestatus, '*', l_linenumber)"
-#: uncoloured templates that the event and order lines are matched against
-TEMPLATES = [
-    "event[$0] user=$1 type=$2 props={\"k\": $3}",
-    "event[$0] user=$1 type=click props={\"k\": $2}",
-    "event[$0] user=$1 type=purchase props={\"k\": $2}",
-    "event[$0] user=7 $1",
-    "$0 type=view $1",
-    "order $0 for customer $1 status F priority $2",
-    "order $0 for customer $1 status $2 priority 1-URGENT",
-    "order $0",
-    "$0=$1",
-    "event[0] user=$0",
-]
+from .plans.mine import MineResult, assemble_templates, cached, mine
+from .plans.report import cluster_report
+from .sources import exports, reports
+from .sources.lines import lines_of, prepare, read_lines
+from .sources.templates import parse_body, parse_templates, render_column, render_templates, templates_frame, templates_list
+from .statements import EVENT, ORDER, ORDER_RECORD, RECORD, SQL, TEMPLATES
+
+
+def shared_folder(spark) -> str:
+    """The folder of checkpoints, which all machines share."""
+    return numbering.checkpoint_dir(spark)
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -132,9 +126,10 @@ def row_similarity(spark, d):
 
 
 def _square(spark, d):
-    """All ordered pairs of nations with their name distances, the diagonal too."""
-    half = distances.character_distances(table(spark, d, "nation"), "n_nationkey", "n_name").select(F.col("i").cast("long"), F.col("j").cast("long"), F.col("d").cast("double"))
-    diagonal = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("i"), F.col("n_nationkey").cast("long").alias("j"), F.lit(0.0).alias("d"))
+    """All ordered pairs of suppliers with their name distances, the diagonal too."""
+    t = table(spark, d, "supplier")
+    half = distances.character_distances(t, "s_suppkey", "s_name").select(F.col("i").cast("long"), F.col("j").cast("long"), F.col("d").cast("double"))
+    diagonal = t.select(F.col("s_suppkey").cast("long").alias("i"), F.col("s_suppkey").cast("long").alias("j"), F.lit(0.0).alias("d"))
     return half.union(half.select("j", "i", "d")).union(diagonal)
 
 
@@ -150,24 +145,24 @@ def soft_knn_graph(spark, d):
     return graph.knn_graph(_square(spark, d), 2, soft=True)
 
 
-def _nations(spark, d):
-    return table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"))
+def _suppliers(spark, d):
+    return table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("id"))
 
 
 def connected_components(spark, d):
-    return graph.connected_components(_nations(spark, d), graph.knn_graph(_square(spark, d), 1))
+    return graph.connected_components(_suppliers(spark, d), graph.knn_graph(_square(spark, d), 1))
 
 
 def louvain_communities(spark, d):
-    return graph.communities(_nations(spark, d), graph.knn_graph(_square(spark, d), 3), "louvain")
+    return graph.communities(_suppliers(spark, d), graph.knn_graph(_square(spark, d), 3), "louvain")
 
 
 def leiden_communities(spark, d):
-    return graph.communities(_nations(spark, d), graph.knn_graph(_square(spark, d), 3), "leiden")
+    return graph.communities(_suppliers(spark, d), graph.knn_graph(_square(spark, d), 3), "leiden")
 
 
 def dbscan_clusters(spark, d):
-    return graph.dbscan(_square(spark, d), 5.0, 3)
+    return graph.dbscan(_square(spark, d), 1.0, 4)
 
 
 def label_groups(spark, d):
@@ -190,10 +185,30 @@ def structural_distances(spark, d):
 
 
 def token_common_lengths(spark, d):
-    x = lines_of(table(spark, d, "region"), "r_regionkey", "r_name").select(F.col("row_id").alias("i"), F.split("raw", "").alias("a"))
+    """Longest common subsequences of the letters of all pairs of nations' names."""
+    x = lines_of(table(spark, d, "nation"), "n_nationkey", "n_name").select(F.col("row_id").alias("i"), F.split("raw", "").alias("a"))
     return x.join(x.select(F.col("i").alias("j"), F.col("a").alias("b")), F.col("i") < F.col("j")).select("i", "j", token_lcs("a", "b").alias("n"))
 
 
+def subset_texts(spark, d):
+    """Tokens 2 to 4 of the order lines as text."""
+    return orders(spark, d).select("row_id", T.from_bytes(T.subset_text(T.tokens(F.col("raw")), F.lit(2), F.lit(3))).alias("text"))
+
+
+def grid_places(spark, d):
+    """Arithmetic on places made of line items' keys."""
+    t = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array(F.col("l_linenumber").cast("int"), (F.col("l_partkey") % 7).cast("int"), F.lit(3)).alias("p"), F.array(F.lit(1), F.lit(0), F.lit(2)).alias("o"))
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return t.groupBy(text(grid.bottom_right(F.col("p"))).alias("below"), text(grid.top_left(F.col("p"))).alias("above"), text(grid.distance(F.col("p"), F.col("o"))).alias("apart"), text(grid.added(F.col("p"), F.col("o"))).alias("both"), grid.is_top(F.col("p")).alias("top"), grid.l1_from_zero(F.col("p")).alias("l1")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def grid_faces(spark, d):
+    """Faces of the grids of regions' and their nations' name lengths."""
+    r = table(spark, d, "region").select("r_regionkey", F.length("r_name").alias("a"))
+    x = table(spark, d, "nation").join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").cast("long").alias("label"), F.array(F.col("a"), F.length("n_name")).alias("sizes"))
+    return grid.faces(x).select("label", "face", F.element_at("place", 1).alias("x"), F.element_at("place", 2).alias("y"))
+
+
 def nearest_lines(spark, d):
     """Each event line's nearest other line by structure."""
     return distances.one_nearest(events(spark, d)).select("i", "j", F.round("d", 9).alias("d"), F.round("weight", 9).alias("weight"))
@@ -205,30 +220,94 @@ def _order_members(spark, d):
     return graph.groups(t.select("row_id", "label")).join(t.select("row_id", T.tokens(F.col("raw")).alias("tokens")), "row_id")
 
 
+def _named_groups(spark, d):
+    """Letters of suppliers' names in threes."""
+    t = table(spark, d, "supplier").select(F.col("s_suppkey").alias("row_id"), F.expr("s_suppkey div 3").alias("label"), F.filter(F.split("s_name", ""), lambda c: c != "").alias("tokens"))
+    return graph.groups(t.select("row_id", "label")).join(t.select("row_id", "tokens"), "row_id")
+
+
 def diagonal_segments(spark, d):
     m = _order_members(spark, d)
     return alignment.diagonal_segments(m.where("local = 0").select("label", "tokens"), m.where("local > 0").select("label", F.col("row_id").alias("ref_id"), "tokens"))
 
 
-def best_chains(spark, d):
-    p = alignment.base_paths(_order_members(spark, d))
+def common_runs(spark, d):
+    """Runs that all three names of a group have, place by place."""
+    x = alignment.common_runs(_named_groups(spark, d), 3)
+    return x.select("label", *[F.element_at("start", k + 1).alias(f"p{k}") for k in range(3)], "len")
+
+
+def chain_graph(spark, d):
+    """Which run may follow which between the first name of a group and the others."""
+    m = _named_groups(spark, d)
+    base, refs = m.where("local = 0").select("label", "tokens"), m.where("local > 0").select("label", F.col("row_id").alias("ref_id"), "tokens")
+    sizes = refs.select("label", "ref_id", F.size("tokens").alias("m")).join(base.select("label", F.size("tokens").alias("n")), "label")
+    return alignment.chain_graph(alignment.diagonal_segments(base, refs), sizes)
+
+
+def _path_facts(p: DataFrame) -> DataFrame:
     return p.select("label", "base_id", "ref_id", alignment.matched(F.col("path")).alias("matched"), F.size("path").alias("segments"), alignment.largest_segment(F.col("path"))["len"].alias("largest"))
 
 
+def best_chains(spark, d):
+    return _path_facts(alignment.base_paths(_order_members(spark, d)))
+
+
+def known_paths(spark, d):
+    """The same chains, those of even references read from a saved table."""
+    m = _order_members(spark, d)
+    folder = f"{shared_folder(spark)}/paths-{uuid.uuid4().hex}"
+    alignment.base_paths(m).where("ref_id % 2 = 0").write.parquet(folder)
+    return _path_facts(alignment.base_paths(m, spark.read.parquet(folder)))
+
+
+def target_paths(spark, d):
+    """All nations' names against one."""
+    t = table(spark, d, "nation").select(F.lit(0).cast("long").alias("label"), F.col("n_nationkey").cast("long").alias("row_id"), F.filter(F.split("n_name", ""), lambda c: c != "").alias("tokens"))
+    return _path_facts(alignment.target_paths(t, 7))
+
+
 def consensus_votes(spark, d):
     return consensus.votes(alignment.base_paths(_order_members(spark, d)))
 
 
-def cluster_templates(spark, d):
-    m = _order_members(spark, d)
+def half_consensus(spark, d):
+    """Places that at least half of the references match."""
+    return consensus.half_consensus(alignment.base_paths(_order_members(spark, d))).select("label", F.explode("places").alias("pos"))
+
+
+def _templates_of(m: DataFrame) -> DataFrame:
+    m = numbering.checkpointed(m)
     constants, _ = consensus.consensus(alignment.base_paths(m))
-    return matching.template_text(consensus.cluster_templates(m, constants)).select("label", "base_id", "text")
+    found = consensus.cluster_templates(m, constants)
+    return matching.template_text(found.select("label", F.dense_rank().over(Window.orderBy("label")).alias("ordinal"), "base_id", "segs"))  # a row a template
+
+
+def cluster_templates(spark, d):
+    return _templates_of(_order_members(spark, d)).select("label", "base_id", "text")
 
 
 def unanimous_tokens(spark, d):
     return alignment.unanimous(_order_members(spark, d).select("label", "row_id", "tokens"))
 
 
+def line_regions(spark, d):
+    """Constant and placeholder runs of all order lines."""
+    m = numbering.checkpointed(_order_members(spark, d))
+    paths = numbering.checkpointed(alignment.base_paths(m))
+    constants, gone = consensus.consensus(paths)
+    x = consensus.line_regions(m, paths, constants, gone)
+    return x.select("label", "row_id", F.explode("regions").alias("g")).select("label", "row_id", "g.lower", "g.upper", "g.is_ph")
+
+
+def _mined(spark, d):
+    """Templates of order lines by status, and by status and priority."""
+    t = table(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"), F.crc32("o_orderstatus").alias("a"), F.crc32(F.concat("o_orderstatus", "o_orderpriority")).alias("b"), T.tokens(F.expr(ORDER)).alias("tokens"))
+    both = t.select("row_id", F.col("a").alias("label"), "tokens").union(t.select((-F.col("row_id") - 1).alias("row_id"), F.col("b").alias("label"), "tokens"))
+    at = graph.groups(both.select(F.abs("row_id").alias("row_id"), "label", F.col("row_id").alias("own")))
+    return _templates_of(at.select("label", "local", F.col("own").alias("row_id")).join(both.select("row_id", "tokens"), "row_id"))
+
+
 def segment_cooccurrence(spark, d):
     m = _order_members(spark, d)
     return alignment.segment_cooccurrence(m, alignment.base_paths(m))
@@ -250,12 +329,12 @@ def template_match(spark, d):
 
 
 def match_ambiguous(spark, d):
-    return matching.accepted(_log(spark, d), templates(spark)).where("label = 8").select("row_id", "ambiguous")
+    return matching.accepted(_log(spark, d), templates(spark)).select("row_id", "label", "ambiguous")
 
 
 def match_captures(spark, d):
-    found = matching.accepted(events(spark, d), templates(spark)).where("label = 0")
-    return found.select("row_id", F.explode("captures").alias("c")).select("row_id", "c.placeholder", "c.token_begin", "c.token_end", "c.value")
+    found = matching.accepted(_log(spark, d), templates(spark))
+    return found.select("row_id", "label", F.explode("captures").alias("c")).select("row_id", "label", "c.placeholder", "c.token_begin", "c.token_end", "c.value")
 
 
 def unmatched_lines(spark, d):
@@ -268,25 +347,44 @@ def match_json(spark, d):
 
 
 def template_texts(spark, d):
-    return matching.template_text(templates(spark)).select("label", "text")
+    """Mined templates as text, coloured and not."""
+    return _mined(spark, d).select("label", "text", render_column(F.col("segs"), True).alias("coloured"))
 
 
-def _pairs(spark):
-    texts = ["A $0", "A $0 C", "A B C", "A", "$0", "A B"]
-    return templates_frame(spark, [(k, parse_body(t)) for k, t in enumerate(texts)])
+def parsed_templates(spark, d):
+    """Mined templates written as a report's summary and read again."""
+    text = render_templates(templates_list(_mined(spark, d)))
+    return matching.template_text(templates_frame(spark, parse_templates(text))).select("label", "text")
+
+
+def template_automata(spark, d):
+    return generalise.automaton(_mined(spark, d))[1]
 
 
 def template_coverage(spark, d):
-    return generalise.coverage(_pairs(spark)).select("i", "j", "covered")
+    return generalise.coverage(_mined(spark, d)).select("i", "j", "covered")
+
+
+def template_graph(spark, d):
+    return generalise.generalisation_graph(generalise.coverage(_mined(spark, d)))
 
 
 def template_components(spark, d):
-    t = _pairs(spark)
+    t = _mined(spark, d)
     return generalise.refine(t, generalise.coverage(t))
 
 
-def template_automata(spark, d):
-    return generalise.automaton(templates(spark))[1]
+def component_bases(spark, d):
+    t = _mined(spark, d)
+    cover = generalise.coverage(t)
+    return generalise.component_bases(generalise.refine(t, cover), generalise.generalisation_graph(cover)).select("component", "base", "size")
+
+
+def row_components(spark, d):
+    """Orders, labelled by status and priority, with their templates' components."""
+    t = _mined(spark, d)
+    labels = table(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"), F.crc32(F.concat("o_orderstatus", "o_orderpriority")).alias("label"))
+    return generalise.row_components(labels, generalise.refine(t, generalise.coverage(t)))
 
 
 def partition_equivalence(spark, d):
@@ -296,9 +394,9 @@ def partition_equivalence(spark, d):
 
 
 def template_jaccard(spark, d):
-    e = table(spark, d, "events")
-    left, right = e.select(F.concat("event_type", "props").alias("text")), e.where("user_id % 3 = 0").select(F.concat("event_type", "props").alias("text"))
-    return evaluate.template_jaccard(left, right).select("shared", "all", F.round("jaccard", 9).alias("jaccard"))
+    """Nations' names against customers' market segments and regions' names."""
+    left = table(spark, d, "nation").select(F.col("n_name").alias("text")).union(table(spark, d, "region").select("r_name"))
+    return evaluate.template_jaccard(left, table(spark, d, "customer").select(F.col("c_mktsegment").alias("text")).union(table(spark, d, "region").select("r_name"))).select("shared", "all", F.round("jaccard", 9).alias("jaccard"))
 
 
 def _counts(spark, d):
@@ -315,11 +413,83 @@ def evaluation_totals(spark, d):
     return evaluate.totals(_counts(spark, d))
 
 
+def assignments(spark, d):
+    """Order records with label, template, contributor flag and identifier."""
+    o = table(spark, d, "orders")
+    lines = lines_of(o, "o_orderkey", ORDER_RECORD)
+    labels = o.select(F.col("o_orderkey").alias("row_id"), F.crc32("o_orderpriority").alias("label"))
+    texts = labels.select("label").distinct().select("label", F.concat(F.lit("T"), F.col("label").cast("string")).alias("text"))
+    return evaluate.assignments(lines, labels, texts, o.where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("row_id")))
+
+
 def template_rows(spark, d):
-    a = assigned(spark, d)
-    a = a.select(F.expr("conv(substr(md5(message), 1, 12), 16, 10)").cast("long").alias("row_id"), "label", F.concat(F.lit("T"), F.col("label").cast("string")).alias("template"), "identifier", "message")
-    counts = evaluate.component_counts(a.select("row_id", "label"), a.select("row_id").limit(0), a.select("row_id").limit(0))
-    return evaluate.template_rows(a, counts, "R01").drop("contributor_status_available")
+    return evaluate.template_rows(assignments(spark, d), _counts(spark, d), "R01")
+
+
+def template_rows_csv(spark, d):
+    """The same rows written as CSV and read again."""
+    folder = f"{shared_folder(spark)}/rows-{uuid.uuid4().hex}"
+    evaluate.template_rows(assignments(spark, d), _counts(spark, d), "R01").write.option("header", True).csv(folder)
+    return spark.read.option("header", True).csv(folder).select("template_label", "component_membership_count", "alignment_support_count", "example_1")
+
+
+def restored_labels(spark, d):
+    """Labels of shuffled orders, back by the rows' first places."""
+    x = orders(spark, d)
+    row_map = numbering.checkpointed(evaluate.shuffled(x, 20260710).select("new_id", F.col("row_id")))
+    first = numbering.numbered(x.select("row_id"), ["row_id"], "place")
+    places = numbering.checkpointed(row_map.join(first, "row_id").select("new_id", F.col("place").alias("row_id")))
+    labels = places.select(F.col("new_id").alias("row_id"), (F.col("row_id") % 7).alias("label"))
+    return evaluate.restored(labels, places)
+
+
+def read_text_lines(spark, d):
+    """Order lines written as text, with blank lines and white space, and read again."""
+    folder = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    orders(spark, d).repartitionByRange(4, "row_id").sortWithinPartitions("row_id").select(F.concat(F.lit(" \t"), "raw", F.lit("  \n"))).write.text(folder)
+    return read_lines(spark, folder)
+
+
+def cached_signatures(spark, d):
+    """Signatures of events kept under the lines' fingerprint: the second asking reads them."""
+    x, folder = events(spark, d), f"{shared_folder(spark)}/cache-{uuid.uuid4().hex}"
+    cached(spark, folder, "signatures", x, lambda: distances.signatures(x))
+    return cached(spark, folder, "signatures", x, lambda: distances.signatures(x).limit(0))
+
+
+def graphml_edges(spark, d):
+    """The suppliers' nearest-neighbour graph as GraphML, its edges read from the text again."""
+    lines = exports.graphml_lines(_suppliers(spark, d).select("id", F.col("id").cast("string").alias("label")), graph.knn_graph(_square(spark, d), 1))
+    at = lambda name: F.regexp_extract("line", f'{name}="n(\\d+)"', 1).cast("long")
+    return lines.where("part = 2").select(at("source").alias("src"), at("target").alias("dst"), F.regexp_extract("line", ">([^<]*)</data>", 1).cast("double").alias("weight"))
+
+
+def label_totals(spark, d):
+    """Distinct labels of customers, nation 0 being none."""
+    return graph.label_counts(table(spark, d, "customer").select(F.expr("nullif(c_nationkey, 0)").alias("label")))
+
+
+def _assembled(spark, d):
+    """Templates of customers' names by nation."""
+    x = customers(spark, d)
+    lines = x.select("row_id", F.col("row_id").alias("source_line"), "raw")
+    return lines, assemble_templates(lines, x.select("row_id", "label"), on_violation="quarantine")
+
+
+def contributors(spark, d):
+    return _assembled(spark, d)[1].contributors
+
+
+def exclusions(spark, d):
+    return _assembled(spark, d)[1].exclusions
+
+
+def report_counts(spark, d):
+    """The counts that a printed report of customers' names gives."""
+    lines, found = _assembled(spark, d)
+    text = "\n".join(cluster_report(MineResult(lines, found.contributors, found, None), False))
+    rows = [(k, c.members, c.lof_excluded, c.accidental, c.support) for k, c in reports.component_counts(text).items()]
+    return spark.createDataFrame(rows, "label long, members long, lof_excluded long, accidental long, support long")
 
 
 def sha_shuffle(spark, d):
@@ -346,114 +516,6 @@ def mine_suppliers(spark, d):
     return mine(x, "leiden", passes=1, on_violation="quarantine").components
 
 
-_E = "SELECT event_id AS row_id, 'event[' || event_id || '] user=' || user_id || ' type=' || event_type || ' props=' || props AS raw FROM events"
-_O = "SELECT o_orderkey AS row_id, 'order ' || o_orderkey || ' for customer ' || o_custkey || ' status ' || o_orderstatus || ' priority ' || o_orderpriority AS raw FROM orders"
-_TOKEN = T.TOKEN.replace("'", "''")
-
-
-def _toks(c: str) -> str:
-    return f"regexp_extract_all({c}, '{_TOKEN}', 1)"
-
-
-def _cat(t: str) -> str:
-    return f"CASE WHEN {t}[1] = '$' THEN '$' WHEN regexp_matches({t}[1], '[A-Za-z]') THEN 'A' WHEN regexp_matches({t}[1], '[0-9]') THEN 'D' WHEN regexp_matches({t}[1], '[!-/:-@\\[-`{{-~]') THEN '@' WHEN regexp_matches({t}[1], '[ \\t\\n\\x0B\\f\\r]') THEN 'S' ELSE 'N' END"
-
-
-def _sig(c: str) -> str:
-    return f"list_aggregate(list_transform({_toks(c)}, lambda t: {_cat('t')} || length(t)), 'string_agg', '')"
-
-
-_A = "SELECT l_linenumber::BIGINT AS label, 'src' || l_suppkey || ' $LNIT' || l_returnflag || ',' || l_orderkey || ',' || l_partkey || ',' || l_linestatus || '*' || l_linenumber AS message, 'LNIT' || l_returnflag AS identifier FROM lineitem"
-_SQUARE = "SELECT a.n_nationkey::BIGINT AS i, b.n_nationkey::BIGINT AS j, levenshtein(a.n_name, b.n_name)::DOUBLE AS d FROM nation a, nation b"
-_KNN = f"WITH s AS ({_SQUARE}), w AS (SELECT *, max(d) OVER (PARTITION BY i) - d AS w FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM w WHERE i <> j)"
-
-
-def _lof(rows: str, pick: str) -> str:
-    return f"""
-    WITH x AS ({rows}), c AS (SELECT *, count(*) OVER (PARTITION BY label) AS n FROM x),
-    p AS (SELECT a.label, a.row_id AS i, b.row_id AS j, a.n, levenshtein(a.raw, b.raw)::DOUBLE AS d FROM c a JOIN c b ON a.label = b.label AND a.row_id <> b.row_id WHERE a.n > 2),
-    k AS (SELECT i, d AS kdist FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d) AS r FROM p) WHERE r = least(3, n - 1)),
-    m AS (SELECT p.label, p.i, p.j, greatest(p.d, kj.kdist) AS reach FROM p JOIN k ki ON p.i = ki.i JOIN k kj ON p.j = kj.i WHERE p.d <= ki.kdist),
-    l AS (SELECT i, 1 / greatest(avg(reach), 2.220446049250313e-16::DOUBLE) AS lrd FROM m GROUP BY i),
-    f AS (SELECT m.i, avg(lj.lrd) / any_value(li.lrd) AS lof FROM m JOIN l li ON m.i = li.i JOIN l lj ON m.j = lj.i GROUP BY m.i),
-    s AS (SELECT c.row_id, c.label, c.n, coalesce(f.lof, 0) AS lof FROM c LEFT JOIN f ON c.row_id = f.i)
-    {pick}"""
-
-
-def _crc(c: str, values: dict[str, int]) -> str:
-    return "CASE " + c + " ".join(f" WHEN '{k}' THEN {v}" for k, v in values.items()) + " END::BIGINT"
-
-
-def _crcs(c: str, names: list[str]) -> str:
-    import zlib
-
-    return _crc(c, {k: zlib.crc32(k.encode()) for k in names})
-
-
-_STATUS = _crcs("o_orderstatus", ["F", "O", "P"])
-_PRIORITY = _crcs("o_orderpriority", ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"])
-_LOG = f"SELECT row_id, raw FROM ({_E}) UNION ALL SELECT -row_id - 1, raw FROM ({_O})"
-_BASES = f"WITH o AS (SELECT o_orderkey AS row_id, {_STATUS} AS label, 'order ' || o_orderkey || ' for customer ' || o_custkey || ' status ' || o_orderstatus || ' priority ' || o_orderpriority AS raw FROM orders), t AS (SELECT *, {_toks('raw')} AS toks, row_id = min(row_id) OVER (PARTITION BY label) AS base FROM o), u AS (SELECT label, row_id, base, unnest(toks) AS tok, generate_subscripts(toks, 1) - 1 AS pos FROM t)"
-
-
-def _pattern(body: str) -> str:
-    """A template as a regular expression over tokens that are each closed by the unit separator."""
-    import re
-
-    out = "".join("(?:[^\\x1f]*\\x1f)*" if p else "".join(re.escape(t).replace("'", "''") + "\\x1f" for t in toks) for p, toks in parse_body(body))
-    return out.replace("\\ ", " ").replace('\\"', '"')
-
-
-_TEMPLATE_ROWS = ", ".join(f"({k}::BIGINT, '{_pattern(t)}')" for k, t in enumerate(TEMPLATES))
-_TAGGED = "SELECT row_id, raw, list_aggregate(list_transform(" + _toks("raw") + ", lambda t: t || chr(31)), 'string_agg', '') AS s FROM "
-
-SQL = {
-    "tokenize_events": f"SELECT row_id, unnest({_toks('raw')}) AS token, (generate_subscripts({_toks('raw')}, 1) - 1)::INT AS pos FROM ({_E})",
-    "token_intervals": f"WITH t AS (SELECT row_id, {_toks('raw')} AS k FROM ({_O})), u AS (SELECT row_id, unnest(k) AS text, (generate_subscripts(k, 1) - 1)::INT AS pos FROM t) SELECT row_id, pos, (sum(length(text)) OVER w - length(text))::INT AS lower, (sum(length(text)) OVER w)::INT AS upper, {_cat('text')} AS cat, text FROM u WINDOW w AS (PARTITION BY row_id ORDER BY pos)",
-    "token_category_profile": f"SELECT {_cat('t')} AS cat, count(*) AS n, sum(length(t))::BIGINT AS chars FROM (SELECT unnest({_toks('raw')}) AS t FROM ({_E})) GROUP BY 1",
-    "line_signatures": f"SELECT row_id, {_sig('raw')} AS sig FROM ({_E})",
-    "signature_groups": f"WITH s AS (SELECT row_id, {_sig('raw')} AS sig FROM ({_E})) SELECT sig, count(*) AS n, min(row_id) AS row1, (list_sort(list(row_id)))[2] AS row2 FROM s GROUP BY sig",
-    "signature_topk": f"SELECT {_sig('raw')} AS sig, count(*) AS n FROM ({_E}) GROUP BY 1 ORDER BY n DESC, sig LIMIT 10",
-    "ansi_strip": "SELECT event_id, event_type || ' ' || props AS text FROM events",
-    "nmea_prepare": "SELECT id, record, count(*) AS copies FROM (SELECT l_orderkey * 10 + l_linenumber AS id, '$LNIT' || l_returnflag || ',' || l_orderkey || ',' || l_partkey || ',' || l_linestatus || '*' || l_linenumber AS record FROM lineitem) GROUP BY ALL",
-    "split_documents": r"WITH r AS (SELECT doc_id AS id, unnest(string_split(regexp_replace(replace(text, '\r\n', chr(10)), '\r\n?', chr(10), 'g'), chr(10))) AS record FROM documents) SELECT id, count(*) AS n, sum(length(record))::BIGINT AS chars FROM r WHERE record <> '' GROUP BY id",
-    "nmea_identifier_counts": f"SELECT identifier, count(*) AS messages FROM ({_A}) GROUP BY identifier",
-    "identifier_fragmentation": f"SELECT identifier, count(DISTINCT label) AS labels, string_agg(DISTINCT label::VARCHAR, ';' ORDER BY label::VARCHAR) AS templates, count(DISTINCT label) > 1 AS fragmented FROM ({_A}) GROUP BY identifier",
-    "mixed_templates": f"SELECT label, count(DISTINCT identifier) AS identifiers FROM ({_A}) GROUP BY label HAVING count(DISTINCT identifier) > 1",
-    "distinct_examples": f"WITH f AS (SELECT {_STATUS} AS label, o_orderpriority AS message, min(o_orderkey) AS k FROM orders GROUP BY ALL), r AS (SELECT label, message, (row_number() OVER (PARTITION BY label ORDER BY k))::INT AS rank FROM f) SELECT * FROM r WHERE rank <= 3",
-    "char_levenshtein_pairs": "SELECT a.s_suppkey AS i, b.s_suppkey AS j, levenshtein(a.s_name, b.s_name)::BIGINT AS d FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey",
-    "row_similarity": f"WITH s AS ({_SQUARE}) SELECT i, j, d, max(d) OVER (PARTITION BY i) - d AS w FROM s",
-    "knn_graph": f"{_KNN} SELECT least(i, j) AS src, greatest(i, j) AS dst, min(w) AS weight FROM r WHERE r = 1 GROUP BY 1, 2",
-    "directed_knn_graph": f"{_KNN} SELECT i AS src, j AS dst, w AS weight FROM r WHERE r <= 3",
-    "connected_components": f"WITH RECURSIVE e AS ({_KNN} SELECT i, j FROM r WHERE r = 1), b AS (SELECT i, j FROM e UNION SELECT j, i FROM e), c AS (SELECT n_nationkey::BIGINT AS id, n_nationkey::BIGINT AS other FROM nation UNION SELECT c.id, b.j FROM c JOIN b ON c.other = b.i), m AS (SELECT id, min(other) AS root FROM c GROUP BY id) SELECT id, dense_rank() OVER (ORDER BY root) - 1 AS label FROM m",
-    "label_groups": "SELECT c_nationkey::BIGINT AS label, c_custkey AS row_id, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1)::INT AS local FROM customer",
-    "lof_scores": _lof("SELECT c_custkey AS row_id, c_nationkey::BIGINT AS label, c_name AS raw FROM customer", "SELECT row_id, label, n, round(lof, 6) AS lof FROM s"),
-    "lof_excluded": _lof("SELECT p_partkey AS row_id, p_size::BIGINT AS label, p_name AS raw FROM part", "SELECT row_id, label, (n > 2 AND lof >= 1.5) AS excluded, CASE WHEN NOT (n > 2 AND lof >= 1.5) THEN row_number() OVER (PARTITION BY label, n > 2 AND lof >= 1.5 ORDER BY row_id) - 1 END AS local FROM s"),
-    "diagonal_segments": f"""{_BASES},
-        c AS (SELECT r.label, r.row_id AS ref_id, b.pos AS b, r.pos AS r, b.pos - r.pos AS diag FROM u r JOIN u b ON r.label = b.label AND r.tok = b.tok AND b.base WHERE NOT r.base),
-        g AS (SELECT *, b - row_number() OVER (PARTITION BY label, ref_id, diag ORDER BY b) AS run FROM c)
-        SELECT label, ref_id, min(b)::INT AS b_start, min(r)::INT AS r_start, count(*)::INT AS len FROM g GROUP BY label, ref_id, diag, run""",
-    "unanimous_tokens": f"{_BASES}, n AS (SELECT label, count(*) AS members FROM o GROUP BY label), a AS (SELECT label, pos, count(DISTINCT tok) AS n_distinct, min(tok) AS t, count(*) AS k FROM u GROUP BY label, pos) SELECT a.label, pos::INT AS pos, n_distinct, CASE WHEN n_distinct = 1 AND k = members THEN t END AS token FROM a JOIN n ON a.label = n.label",
-    "template_match": f"WITH t(label, pattern) AS (VALUES {_TEMPLATE_ROWS}), l AS ({_TAGGED} ({_LOG})) SELECT row_id, label FROM l, t WHERE regexp_full_match(s, pattern)",
-    "match_ambiguous": f"SELECT row_id, len(list_filter({_toks('raw')}, lambda t: t = '=')) > 1 AS ambiguous FROM ({_LOG}) WHERE list_contains({_toks('raw')}, '=')",
-    "match_captures": f"""WITH e AS (SELECT event_id AS row_id, event_id::VARCHAR AS a, user_id::VARCHAR AS b, event_type AS c, regexp_extract(props, '[0-9]+') AS d FROM events),
-        k AS (SELECT row_id, unnest([a, b, c, d]) AS value, unnest([0, 1, 2, 3])::INT AS placeholder, len({_toks('c')}) AS nc FROM e),
-        p AS (SELECT *, CASE placeholder WHEN 0 THEN 2 WHEN 1 THEN 7 WHEN 2 THEN 11 ELSE 17 + nc END AS lo FROM k)
-        SELECT row_id, placeholder, lo::INT AS token_begin, (lo + CASE placeholder WHEN 2 THEN nc ELSE 1 END)::INT AS token_end, value FROM p""",
-    "unmatched_lines": "SELECT c_custkey + 1 AS line, c_name AS message FROM customer WHERE c_nationkey % 2 <> 0",
-    "template_texts": "SELECT * FROM (VALUES " + ", ".join(f"({k}::BIGINT, '{t}')" for k, t in enumerate(TEMPLATES)) + ") AS t(label, text)",
-    # what the walk over each pair has to give, by the definition of the operator
-    "template_coverage": "WITH k(i) AS (SELECT unnest(range(6))::BIGINT), c(i, j) AS (VALUES (2, 1), (1, 2), (3, 4), (5, 0)) SELECT a.i, b.i AS j, EXISTS (SELECT 1 FROM c WHERE c.i = a.i AND c.j = b.i) AS covered FROM k a, k b WHERE a.i <> b.i",
-    "partition_equivalence": """WITH c AS (SELECT quality AS a, toxic AS b, count(*) AS n FROM labels GROUP BY ALL), p AS (SELECT sum(n * (n - 1) / 2) AS v, count(*) AS k, sum(n) AS m FROM c),
-        q AS (SELECT sum(n * (n - 1) / 2) AS v, count(*) AS k FROM (SELECT sum(n) AS n FROM c GROUP BY a)), r AS (SELECT sum(n * (n - 1) / 2) AS v, count(*) AS k FROM (SELECT sum(n) AS n FROM c GROUP BY b))
-        SELECT p.m::BIGINT AS messages, q.k = r.k AND r.k = p.k AS equivalent, round((p.v - q.v * r.v / (p.m * (p.m - 1) / 2)) / ((q.v + r.v) / 2 - q.v * r.v / (p.m * (p.m - 1) / 2)), 9) AS adjusted_rand_index FROM p, q, r""",
-    "template_jaccard": "WITH l AS (SELECT DISTINCT event_type || props AS t FROM events), r AS (SELECT DISTINCT event_type || props AS t FROM events WHERE user_id % 3 = 0) SELECT (SELECT count(*) FROM (FROM l INTERSECT FROM r)) AS shared, (SELECT count(*) FROM (FROM l UNION FROM r)) AS \"all\", round((SELECT count(*) FROM (FROM l INTERSECT FROM r))::DOUBLE / (SELECT count(*) FROM (FROM l UNION FROM r)), 9) AS jaccard",
-    "component_counts": f"SELECT {_PRIORITY} AS label, count(*) AS members, count(*) FILTER (o_orderstatus = 'F' AND o_custkey % 5 = 0) AS lof_excluded, count(*) - count(*) FILTER (o_orderstatus = 'F' AND o_custkey % 5 = 0) - count(*) FILTER (o_orderstatus = 'O') AS accidental, count(*) - count(*) FILTER (o_orderstatus = 'O') AS excluded, count(*) FILTER (o_orderstatus = 'O') AS support FROM orders GROUP BY 1",
-    "evaluation_totals": "WITH c AS (SELECT o_orderpriority, count(*) AS members, count(*) FILTER (o_orderstatus = 'F' AND o_custkey % 5 = 0) AS lof, count(*) FILTER (o_orderstatus = 'O') AS support FROM orders GROUP BY 1) SELECT sum(lof)::BIGINT AS lof_excluded, sum(members - lof - support)::BIGINT AS accidental, sum(members - support)::BIGINT AS excluded, sum(support)::BIGINT AS support, count(*) FILTER (lof > 0) AS components_with_lof, count(*) FILTER (members > support) AS components_with_exclusions FROM c",
-    "sha_shuffle": f"WITH k AS (SELECT row_id, raw, sha256('sha256-sort-v1' || chr(0) || '20260710' || chr(0) || (row_id + 1)) AS h FROM ({_O})) SELECT row_number() OVER (ORDER BY h, row_id) - 1 AS new_id, row_id, sha256(raw) AS record_sha256 FROM k",
-    "dense_numbers": "SELECT c_custkey, row_number() OVER (ORDER BY c_name DESC) - 1 AS place FROM customer",
-}
-
 QUERIES = {
     f.__name__: f
     for f in (
@@ -461,8 +523,9 @@ QUERIES = {
         nmea_identifier_counts, identifier_fragmentation, mixed_templates, distinct_examples, char_levenshtein_pairs, row_similarity, knn_graph, directed_knn_graph,
         soft_knn_graph, connected_components, louvain_communities, leiden_communities, dbscan_clusters, label_groups, lof_scores, lof_excluded, structural_distances,
         token_common_lengths, nearest_lines, diagonal_segments, best_chains, consensus_votes, cluster_templates, unanimous_tokens, segment_cooccurrence,
-        character_alignment, template_match, match_ambiguous, match_captures, unmatched_lines, match_json, template_texts, template_coverage, template_components,
-        template_automata, partition_equivalence, template_jaccard, component_counts, evaluation_totals, template_rows, sha_shuffle, dense_numbers, mine_pages, mine_suppliers,
+        character_alignment, subset_texts, grid_places, grid_faces, common_runs, chain_graph, known_paths, target_paths, half_consensus, line_regions, template_match, match_ambiguous, match_captures, unmatched_lines, match_json, template_texts, template_coverage, template_components,
+        template_automata, template_graph, component_bases, row_components, parsed_templates, assignments, template_rows_csv, restored_labels, read_text_lines,
+        cached_signatures, graphml_edges, label_totals, contributors, exclusions, report_counts, partition_equivalence, template_jaccard, component_counts, evaluation_totals, template_rows, sha_shuffle, dense_numbers, mine_pages, mine_suppliers,
     )
 }
 
