@@ -21,6 +21,8 @@ whatever the number of its copies.
 
 Words travel as 40 bits of their hashes.
 
+A text is held whole by one task, whose arrays take some thirty times its size.
+
 Defined cases: null and short texts have no window; white space between kept
 words becomes one space; a null identifier is larger than all others; rows with
 equal identifiers do not count as earlier to each other; repeats inside one
@@ -36,13 +38,15 @@ from pyspark.sql import DataFrame
 
 from .exchange import MESSAGE, answers, blocks, by_shard, expand, pack, pack_sorted, pack_texts, receive, squeeze, unpack, unpack_sorted, unpack_texts
 from .fm_index import FMIndex
-from .session import checkpointed, partitions
+from .session import checkpointed, partitions, text_bytes
 from .words import NO_ID, Words, mix, window_hash
 
 GRAM = 5
 WORD_BYTES = 5
 #: bytes of text in a block: its words' arrays take some thirty times as much
 BLOCK_BYTES = 3 << 20
+#: bytes of text for which there is a shard, at least
+SHARD_BYTES = 32 << 20
 _SECOND = 1 << 20
 _ODD = 0xD6E8FEB86659FD93
 _ODD_INVERSE = pow(_ODD, -1, 1 << 64)
@@ -284,7 +288,7 @@ def _delete(shards: int, window: int):
 
 def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept (remaining words joined by one space, UTF-8), removed_start and removed_length (word spans)."""
-    shards = max(8, 4 * partitions(docs.sparkSession))
+    shards = max(8, 4 * partitions(docs.sparkSession), -(-text_bytes(docs, text_col) // SHARD_BYTES))
     dealt = {"id_col": id_col, "text_col": text_col, "block_bytes": BLOCK_BYTES}
     texts = blocks(docs, _send_texts, **dealt)
     shared = checkpointed(answers(blocks(docs, _send_minimizers(shards, window), **dealt), _shared))
