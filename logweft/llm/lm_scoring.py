@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import answers, blocks, by_shard, pack, pack_sorted, pack_texts, receive, unpack, unpack_sorted, unpack_texts
-from .session import checkpointed, partitions
+from .session import checkpointed, partitions, text_bytes
 from .words import NO_ID, Words, mix
 
 RETAINED, DELETED, HELD_OUT = 0, 1, 2
@@ -43,6 +43,8 @@ DELETED_SHARE = 10
 BUCKETS = 24
 #: estimates in the histogram are binned to so many steps an octave
 STEPS, OCTAVES = 4, 40
+#: bytes of text for which there is a shard, at least
+SHARD_BYTES = 64 << 20
 _END = np.uint64(0x5851F42D4C957F2D)
 _START = np.uint64(0x14057B7EF767814F)
 
@@ -183,7 +185,7 @@ _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_token
 def score_documents(docs: DataFrame, learn=not_every_seventh, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams), score (the mixture's log10 probability)."""
     spark = docs.sparkSession
-    shards = max(8, 2 * partitions(spark))
+    shards = max(8, 2 * partitions(spark), -(-text_bytes(docs, text_col) // SHARD_BYTES))
     dealt = {"id_col": id_col, "text_col": text_col, "kind": lambda ids: fold_of(ids, learn)}
     replies = checkpointed(answers(blocks(docs, _send_keys(shards), **dealt), _answer(shards)))
     facts = [pickle.loads(bytes(r.payload)) for r in replies.where("block < 0").select("payload").collect()]  # one row a shard

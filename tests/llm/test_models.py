@@ -115,6 +115,53 @@ def test_lm(spark):
     assert score_documents(empty(spark)).count() == 0
 
 
+def brute_lm_scores(rows):
+    """log10 probability of each text by the mixture's definition, counts and expectation-maximisation written out in plain Python."""
+    tokens = [[*split((t or "").translate({i: i + 32 for i in range(65, 91)})), None] for _, t in rows]
+    learned = [i is not None and zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in rows]
+    deleted = [k and zlib.crc32(f"{i}/deleted".encode()) % 10 == 0 for k, (i, _) in zip(learned, rows)]
+    bucket = lambda n: 0 if n == 0 else min(n.bit_length(), lm_scoring.BUCKETS - 1)
+
+    def counted(which):
+        word, pair = Counter(), Counter()
+        for t, k in zip(tokens, which):
+            if k:
+                word.update(t)
+                pair.update(zip(["start", *t], t))
+        return word, pair, sum(which), sum(word.values())
+
+    def estimates(t, word, pair, documents, total):
+        for before, x in zip(["start", *t], t):
+            context = documents if before == "start" else word[before]
+            yield bucket(context), pair[before, x] / context if context else 0.0, word[x] / total
+
+    word, pair, documents, total = counted([k and not d for k, d in zip(learned, deleted)])
+    binned = lambda p: 2.0 ** (max(round(4 * math.log2(p)), 1 - 160) / 4) if p > 0 else 0.0
+    held = [(b, binned(two), binned(one)) for t, d in zip(tokens, deleted) if d for b, two, one in estimates(t, word, pair, documents, total)]
+    uniform = 1 / (len(word) + 1)
+    weights = {b: (0.4, 0.5, 0.1) for b in range(lm_scoring.BUCKETS)}
+    for _ in range(60 if held else 0):
+        share = {b: [0.01] * 3 for b in weights}
+        for b, two, one in held:
+            parts = [w * p for w, p in zip(weights[b], (two, one, uniform))]
+            for k in range(3):
+                share[b][k] += parts[k] / sum(parts)
+        weights = {b: tuple(x / sum(v) for x in v) for b, v in share.items()}
+    weights[0] = (0.0, *(x / sum(weights[0][1:]) for x in weights[0][1:]))
+    word, pair, documents, total = counted(learned)
+    return [sum(math.log10(sum(w * p for w, p in zip(weights[b], (two, one, 1 / (len(word) + 1))))) for b, two, one in estimates(t, word, pair, documents, total)) for t in tokens]
+
+
+def test_lm_scores_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    words = [f"w{int(x)}" for x in rng.zipf(1.4, 4000) if x < 300]
+    rows = [(k, " ".join(words[rng.integers(0, len(words) - 40) :][: rng.integers(0, 40)])) for k in range(160)] + [(500, None), (None, "w1 w2 zzz"), (501, "unseen words w1")]
+    got = score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = sorted((i is None, i or 0, s) for (i, _), s in zip(rows, brute_lm_scores(rows)))
+    for r, (_, i, s) in zip(sorted(got, key=lambda r: (r.doc_id is None, r.doc_id or 0)), want):
+        assert (r.doc_id or 0) == i and r.score == pytest.approx(s, rel=1e-6), i
+
+
 def test_lm_without_training_text(spark):
     got = score_documents(documents(spark, [(None, "a b"), (None, None)])).collect()
     assert sorted((r.n_tokens, r.n_known, r.train_tokens, r.score) for r in got) == [(1, 0, 0, 0.0), (3, 0, 0, 0.0)]
