@@ -6,7 +6,8 @@
 4. mixing: documents are repeated or left out to meet the sources' target weights; the last one taken of a source is shortened.
 5. packing: what is left is packed into token sequences.
 
-Stages 1 to 4 return the columns of their input; n_chars follows the text where
+run() deletes each stage's folder when the next stage is written; the last one's
+holds the result.  Stages 1 to 4 return the columns of their input; n_chars follows the text where
 the table has it.  Rows with a null identifier are kept by stage 3, which cannot
 name them.
 """
@@ -45,6 +46,13 @@ def _with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows in a learned language.
+
+    Null texts and texts without a letter go; with nothing to learn from, all
+    others stay.  Repeated rows and identifiers and null identifiers are rows
+    like any other; an empty table stays empty; other columns are kept whatever
+    their names.
+    """
     model = _lid.train(docs, ~_lid.held_out())
     held, names = _held(docs)
     if model.languages:
@@ -55,6 +63,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, without the lines that three identifiers or more share but for the largest of them.
+
+    A null text becomes an empty one; rows with one identifier hold a line
+    once; rows with a null identifier keep what they share among themselves;
+    n_chars follows the text; an empty table stays empty.
+    """
     held, names = _held(docs)
     rest = {c: n for c, n in names.items() if c not in ("doc_id", "text")}
     out = dedup_lines(held, id_col=names["doc_id"], text_col=names["text"], keep=tuple(rest.values()))
@@ -62,6 +76,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near copies the row with the smallest identifier, of several such the one with the smallest text.
+
+    Null, empty and white-space texts are copies of each other; rows that share
+    an identifier but lie in several components stay once in each; rows with a
+    null identifier stay; an empty table stays empty.
+    """
     held, names = _held(docs)
     text = names["text"]
     kept = held.join(smallest_rows(docs), F.col(names["doc_id"]) == F.col("doc_id"))
@@ -72,10 +92,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows once for each copy that the mix takes, the last one of a source shortened.
+
+    Rows without a word are never taken; a null source is a source; repeated
+    identifiers are rows like any other; an empty table stays empty.
+    """
     return _with_text(mixed_documents(docs), docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all rows in token sequences; a null text is an empty one, and every row, repeated or not, is packed on its own."""
     return pack_documents(docs, tokenizer_path())
 
 
@@ -88,7 +114,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:  # what a stage was made from is not needed once the stage is written
+            path = spark._jvm.org.apache.hadoop.fs.Path(before)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        before = f"{folder}/{name}"
     return docs
