@@ -214,6 +214,22 @@ def test_pipeline_stages(spark, tmp_path):
     assert math.isfinite(kept.count()) and ordered([None, 1]) == [1, None]
 
 
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    for rows in ([], [(1, None), (1, ""), (None, None), (2, " \n")], [(7, t) for _, t in texts()[:8]] + [(7, texts()[0][1])]):
+        docs = documents(spark, rows) if rows else empty(spark)
+        docs.write.parquet(f"{tmp_path}/{len(rows)}/documents.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{len(rows)}")
+        assert (out.count() > 0) == (len(rows) > 4)
+        kept = docs
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, kept, "")
+            assert kept.columns == docs.columns
+    import os
+
+    left = [x for x in os.listdir(out.inputFiles()[0].removeprefix("file://").rsplit("/", 2)[0])]
+    assert left == ["packing"]
+
+
 def test_pipeline_without_a_learned_language(spark):
     docs = documents(spark).withColumn("lang", F.lit(None).cast("string"))
     got = corpus_pipeline.language_id(spark, docs, "")
