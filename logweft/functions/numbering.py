@@ -1,4 +1,4 @@
-"""Dense row numbers without a global window."""
+"""Checkpoints, the spread of work, and dense row numbers without a global window."""
 from __future__ import annotations
 
 import tempfile
@@ -24,6 +24,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame, *keys) -> DataFrame:
+    """df over all shuffle partitions, by keys or evenly: for little data that takes much work, which would else be put into one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def numbered(df: DataFrame, order: list, name: str, start: int = 0) -> DataFrame:
     """df with `name` = start, start + 1, ... in the given order.
 

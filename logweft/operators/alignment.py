@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbering import spread
+
 PATH = "array<struct<b_start:int,r_start:int,len:int>>"
 
 
@@ -146,7 +148,7 @@ def base_paths(members: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """
     base = members.where("local = 0").select("label", F.col("row_id").alias("base_id"), F.col("tokens").alias("base_tokens"))
     refs = members.where("local > 0").join(base, "label").withColumnRenamed("row_id", "ref_id")
-    fresh = lambda r: r.select("label", "base_id", "ref_id", chain("base_tokens", "tokens").alias("path"))
+    fresh = lambda r: spread(r).select("label", "base_id", "ref_id", chain("base_tokens", "tokens").alias("path"))
     if known is None:
         return fresh(refs)
     pairs = known.select("base_id", "ref_id", "path")

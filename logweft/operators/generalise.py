@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbering import spread
 from .graph import communities
 
 START = -1
@@ -191,7 +192,7 @@ def coverage(templates: DataFrame, piecewise: bool = False) -> DataFrame:
     """(i, j, covered, capture, trace) for ordered pairs of different templates: whether j runs along i to its end, over gaps too if piecewise."""
     t = templates.select(F.col("label").alias("i"), F.col("segs").alias("a"))
     u = templates.select(F.col("label").alias("j"), F.col("segs").alias("b"))
-    found = t.join(u, F.col("i") != F.col("j")).select("i", "j", _cover_by(piecewise_walk if piecewise else walk)("a", "b").alias("c"))
+    found = spread(t.join(u, F.col("i") != F.col("j"))).select("i", "j", _cover_by(piecewise_walk if piecewise else walk)("a", "b").alias("c"))
     return found.select("i", "j", "c.covered", "c.capture", "c.trace")
 
 

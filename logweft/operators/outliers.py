@@ -16,12 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.levenshtein import levenshtein_table
-from ..functions.numbering import checkpointed, numbered_within
+from ..functions.numbering import checkpointed, numbered_within, spread
 from ..functions.tokens import as_bytes
 
 EPSILON = 2.220446049250313e-16
 #: distinct texts of a tile, about
-TILE = 512
+TILE = 256
 
 
 def _passes(texts: DataFrame, columns: list[str], reduce, schema: str) -> DataFrame:
@@ -49,7 +49,7 @@ def _passes(texts: DataFrame, columns: list[str], reduce, schema: str) -> DataFr
     from pyspark.sql.types import StructType
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
-    return side.groupBy("label", "a", "b").applyInArrow(run, schema)
+    return spread(side, "label", "a", "b").groupBy("label", "a", "b").applyInArrow(run, schema)
 
 
 def _weights(left: dict, right: dict, same: bool) -> np.ndarray:
