@@ -43,16 +43,25 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(as_bytes(c), F.lit(TOKEN), F.lit(1))
 
 
+def _class_of(c: str) -> str:
+    """Category of a byte's character, by the classes of TOKEN."""
+    if c == "$":
+        return PLACE
+    if c.isascii() and c.isalpha():
+        return ALPHA
+    if c.isascii() and c.isdigit():
+        return DIGITS
+    if "!" <= c <= "~":
+        return SYMBOL
+    return SPACE if c in " \t\n\x0b\f\r" else NONE
+
+
+_BYTES = "".join(map(chr, range(256)))
+_CLASSES = "".join(map(_class_of, _BYTES))
+
+
 def category(token: Column) -> Column:
-    first = F.substring(token, 1, 1)
-    return (
-        F.when(first == "$", PLACE)
-        .when(first.rlike("[A-Za-z]"), ALPHA)
-        .when(first.rlike("[0-9]"), DIGITS)
-        .when(first.rlike(r"[!-/:-@\[-`{-~]"), SYMBOL)
-        .when(first.rlike(WHITE), SPACE)
-        .otherwise(NONE)
-    )
+    return F.translate(F.substring(token, 1, 1), _BYTES, _CLASSES)
 
 
 def structure(tokens_: Column) -> Column:

@@ -3,7 +3,9 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,18 +14,28 @@ from ..functions.numbering import spread
 PATH = "array<struct<b_start:int,r_start:int,len:int>>"
 
 
+def _segments(threshold: int):
+    def run(batches):
+        for batch in batches:
+            labels, refs, base, other = batch.columns
+            found = [runs_of(x, y, threshold) for x, y in zip(base.to_pylist(), other.to_pylist())]
+            at = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            flat = np.array([r for x in found for r in x], np.int32).reshape(-1, 3)
+            pick = pa.array(at)
+            yield pa.RecordBatch.from_arrays([labels.take(pick), refs.take(pick), *[pa.array(np.ascontiguousarray(flat[:, k])) for k in range(3)]], names=["label", "ref_id", "b_start", "r_start", "len"])
+
+    return run
+
+
 def diagonal_segments(base: DataFrame, refs: DataFrame, threshold: int = 1) -> DataFrame:
     """base (label, tokens), refs (label, ref_id, tokens) -> (label, ref_id, b_start, r_start, len): all maximal diagonal runs of at least `threshold` tokens.
 
-    An equi-join on (label, token) finds the cells, and places minus row numbers
-    along a diagonal find the islands.
+    A reference meets its label's base once and its runs are found there: cells
+    are neither joined nor moved.
     """
-    b = base.select("label", F.posexplode("tokens").alias("b", "t"))
-    r = refs.select("label", "ref_id", F.posexplode("tokens").alias("r", "t"))
-    cells = r.join(b, ["label", "t"]).select("label", "ref_id", (F.col("b") - F.col("r")).alias("diag"), "b", "r")
-    run = F.col("b") - F.row_number().over(Window.partitionBy("label", "ref_id", "diag").orderBy("b"))
-    runs = cells.withColumn("run", run).groupBy("label", "ref_id", "diag", "run").agg(F.min("b").alias("b_start"), F.min("r").alias("r_start"), F.count(F.lit(1)).cast("int").alias("len"))
-    return runs.where(F.col("len") >= threshold).select("label", "ref_id", "b_start", "r_start", "len")
+    met = refs.select("label", "ref_id", "tokens").join(base.select("label", F.col("tokens").alias("base_tokens")), "label").select("label", "ref_id", "base_tokens", "tokens")
+    kinds = dict(met.dtypes)
+    return spread(met).mapInArrow(_segments(threshold), f"label {kinds['label']}, ref_id {kinds['ref_id']}, b_start int, r_start int, len int")
 
 
 def common_runs(members: DataFrame, k: int, threshold: int = 1) -> DataFrame:

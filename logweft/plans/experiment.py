@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluate
+from ..sources import reports
 from ..sources.lines import read_lines, validated_file
 from .mine import MineResult, mine
 from .report import report_parts
@@ -128,6 +129,47 @@ def write_run(run: Collected, folder: str, row_map: DataFrame | None = None) ->
         json.dump(summarise(run) | {"duration_seconds": run.seconds}, f, indent=2)
     with open(f"{folder}/report.txt", "w", encoding="utf-8") as f:
         f.writelines(report_parts(run.result))
+    run.result.labels.write.mode("overwrite").parquet(f"{folder}/labels")
+    manifest = {
+        "schema_version": 1,
+        "run_id": run.run.run_id,
+        "purpose": run.run.purpose,
+        "status": "complete",
+        "input": file_record(run.run.path),
+        "shuffle": None if row_map is None else {"algorithm": evaluate.SHUFFLE, "seed": run.run.shuffle_seed, "mapping": {"path": f"{run.run.run_id}/shuffle-index"}},
+        "report_file": f"{run.run.run_id}/report.txt",
+        "labels_file": f"{run.run.run_id}/labels",
+        "duration_seconds": run.seconds,
+    }
+    with open(f"{folder}/run.json", "w", encoding="utf-8") as f:
+        json.dump(manifest, f, indent=2)
+
+
+@dataclass
+class Stored:
+    """A run as its folder has it."""
+
+    manifest: dict
+    #: label -> text, and label -> counts, as the report prints them
+    templates: dict[int, str]
+    counts: dict
+    #: row_id, label; by the rows' first places where the run was shuffled
+    labels: DataFrame
+
+
+def stored_run(spark: SparkSession, root: str, run_id: str) -> Stored:
+    """Reads a run through its manifest, whose paths stay below root."""
+    with open(reports.result_path(root, f"{run_id}/run.json"), encoding="utf-8") as f:
+        manifest = json.load(f)
+    if manifest.get("status") != "complete":
+        raise ValueError(f"run {run_id} is not complete")
+    with open(reports.result_path(root, reports.manifest_value(manifest, ["report_file", "paths.report"])), encoding="utf-8") as f:
+        text = f.read()
+    labels = spark.read.parquet(reports.result_path(root, reports.manifest_value(manifest, ["labels_file", "paths.labels"])))
+    if manifest["shuffle"] is not None:
+        rows = spark.read.option("header", True).csv(reports.result_path(root, reports.manifest_value(manifest, ["shuffle.mapping.path"])))
+        labels = evaluate.restored(labels, rows.select(F.col("input_row_0based").cast("long").alias("new_id"), F.col("source_row_0based").cast("long").alias("row_id")))
+    return Stored(manifest, reports.final_templates(text), reports.component_counts(text), labels)
 
 
 def compare(left: Collected, right: Collected) -> dict:

@@ -300,6 +300,12 @@ def test_command_line_and_experiment(spark, tmp_path, capsys):
     found = experiment(spark, [Run("R01", str(tmp_path / "trace")), Run("R08", str(tmp_path / "trace"), shuffle_seed=1)], str(tmp_path / "x"), cluster_algo="components", on_violation="quarantine")
     assert found["comparisons"][0]["messages_compared"] == 6 and found["skipped_comparisons"] == [["R01", "R07"], ["R06", "R09"]]
     assert json.loads((tmp_path / "x" / "R01" / "summary.json").read_text())["identifier_counts"] == {"GPGGA": 6}
+    from logweft.plans.experiment import stored_run
+
+    stored = stored_run(spark, str(tmp_path / "x"), "R08")
+    assert {r.row_id for r in stored.labels.collect()} == set(range(6)) and sum(c.members for c in stored.counts.values()) == 6 and stored.templates.keys() == stored.counts.keys()
+    with pytest.raises(OSError):
+        stored_run(spark, str(tmp_path / "x"), "R09")
     runs = run_matrix("a", "b", ["c", "d", "e"], "f", "g")
     assert [r.run_id for r in runs] == [f"R0{k}" for k in range(1, 10)] and runs[5].path == "f" and [r.run_id for r in select_runs(runs, ["R02"])] == ["R02"]
 
