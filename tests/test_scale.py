@@ -1,9 +1,19 @@
 """What larger tables and copies brought to light."""
 
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from logweft.functions.distance import weighted
+from logweft.functions.levenshtein import levenshtein_table
 from logweft.functions.numbering import checkpointed
-from logweft.operators import distances
+from logweft.operators import distances, graph, outliers, tiles
+from logweft.sources import exports
 from logweft.sources.lines import lines_of
 
+from .test_operators import edit_distance
+
 
 def test_nearest_lines_of_few_signatures(spark):
     """A thousand lines of two signatures: their nearest lines, kept."""
@@ -12,3 +22,81 @@ def test_nearest_lines_of_few_signatures(spark):
     sigs = {r.row_id: r.sig for r in distances.line_signatures(x).collect()}
     assert len(got) == 1000 and len(set(sigs.values())) == 2
     assert all(got[i] == (min(j for j in sigs if j != i and sigs[j] == s), 0.0) for i, s in sigs.items())
+
+
+def test_short_edit_distances():
+    rng = random.Random(3)
+    for most in (0, 3, 8, 9, 16, 17, 33, 64):
+        text = lambda: b"head" + bytes(rng.choice(b"abc") for _ in range(rng.choice([0, most // 2, most]))) + b"tail"  # noqa: B023,E731
+        a, b = [text() for _ in range(9)], [text() for _ in range(7)] + [b"x" * 300] * (most == 33)
+        for d in (levenshtein_table(a, b), levenshtein_table(a, b, True), levenshtein_table(b, a, True).T):
+            assert all(d[i, j] == edit_distance(x, y) for i, x in enumerate(a) for j, y in enumerate(b))
+    assert levenshtein_table([], [b"a"]).shape == (0, 1)
+
+
+@pytest.fixture
+def named(spark, monkeypatch):
+    """Rows with copies, near copies and an empty text over many tiles, and their whole square."""
+    monkeypatch.setattr(tiles, "TILE", 4)
+    rng = random.Random(5)
+    rows = [(3 * k + 1, "".join(rng.choice("ab") for _ in range(rng.choice([0, 1, 4, 5, 6, 9])))) for k in range(40)]
+    df = spark.createDataFrame(rows, "key long, name string")
+    dist = spark.createDataFrame([(i, j, float(edit_distance(a.encode(), b.encode()))) for i, a in rows for j, b in rows], "i long, j long, d double")
+    return df, dist, rows
+
+
+def same(left, right):
+    return sorted(map(tuple, left.collect()), key=str) == sorted(map(tuple, right.select(*left.columns).collect()), key=str)
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_knn_graph_of_texts(named, k):
+    df, dist, _ = named
+    assert same(tiles.nearest_edges(df, "key", "name", k), graph.directed_knn(dist, k))
+
+
+def test_components_of_nearest_texts(named):
+    df, dist, _ = named
+    ids = df.select(F.col("key").alias("id"))
+    assert same(graph.connected_components(ids, graph.undirected(tiles.nearest_edges(df, "key", "name"))), graph.connected_components(ids, graph.knn_graph(dist, 1)))
+
+
+def test_graphml_of_nearest_texts(named):
+    df, dist, _ = named
+    ids = df.select(F.col("key").alias("id"))
+    assert exports.weighted_graphml(ids, graph.undirected(tiles.nearest_edges(df, "key", "name"))) == exports.weighted_graphml(ids, graph.knn_graph(dist, 1))
+
+
+def test_leiden_of_nearest_texts(named):
+    df, dist, _ = named
+    ids = df.select(F.col("key").alias("id"))
+    assert same(graph.communities(ids, graph.undirected(tiles.nearest_edges(df, "key", "name", 3))), graph.communities(ids, graph.knn_graph(dist, 3)))
+
+
+@pytest.mark.parametrize("eps, points", [(1.0, 4), (0.0, 2), (2.5, 9)])
+def test_dbscan_of_texts(named, eps, points):
+    df, dist, _ = named
+    assert same(graph.dbscan_texts(df, "key", "name", eps, points), graph.dbscan(dist, eps, points))
+
+
+def test_soft_neighbours_of_texts(named, monkeypatch):
+    df, dist, _ = named
+    monkeypatch.setattr(graph, "SOFT_LIST", 1)  # lists run out and grow
+    for k in (1, 2):
+        assert same(graph.soft_texts(df, "key", "name", k), graph.soft_knn(dist, k))
+
+
+def test_squares_of_texts(named):
+    df, dist, rows = named
+    got = {(r.i, r.j): r.d for r in distances.character_distances(df, "key", "name").collect()}
+    assert got == {(r.i, r.j): r.d for r in dist.collect() if r.i < r.j}
+    assert same(distances.character_similarity(df, "key", "name"), distances.row_similarity(dist))
+
+
+def test_square_of_one_signature(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "TILE", 4)
+    x = spark.createDataFrame([(k, k, f"a{k:03}" if k % 5 else f"b-{k}") for k in range(30)], "row_id long, source_line long, raw string")
+    sig = {r.row_id: r.sig for r in distances.line_signatures(x).collect()}
+    whole = {(i, j): 0.0 if i == j else float(weighted([sig[i]], [sig[j]])[0]) for i in sig for j in sig}
+    assert {(r.i, r.j): r.d for r in distances.pair_distances(x).collect()} == whole
+    assert {(r.i, r.j): r.d for r in distances.pair_distances(x, half=True).collect()} == {k: d for k, d in whole.items() if k[0] < k[1]}
