@@ -100,3 +100,23 @@ def test_square_of_one_signature(spark, monkeypatch):
     whole = {(i, j): 0.0 if i == j else float(weighted([sig[i]], [sig[j]])[0]) for i in sig for j in sig}
     assert {(r.i, r.j): r.d for r in distances.pair_distances(x).collect()} == whole
     assert {(r.i, r.j): r.d for r in distances.pair_distances(x, half=True).collect()} == {k: d for k, d in whole.items() if k[0] < k[1]}
+
+
+def test_lof_compares_short_texts_in_tiles(spark, monkeypatch):
+    """Tiles of sorted texts: a text's tie of neighbours spreads over several, and distances are small numbers."""
+    rng = random.Random(6)
+    rows = [(k, k % 2, f"Name#{rng.randrange(300):06}" if k % 9 else "x" * 300) for k in range(120)]
+    df = spark.createDataFrame(rows, "row_id long, label long, raw string")
+    seen = []
+    monkeypatch.setattr(outliers, "TILE", 16)
+    inner = outliers.spread
+    monkeypatch.setattr(outliers, "spread", lambda x, *keys: seen.append(x.columns) or inner(x, *keys))
+    got = {r.row_id: r.lof for r in outliers.lof(df).collect()}
+    assert seen and all("text" not in c for c in seen)  # tiles move whole, not a row a text and tile
+    for label in (0, 1):
+        mine = [(i, t.encode()) for i, b, t in rows if b == label]
+        d = {(i, j): edit_distance(a, b) for i, a in mine for j, b in mine}
+        kdist = {i: sorted(d[i, j] for j, _ in mine if j != i)[2] for i, _ in mine}
+        near = {i: [j for j, _ in mine if j != i and d[i, j] <= kdist[i]] for i, _ in mine}
+        lrd = {i: 1 / max(sum(max(d[i, j], kdist[j]) for j in n) / len(n), outliers.EPSILON) for i, n in near.items()}
+        assert all(got[i] == pytest.approx(sum(lrd[j] for j in n) / len(n) / lrd[i]) for i, n in near.items())
