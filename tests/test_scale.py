@@ -93,6 +93,14 @@ def test_squares_of_texts(named):
     assert same(distances.character_similarity(df, "key", "name"), distances.row_similarity(dist))
 
 
+def test_squares_leave_tiles_in_blocks(named):
+    """A worker sends ids once a block, not three or four columns a pair."""
+    df, dist, rows = named
+    for x in (distances.character_distances(df, "key", "name"), distances.character_similarity(df, "key", "name")):
+        plan = x._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate posexplode(d" in plan
+
+
 def test_square_of_one_signature(spark, monkeypatch):
     monkeypatch.setattr(tiles, "TILE", 4)
     x = spark.createDataFrame([(k, k, f"a{k:03}" if k % 5 else f"b-{k}") for k in range(30)], "row_id long, source_line long, raw string")
