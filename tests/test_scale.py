@@ -101,6 +101,14 @@ def test_squares_leave_tiles_in_blocks(named):
         assert "Generate posexplode(d" in plan
 
 
+def test_farthest_by_largest_distances_alone(named, monkeypatch):
+    df, dist, rows = named
+    monkeypatch.setattr(tiles, "nearest_texts", None)  # no list of neighbours is made
+    far = {r.i: r.far for r in dist.groupBy("i").agg(F.max("d").cast("long").alias("far")).collect()}
+    got = {r.id: r.far for r in tiles.farthest(tiles.distinct_texts(df, "key", "name")).collect()}
+    assert got and all(far[i] == d for i, d in got.items())
+
+
 def test_square_of_one_signature(spark, monkeypatch):
     monkeypatch.setattr(tiles, "TILE", 4)
     x = spark.createDataFrame([(k, k, f"a{k:03}" if k % 5 else f"b-{k}") for k in range(30)], "row_id long, source_line long, raw string")
