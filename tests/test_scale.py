@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +110,16 @@ def test_farthest_by_largest_distances_alone(named, monkeypatch):
     assert got and all(far[i] == d for i, d in got.items())
 
 
+def test_distances_are_rounded_once_a_signature(spark):
+    values = [0.0, 1.0, 1 / 3, 2 / 3, 0.1234567895, 0.0000000005, 1.0000000015, 5e-10 - 1e-20, 12345.6789012345]
+    want = [r.d for r in spark.createDataFrame([(x,) for x in values], "x double").select(F.round("x", 9).alias("d")).collect()]
+    assert distances.rounded(np.array([values]), 9).tolist() == [want]
+    x = spark.createDataFrame([(k, k, f"{'a' * (k % 4 + 1)} {'7' * (k % 3 + 1)}") for k in range(12)], "row_id long, source_line long, raw string")
+    found = distances.pair_distances(x, half=True, digits=2)
+    assert "round(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(found.collect()) == sorted(distances.pair_distances(x, half=True).select("i", "j", F.round("d", 2).alias("d")).collect())
+
+
 def test_square_of_one_signature(spark, monkeypatch):
     monkeypatch.setattr(tiles, "TILE", 4)
     x = spark.createDataFrame([(k, k, f"a{k:03}" if k % 5 else f"b-{k}") for k in range(30)], "row_id long, source_line long, raw string")
