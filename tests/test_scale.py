@@ -147,3 +147,12 @@ def test_lof_compares_short_texts_in_tiles(spark, monkeypatch):
         near = {i: [j for j, _ in mine if j != i and d[i, j] <= kdist[i]] for i, _ in mine}
         lrd = {i: 1 / max(sum(max(d[i, j], kdist[j]) for j in n) / len(n), outliers.EPSILON) for i, n in near.items()}
         assert all(got[i] == pytest.approx(sum(lrd[j] for j in n) / len(n) / lrd[i]) for i, n in near.items())
+
+
+def test_outliers_sort_neighbours_natively(spark, monkeypatch):
+    """array_sort calls a lambda for each comparison, so long lists of neighbours took longer to sort than to find."""
+    df = spark.createDataFrame([(k, 0, f"Name#{k * k % 50:04}") for k in range(40)], "row_id long, label long, raw string")
+    monkeypatch.setattr(outliers, "TILE", 4)
+    want = {r.row_id: r.lof for r in outliers.lof(df).collect()}
+    monkeypatch.setattr(F, "array_sort", None)
+    assert {r.row_id: r.lof for r in outliers.lof(df).collect()} == want
