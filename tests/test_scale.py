@@ -156,3 +156,9 @@ def test_outliers_sort_neighbours_natively(spark, monkeypatch):
     want = {r.row_id: r.lof for r in outliers.lof(df).collect()}
     monkeypatch.setattr(F, "array_sort", None)
     assert {r.row_id: r.lof for r in outliers.lof(df).collect()} == want
+
+
+def test_nearest_rows_sort_neighbours_natively(named, monkeypatch):
+    df, dist, rows = named
+    monkeypatch.setattr(F, "array_sort", None)
+    assert same(graph.undirected(tiles.nearest_edges(df, "key", "name", 2)), graph.undirected(graph.directed_knn(dist, 2)))
