@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from logweft.functions import levenshtein
 from logweft.functions.distance import weighted
 from logweft.functions.levenshtein import levenshtein_table
 from logweft.functions.numbering import checkpointed
@@ -162,3 +163,27 @@ def test_nearest_rows_sort_neighbours_natively(named, monkeypatch):
     df, dist, rows = named
     monkeypatch.setattr(F, "array_sort", None)
     assert same(graph.undirected(tiles.nearest_edges(df, "key", "name", 2)), graph.undirected(graph.directed_knn(dist, 2)))
+
+
+def test_texts_of_like_prefixes(monkeypatch):
+    """Texts of the left go down the tree of their prefixes, one column a prefix."""
+    left, right = [b"name%03d" % k for k in range(100)] + [b"name", b"", b"name001"], [b"name%02d" % k for k in range(30)] + [b"", b"x"]
+    seen = []
+    rows = levenshtein._rows
+    monkeypatch.setattr(levenshtein, "_rows", lambda x, at: seen.append(len(at)) or rows(x, at))
+    d = levenshtein_table(left, right, True)
+    assert all(d[i, j] == edit_distance(x, y) for i, x in enumerate(left) for j, y in enumerate(right))
+    assert sum(seen) < 700  # two columns a prefix and the results, not seven columns a text
+
+
+def test_components_end_in_one_task(spark, monkeypatch):
+    """What is left of at most STAR_EDGES edges needs no rounds; more of them go on by stars."""
+    pairs = [(k, k + 1) for k in range(100, 160)] + [(7, 130), (3, 5), (5, 3), (9, 9)]
+    edges, ids = spark.createDataFrame(pairs, "src long, dst long"), spark.createDataFrame([(k,) for k in [3, 5, 7, 9, *range(100, 161)]], "id long")
+    want = {3: 3, 5: 3, 7: 7, 9: 9} | dict.fromkeys(range(100, 161), 7)
+    made = []
+    inner = graph.checkpointed
+    monkeypatch.setattr(graph, "checkpointed", lambda x: made.append(x) or inner(x))
+    assert {r.id: r.root for r in graph.component_roots(ids, edges).collect()} == want and len(made) == 2
+    monkeypatch.setattr(graph, "STAR_EDGES", 3)
+    assert {r.id: r.root for r in graph.component_roots(ids, edges).collect()} == want
