@@ -187,3 +187,12 @@ def test_components_end_in_one_task(spark, monkeypatch):
     assert {r.id: r.root for r in graph.component_roots(ids, edges).collect()} == want and len(made) == 2
     monkeypatch.setattr(graph, "STAR_EDGES", 3)
     assert {r.id: r.root for r in graph.component_roots(ids, edges).collect()} == want
+
+
+def test_tiles_leave_a_block_as_one_row(named, monkeypatch):
+    """A worker sends a state a tile and block, not a row a text and pair of tiles."""
+    df, dist, _ = named
+    monkeypatch.setattr(tiles, "block_size", lambda *_: 3)
+    plan = tiles.nearest_texts(tiles.distinct_texts(df, "key", "name", 2), 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 2 and "Generate" in plan
+    assert same(tiles.nearest_edges(df, "key", "name"), graph.directed_knn(dist, 1))
