@@ -196,3 +196,16 @@ def test_tiles_leave_a_block_as_one_row(named, monkeypatch):
     plan = tiles.nearest_texts(tiles.distinct_texts(df, "key", "name", 2), 2)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("FlatMapGroupsInArrow") == 2 and "Generate" in plan
     assert same(tiles.nearest_edges(df, "key", "name"), graph.directed_knn(dist, 1))
+
+
+def test_leiden_over_blocks_of_tiles(named, monkeypatch):
+    df, dist, _ = named
+    monkeypatch.setattr(tiles, "block_size", lambda *_: 4)
+    edges = checkpointed(tiles.nearest_edges(df, "key", "name", 3))
+    assert same(edges, graph.directed_knn(dist, 3))
+    ids = df.select(F.col("key").alias("id"))
+    assert same(graph.communities(ids, graph.undirected(edges)), graph.communities(ids, graph.knn_graph(dist, 3)))
+    only = df.where("key % 4 = 0").select(F.col("key").alias("i"))
+    far = {r.i: r.far for r in dist.groupBy("i").agg(F.max("d").cast("long").alias("far")).collect()}
+    some = tiles.nearest_rows(df, "key", "name", 3, only).collect()
+    assert {r.i: r.far for r in some} == {r.i: far[r.i] for r in only.collect()}
