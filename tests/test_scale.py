@@ -209,3 +209,16 @@ def test_leiden_over_blocks_of_tiles(named, monkeypatch):
     far = {r.i: r.far for r in dist.groupBy("i").agg(F.max("d").cast("long").alias("far")).collect()}
     some = tiles.nearest_rows(df, "key", "name", 3, only).collect()
     assert {r.i: r.far for r in some} == {r.i: far[r.i] for r in only.collect()}
+
+
+def test_dbscan_links_leave_tiles_as_forests(named, monkeypatch):
+    """Pairs within the radius are counted and joined where they are found: what leaves is fewer links than core texts a tile, and their components are the same."""
+    df, dist, _ = named
+    monkeypatch.setattr(tiles, "block_size", lambda *_: 3)
+    assert same(graph.dbscan_texts(df, "key", "name", 1.0, 4), graph.dbscan(dist, 1.0, 4))
+    texts = tiles.distinct_texts(df, "key", "name")
+    core, links, border = tiles.dense_texts(texts, 9.0, 2)
+    n = texts.count()
+    assert core.count() == n > 16 and border.count() == 0
+    assert links.count() <= (n - 1) * texts.select("tile").distinct().count() < n * n
+    assert len({r.root for r in graph.component_roots(core, links).collect()}) == 1
