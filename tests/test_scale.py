@@ -222,3 +222,27 @@ def test_dbscan_links_leave_tiles_as_forests(named, monkeypatch):
     assert core.count() == n > 16 and border.count() == 0
     assert links.count() <= (n - 1) * texts.select("tile").distinct().count() < n * n
     assert len({r.root for r in graph.component_roots(core, links).collect()}) == 1
+
+
+def lof_of(rows, k=3):
+    """Factors of (id, text) rows of one cluster, by the definition."""
+    d = {(i, j): edit_distance(a.encode(), b.encode()) for i, a in rows for j, b in rows}
+    kdist = {i: sorted(d[i, j] for j, _ in rows if j != i)[k - 1] for i, _ in rows}
+    near = {i: [j for j, _ in rows if j != i and d[i, j] <= kdist[i]] for i, _ in rows}
+    lrd = {i: 1 / max(sum(max(d[i, j], kdist[j]) for j in n) / len(n), outliers.EPSILON) for i, n in near.items()}
+    return {i: sum(lrd[j] for j in n) / len(n) / lrd[i] for i, n in near.items()}
+
+
+def test_exclusions_over_blocks_of_tiles(spark, monkeypatch):
+    """Tiles meet in blocks; the lines left out are those of the definition, and reruns agree to the bit."""
+    monkeypatch.setattr(outliers, "TILE", 4)
+    monkeypatch.setattr(tiles, "block_size", lambda *_: 3)
+    rng = random.Random(8)
+    rows = [(k, k % 2, f"N{rng.randrange(100):03}" if k % 11 else "far away " * (k % 3 + 1)) for k in range(80)]
+    df = spark.createDataFrame(rows, "row_id long, label long, raw string")
+    found = outliers.retained(df).collect()
+    want = lof_of([(i, t) for i, b, t in rows if b == 0]) | lof_of([(i, t) for i, b, t in rows if b == 1])
+    assert {r.row_id: r.lof for r in found} == {i: pytest.approx(x) for i, x in want.items()}
+    assert {r.row_id for r in found if r.excluded} == {i for i, x in want.items() if x >= 1.5}
+    assert sorted(found) == sorted(outliers.retained(df).collect())
+    assert outliers.reduced is tiles.reduced
