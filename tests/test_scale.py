@@ -246,3 +246,15 @@ def test_exclusions_over_blocks_of_tiles(spark, monkeypatch):
     assert {r.row_id for r in found if r.excluded} == {i for i, x in want.items() if x >= 1.5}
     assert sorted(found) == sorted(outliers.retained(df).collect())
     assert outliers.reduced is tiles.reduced
+
+
+def test_report_counts_of_copies_over_blocks(spark, monkeypatch):
+    """Lines of copies count as often as they are there, in whichever block their text is."""
+    monkeypatch.setattr(outliers, "TILE", 3)
+    monkeypatch.setattr(tiles, "block_size", lambda *_: 2)
+    rows = [(k, 5, f"Name#{k % 9:03}" if k % 7 else f"Name#{k:03}") for k in range(60)] + [(100, 5, "something else")]
+    df = spark.createDataFrame(rows, "row_id long, label long, raw string")
+    want = lof_of([(i, t) for i, _, t in rows])
+    counted = outliers.retained(df).groupBy("label").agg(F.count(F.lit(1)).alias("members"), F.count_if("excluded").alias("lost")).first()
+    assert (counted.members, counted.lost) == (61, sum(x >= 1.5 for x in want.values()))
+    assert counted.lost > 0 and outliers.reduced is tiles.reduced
