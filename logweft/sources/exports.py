@@ -6,6 +6,7 @@ import struct
 import sys
 from xml.sax.saxutils import escape
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +31,10 @@ def graphml_lines(vertices: DataFrame, edges: DataFrame, directed: bool = False)
     data = [F.concat(F.lit(f'<data key="e_{c}">'), text(value(c)), F.lit("</data>")) for c in attributes]
     node = F.concat(F.lit("    <node id="), name("id"), F.lit('><data key="label">'), text(F.col("label")), F.lit("</data></node>"))
     edge = F.concat(F.lit("    <edge source="), name("src"), F.lit(" target="), name("dst"), F.lit(">"), *data, F.lit("</edge>"))
-    frame = vertices.sparkSession.createDataFrame([(0, f"{k:03}", "", x) for k, x in enumerate(head)] + [(3, "0", "", "  </graph>"), (3, "1", "", "</graphml>")], "part int, a string, b string, line string")
+    around = [(0, f"{k:03}", "", x) for k, x in enumerate(head)] + [(3, "0", "", "  </graph>"), (3, "1", "", "</graphml>")]
+    # an Arrow table becomes a part of the plan, so that whoever asks for other parts runs no task for it
+    columns = [pa.array(c, t) for c, t in zip(zip(*around), (pa.int32(), pa.string(), pa.string(), pa.string()))]
+    frame = vertices.sparkSession.createDataFrame(pa.table(columns, ["part", "a", "b", "line"]))
     nodes = vertices.select(F.lit(1).alias("part"), F.col("id").cast("string").alias("a"), F.lit("").alias("b"), node.alias("line"))
     links = edges.select(F.lit(2).alias("part"), F.col("src").cast("string").alias("a"), F.col("dst").cast("string").alias("b"), edge.alias("line"))
     return frame.union(nodes).union(links)
