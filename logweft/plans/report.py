@@ -50,9 +50,10 @@ def report_lines(result: MineResult, colour: bool = True) -> DataFrame:
     return out.unionByName(gone.select(*place(4, F.col("row_id"), tint(ALERT_COLOUR, F.concat(F.lit("    X| "), F.col("raw"))))))
 
 
-def cluster_report(result: MineResult, colour: bool = True):
-    """The lines of the report, one after another."""
-    for r in report_lines(result, colour).orderBy("label", "part", "at").toLocalIterator():
+def cluster_report(result: MineResult, colour: bool = True, only=None):
+    """The lines of the report, one after another; only: a test of lines, made where they are, of those that are wanted."""
+    lines = report_lines(result, colour)
+    for r in (lines if only is None else lines.where(only(F.col("line")))).orderBy("label", "part", "at").toLocalIterator():
         yield r.line
 
 

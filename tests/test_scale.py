@@ -57,6 +57,38 @@ def test_knn_graph_of_texts(named, k):
     assert same(tiles.nearest_edges(df, "key", "name", k), graph.directed_knn(dist, k))
 
 
+def test_graphml_edges_alone(spark):
+    """Whoever asks for a graph file's edges runs no task for its other lines."""
+    x = exports.graphml_lines(spark.range(3).select("id", F.lit("a").alias("label")), spark.range(2).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(0.0).alias("weight")))
+    plan = x.where("part = 2")._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "Union" not in plan, plan
+    assert [r.line[:9] for r in x.orderBy("part", "a", "b").collect()][:2] == ["<?xml ver", "<graphml "]
+
+
+def test_communities_are_found_once(spark, monkeypatch):
+    """Each component is looked at once, and not all of them in one task."""
+    seen, parts = spark.sparkContext.accumulator(0), []
+    find = graph.modularity_groups
+
+    def counted(inner, *args):
+        found = find(inner, *args)
+        parts.append(found.rdd.getNumPartitions())
+
+        def count(batches):
+            for x in batches:
+                seen.add(len(x))
+                yield x
+
+        return found.mapInPandas(count, found.schema)
+
+    monkeypatch.setattr(graph, "modularity_groups", counted)
+    edges = spark.range(40).select((F.col("id") * 2).alias("src"), (F.col("id") * 2 + 1).alias("dst"), F.lit(1.0).alias("weight"))
+    got = graph.communities(spark.range(81).select("id"), edges, "leiden").collect()
+    assert {(r.id, r.label) for r in got} == {(k, k // 2) for k in range(81)}
+    assert seen.value == 80
+    assert parts == [int(spark.conf.get("spark.sql.shuffle.partitions"))]
+
+
 def test_components_of_nearest_texts(named):
     df, dist, _ = named
     ids = df.select(F.col("key").alias("id"))
@@ -130,6 +162,48 @@ def test_square_of_one_signature(spark, monkeypatch):
     assert {(r.i, r.j): r.d for r in distances.pair_distances(x, half=True).collect()} == {k: d for k, d in whole.items() if k[0] < k[1]}
 
 
+def test_lof_of_clusters_in_one_task(spark, monkeypatch):
+    """Clusters of short texts need no pass over all pairs, have the same factors, and go to the passes where they do not fit."""
+    rng = random.Random(8)
+    text = lambda k: "n" * (k % 40 == 1) + f"Name#{rng.randrange(400):04}" if k % 50 else f"Name#{'z' * rng.choice([1, 9])}{k}"
+    rows = [(k, k % 2, text(k)) for k in range(300)] + [(1000 + k, 5, f"{k * 7919:040b}") for k in range(30)]
+    df = spark.createDataFrame(rows, "row_id long, label long, raw string")
+    want = {r.row_id: r.lof for r in outliers.lof(df).collect()}
+    monkeypatch.setattr(outliers, "ALONE", (2, 1 << 16))
+    passes, given = outliers._by_passes, []
+    monkeypatch.setattr(outliers, "_by_passes", lambda x, k: given.append({r.label for r in x.select("label").distinct().collect()}) or passes(x, k))
+    got = {r.row_id: r.lof for r in outliers.lof(df).collect()}
+    assert given == [{5}]
+    assert want.keys() == got.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    outliers.lof(df.where("label < 2")).collect()
+    assert len(given) == 1
+
+
+@pytest.mark.parametrize("limit", ["PAIRS", "COMPARED"])
+def test_clusters_too_large_for_a_task(monkeypatch, limit):
+    texts, m = [b"%03d" % k for k in range(50)] + [b"x" * 12], np.ones(51, np.int64)
+    assert outliers._factors(texts, m, 3) is not None
+    monkeypatch.setattr(outliers, limit, 8)
+    assert outliers._factors(texts, m, 3) is None
+
+
+def test_report_lines_that_count(spark):
+    """Counts come from few lines of a report, which are chosen where the report is made."""
+    from logweft.plans.mine import MineResult, assemble_templates
+    from logweft.plans.report import cluster_report
+    from logweft.sources import reports
+
+    odd = ["Label: C3 (4)", "a b", "La\x1b[1mbel: C7 (1)", "    Excluded 2"]
+    lines = spark.createDataFrame([(k, k, odd[k // 2] if k in (0, 4) else f"name {k:03} of") for k in range(40)], "row_id long, source_line long, raw string")
+    found = assemble_templates(lines, lines.select("row_id", (F.col("row_id") % 3).alias("label")), on_violation="quarantine")
+    result = MineResult(lines, found.contributors, found, None)
+    whole, few = list(cluster_report(result, False)), list(cluster_report(result, False, reports.may_count))
+    assert few == [x for x in whole if x in few] and len(few) < len(whole) / 2
+    assert [x for x in few if reports.plain(x) != x] == [x for x in whole if "\x1b" in x]
+    clean = lambda x: reports.component_counts("\n".join(y for y in x if "\x1b" not in y))
+    assert clean(few) == clean(whole)
+
+
 def test_lof_compares_short_texts_in_tiles(spark, monkeypatch):
     """Tiles of sorted texts: a text's tie of neighbours spreads over several, and distances are small numbers."""
     rng = random.Random(6)
